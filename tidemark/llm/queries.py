@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontaminate import contaminated
+from tidemark.llm.mixture import mixture
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.quality import classify
+from tidemark.llm.shards import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +33,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register("op1_minhash_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op4_hypergeometric_mixture")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+@register("op5_additive_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op6_kd_tree_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op7_tiling_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "covered_tokens", "item_tokens", "coverage", "n_tiles")
