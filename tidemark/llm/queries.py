@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.chat import DIGEST_SQL, digests, format_conversations
 from tidemark.llm.decontaminate import contaminated
+from tidemark.llm.html_text import extract
 from tidemark.llm.mixture import mixture
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality import classify
 from tidemark.llm.shards import shard_documents
+from tidemark.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +58,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "covered_tokens", "item_tokens", "coverage", "n_tiles")
+
+
+@register("op2_html_consensus_paths")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@register("op3_norm_bucket_topk")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: Fixed rows of op8: a conversation whose texts are another template's control strings.
+CONTROL_ROWS = "(-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')"
+
+
+@register("op8_typed_chat_parts", DIGEST_SQL.format(extra=CONTROL_ROWS))
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql(f"SELECT * FROM VALUES {CONTROL_ROWS} AS v(conv_id, turn, role, text)")
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(format_conversations(said.union(extra)))
