@@ -12,8 +12,14 @@ probability (1 - 0.85^5)^25 < 5e-7, and one at 0.95 with < 1e-16.
 Verification without all pairs. Texts with equal shingle sets are one node. In each bucket some members are
 pivots; every other member is compared with them on full shingle sets, links are contracted to components, and
 the pivots leave the bucket, as all their links in it are known. A bucket whose members are all in one component
-needs no further comparison. Rounds go on, with four times as many pivots each, until no bucket is left. So no
-candidate pair that could join two components is left out, yet a bucket of n copies costs n comparisons.
+needs no further comparison.
+
+A bucket may hold many texts that are near, but not near enough. What a first round with one pivot each leaves open
+is therefore dealt anew by an exact filter: with the shingles of all these texts in one order, rare ones first, two
+sets can only overlap enough if they share a shingle among the first few of each (how many follows from both sizes).
+Each text enters the buckets of these shingles, by size classes; shingles of one text only make no bucket. Then
+rounds go on, with four times as many pivots each, until no bucket is left with members of two components. So no
+pair that could join two components is left out, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +39,10 @@ BANDS, ROWS = 25, 5
 SIMILARITY_PERCENT = 85
 #: Ids up to this many (8 bytes each) are sent to every executor to pick texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
+#: Counters of shingle frequencies, one byte each; a shingle's rarity only sets the order in which prefixes are cut.
+COUNTERS = 1 << 22
+#: Ratio of set sizes within a class.
+SIZE_CLASS = 1.01
 
 
 def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -128,6 +138,77 @@ def _linked(percent: int):
     return run, "a long, b long"
 
 
+#: A node in a bucket; size, rest and side serve the exact filter only, see prefix_keys.
+MEMBER = ("bucket", "node", "size", "rest", "side")
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle of each counter, 255 standing for more: a table of COUNTERS bytes."""
+    schema = pa.schema([("counter", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for value in batch.column("shingles"):
+                np.add.at(total, (np.frombuffer(value.as_buffer(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], schema=schema)
+
+    often = sets.mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = often.select(F.col("counter").cast("int").alias("counter"), F.least("n", F.lit(255)).cast("short").alias("n")).toArrow()
+    table = np.ones(COUNTERS, np.uint8)
+    table[found.column("counter").to_numpy()] = found.column("n").to_numpy().astype(np.uint8)
+    return table
+
+
+def size_class(n: int) -> int:
+    return int(np.floor(np.log(n) / np.log(SIZE_CLASS) + 1e-9))
+
+
+def prefix_keys(s: np.ndarray, often: np.ndarray, percent: int, classes: frozenset[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set, two sets that overlap enough sharing one; for each the side and how many shingles come behind.
+
+    A key is of a shingle and of two size classes (classes: those that occur). Side 2: both classes are the same;
+    else 0 if the set is of the smaller class, 1 if of the larger.
+    """
+    n = len(s)
+    count = often[(s % np.uint64(len(often))).astype(np.int64)]
+    order = np.lexsort((s, count))
+    s, count = s[order], count[order]
+    own = size_class(n)
+    keys, sides, rests = [s[:0]], [], []
+    for other in range(size_class(max(1, -(-n * percent // 100))), size_class(n * 100 // percent) + 1):
+        if other not in classes:
+            continue
+        least = max(-(-n * percent // 100), int(np.floor(SIZE_CLASS**other)))
+        need = -(-percent * (n + least) // (100 + percent))
+        at = np.flatnonzero(count[: max(0, n - need + 1)] > 1)
+        pair = min(own, other) * int(PLACES[11]) + max(own, other) * int(PLACES[12])
+        keys.append(mix(s[at] + np.uint64(pair % 2**64)))
+        sides.append(np.full(len(at), 2 if own == other else int(own > other), np.int64))
+        rests.append(n - 1 - at)
+    return np.concatenate(keys), np.concatenate([*sides, np.zeros(0, np.int64)]), np.concatenate([*rests, np.zeros(0, np.int64)])
+
+
+def _prefix_buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, node, size, rest, side for the sets, by prefix_keys."""
+    sizes = sets.select((F.length("shingles") / 8).cast("long").alias("n")).select(F.floor(F.log("n") / float(np.log(SIZE_CLASS)) + 1e-9).alias("c")).distinct()
+    classes = frozenset(r["c"] for r in sizes.collect())  # at most a few thousand, whatever the number of sets
+    often = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+    schema = pa.schema([(c, pa.int64()) for c in MEMBER])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("shingles")]
+            found = [prefix_keys(s, often.value, percent, classes) for s in own]
+            each = [len(f[0]) for f in found]
+            keys, sides, rests = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            nodes, size = np.repeat(batch.column("node").to_numpy(), each), np.repeat([len(s) for s in own], each)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes), pa.array(size, pa.int64()), pa.array(rests), pa.array(sides)], schema=schema)
+
+    return sets.mapInArrow(run, ", ".join(f"{c} long" for c in MEMBER))
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label: the smallest node that links reach from it, for every node of a link (a, b).
 
@@ -135,21 +216,38 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     labels; a round at least halves the nodes of what is left of a component, so rounds grow with its logarithm.
     """
     edges = scratch.keep(links.select("a", "b").filter("a <> b").distinct())
-    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
+    labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
-        hook = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to"))
-        hook = scratch.keep(hook)
+        hook = scratch.keep(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to")))
         next_ = hook.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
         jump = scratch.keep(hook.join(next_, "to", "left").select("node", F.coalesce("beyond", "to").alias("to")))
         ends = [jump.select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in "ab"]
         drawn = edges.join(ends[0], "a").join(ends[1], "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
         fresh = scratch.keep(drawn.filter("a <> b").distinct())
-        moved = labels.join(jump.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = scratch.keep(moved)
+        labels = jump.withColumnRenamed("to", "label") if labels is None else scratch.keep(_relabel(labels, jump.withColumnRenamed("to", "label")))
         scratch.drop(edges, hook)
         edges = fresh
-    return labels
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def _label(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """nodes with the label of each, itself where it has none."""
+    if labels is None:
+        return nodes.withColumn("label", F.col("node"))
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _relabel(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """labels (node, label) after labels have got labels themselves (moved: node, label)."""
+    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def _several(labelled: DataFrame) -> DataFrame:
+    """The buckets in which members that may be compared have more than one label."""
+    found = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("side").alias("low"), F.max("side").alias("high"))
+    return found.filter("least < most and (high = 2 or low < high)").select("bucket")
 
 
 def near_duplicates(
@@ -171,27 +269,38 @@ def near_duplicates(
     classes = scratch.keep(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.hash("doc_id"), "doc_id", "bands")).alias("pick")))
     spread = classes.select("node", F.explode("pick.bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket")
-    members = scratch.keep(spread.join(shared, "bucket"))
+    anything = [F.lit(v).cast("long").alias(c) for c, v in (("size", 0), ("rest", 0), ("side", 2))]
+    members = scratch.keep(spread.join(shared, "bucket").select("bucket", "node", *anything))
 
     sets = _needed_sets(texts, classes, members, scratch, shingle, broadcast_ids) if not members.isEmpty() else None
-    links = labels = None
+    labels = None
     pivots = 1
     while not members.isEmpty():
-        labelled = members.withColumn("label", F.col("node")) if labels is None else _label(members, labels)
-        order: Column = F.xxhash64(F.lit(pivots), "node")
-        chosen = labelled.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(pivots)))
-        chosen = chosen.groupBy("bucket", "slot").agg(F.min(F.struct(order.alias("order"), "node", "label")).alias("p"))
-        chosen = scratch.keep(chosen.select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label")))
-        pairs = labelled.join(chosen, "bucket").filter("label <> pivot_label")
-        pairs = scratch.keep(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-        found = scratch.keep(_verify(pairs, sets, percent))
-        links = found if links is None else links.union(found)
-        labels = components(links, scratch)
-        left = members.join(chosen, (members.bucket == chosen.bucket) & (members.node == chosen.pivot), "left_anti")
-        left = _label(left, labels)
-        open_ = left.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket")
-        fresh = scratch.keep(left.select("bucket", "node").join(open_, "bucket", "left_semi"))
-        scratch.drop(members, chosen, pairs)
+        labelled = scratch.keep(_label(members, labels))
+        chosen = labelled.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(pivots))).groupBy("bucket", "slot")
+        chosen = chosen.agg(F.min(F.struct(F.xxhash64(F.lit(pivots), "node").alias("order"), *MEMBER[1:], "label")).alias("p"))
+        chosen = scratch.keep(chosen.select("bucket", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in (*MEMBER[1:], "label")]))
+        # the first shared shingle of two sets that overlap enough has enough of both behind it
+        enough = (100 + percent) * (1 + F.least("rest", "pivot_rest")) >= percent * (F.col("size") + F.col("pivot_size"))
+        apart = F.col("label") != F.col("pivot_label")
+        pairs = labelled.join(chosen, "bucket").filter(apart & enough & ((F.col("side") == 2) | (F.col("side") != F.col("pivot_side"))))
+        pairs = scratch.keep(pairs.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).distinct())
+        found = _verify(pairs, sets, percent)
+        if labels is None:
+            labels = components(found, scratch)
+        else:
+            ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}2")) for c in "ab"]
+            ends = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
+            moved = components(ends, scratch)
+            fresh = moved.join(labels, "node", "left_anti")
+            labels = scratch.keep(_relabel(labels, moved).union(fresh))
+        left = members.join(chosen, (members.bucket == chosen.bucket) & (members.node == chosen.pivot_node), "left_anti")
+        if pivots == 1:
+            open_ = _label(left, labels).join(_several(_label(left, labels)), "bucket", "left_semi").select("node").distinct()
+            left = _prefix_buckets(sets.join(open_, "node", "left_semi"), percent)
+        left = scratch.keep(_label(left, labels))
+        fresh = scratch.keep(left.join(_several(left), "bucket", "left_semi").select(*MEMBER))
+        scratch.drop(members, labelled, chosen, pairs, left)
         members, pivots = fresh, pivots * 4
 
     groups = classes.select("node", "rep")
@@ -206,10 +315,6 @@ def near_duplicates(
     return whole.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _label(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
 def _needed_sets(texts: DataFrame, classes: DataFrame, members: DataFrame, scratch: Scratch, shingle: int, broadcast_ids: int) -> DataFrame:
     """The shingle sets of nodes that share a bucket, from the text of one document each."""
     nodes = members.select("node").distinct()
