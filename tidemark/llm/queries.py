@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import DIGEST_SQL, digests, format_conversations
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.html_text import extract
+from tidemark.llm.language import identify
 from tidemark.llm.mixture import mixture
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality import classify
@@ -79,3 +80,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(f"SELECT * FROM VALUES {CONTROL_ROWS} AS v(conv_id, turn, role, text)")
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return digests(format_conversations(said.union(extra)))
+
+
+@register("op10_byte_bigru_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
