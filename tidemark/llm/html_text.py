@@ -6,7 +6,8 @@ path: its chain of tag names and classes, with digits and other page-bound parts
 by host. Second pass: the host's winning paths are sent along with its pages, and each page's text is taken from
 the elements at the first of these paths that the page has, or from its own best container if it has none.
 
-Votes are sums by (host, path), joined back by host: a host of any number of pages stays spread over tasks.
+Votes are sums by (host, path). The winning paths go to every task while they are of few hosts, so that pages aren't
+shuffled at all; beyond, pages are joined by host and piece, so that a host of any number of pages stays spread.
 """
 
 from __future__ import annotations
@@ -20,10 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import Scratch
+
 #: Paths kept for each host, in order of votes.
 HOST_PATHS = 4
 #: A path needs this share of its host's votes; pages that differ have their own say.
 LEAST_SHARE = 0.02
+#: Hosts (a few hundred bytes each) up to which winning paths are sent to every executor, and pieces of a host beyond.
+BROADCAST_HOSTS = 50_000
+PIECES = 64
 
 #: Fixed values of HTML: elements without content, raw text, block-level and never-shown elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -250,7 +256,7 @@ def winning_paths(pages: DataFrame, most: int = HOST_PATHS, least_share: float =
     return top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("ranked")).select("host", F.col("ranked.path").alias("paths"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html; more columns are left out).
 
     Null or empty html gives an empty text. A null url counts as a host of its own. Repeated rows each get a row.
@@ -258,6 +264,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
-    known = rows.join(winning_paths(pages), "host", "left").select("page_id", "url", "html", "paths")
+    paths = Scratch(pages.sparkSession, "host-paths").keep(winning_paths(pages))
+    if paths.count() <= broadcast_hosts:
+        known = rows.join(F.broadcast(paths), "host", "left")
+    else:
+        pieces = paths.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+        known = rows.withColumn("piece", F.pmod(F.xxhash64("page_id", "url"), F.lit(PIECES)).cast("int")).join(pieces, ["host", "piece"], "left")
+    known = known.select("page_id", "url", "html", "paths")
     texts = known.mapInArrow(_extract, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

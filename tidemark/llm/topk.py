@@ -1,7 +1,7 @@
 """Exact top-k by inner product: norm-bucketed retrieval with length or coordinate pruning.
 
 Vectors are grouped by length into buckets of a bounded number of rows, longest first. A query's k-th score against
-a bounded seed (the longest bucket) is a lower bound theta on its k-th score overall. Against a bucket whose longest
+a bounded seed (the longest vectors) is a lower bound theta on its k-th score overall. Against a bucket whose longest
 vector has length L, a query q needs vectors at a cosine of at least theta / (|q| L): the bucket's local threshold.
 Above 1 the bucket is skipped. If it is high, coordinate pruning: a vector can reach that cosine only if its largest
 query coordinates lie in a feasible interval each. If it is low, length pruning: only the bucket's prefix of vectors
@@ -25,6 +25,8 @@ from tidemark.llm.scratch import Scratch
 K = 20
 BUCKET_ROWS = 8192
 QUERY_ROWS = 512
+#: The longest vectors, against which every query gets its first bound.
+SEED_ROWS = 4096
 #: Buckets sorted in one task.
 TASK_BUCKETS = 8
 #: Local cosine threshold from which coordinates prune better than lengths, and how many of them are looked at.
@@ -105,17 +107,23 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def theta_from(ids: np.ndarray, vectors: np.ndarray, seed: tuple, k: int) -> np.ndarray:
-    """The k-th score of each query against the seed (itself aside); NONE where the seed has fewer."""
+def theta_from(ids: np.ndarray, vectors: np.ndarray, seed: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-th best of the seed (itself aside) for each query, as score and id; NONE where the seed has fewer."""
+    scores, holders = np.full(len(ids), NONE), np.full(len(ids), np.iinfo(np.int64).max)
     products = exact_products(vectors, seed[2])
-    products[ids[:, None] == seed[0][None, :]] = NONE
-    if products.shape[1] < k:
-        return np.full(len(ids), NONE)
-    return np.partition(products, products.shape[1] - k, axis=1)[:, products.shape[1] - k]
+    for row, own in enumerate(products):
+        others = np.flatnonzero(seed[0] != ids[row])
+        if len(others) >= k:
+            last = others[best(own[others], seed[0][others], k)[-1]]
+            scores[row], holders[row] = own[last], seed[0][last]
+    return scores, holders
 
 
-def search_bucket(q_ids, q_norms, q_vectors, theta, p_ids, p_norms, p_vectors, k, coordinate_from=COORDINATE_FROM, focus=FOCUS):
-    """(row of the query, places in the bucket, scores) of what reaches theta, k at most for each query."""
+def search_bucket(q_ids, q_norms, q_vectors, theta, holder, p_ids, p_norms, p_vectors, k, coordinate_from=COORDINATE_FROM, focus=FOCUS):
+    """(row of the query, places in the bucket, scores) of what reaches theta, k at most for each query.
+
+    holder is the id that has theta: a row of that score counts up to this id, as ties go to smaller ids.
+    """
     out = []
     unit = p_vectors / np.maximum(p_norms, 1e-300)[:, None]
     slack = 1e-9
@@ -135,14 +143,15 @@ def search_bucket(q_ids, q_norms, q_vectors, theta, p_ids, p_norms, p_vectors, k
             low, high = np.cos(min(np.pi, angle + turn)) - slack, np.cos(max(0.0, angle - turn)) + slack
             some = some[(unit[some, f] >= low) & (unit[some, f] <= high)]
         scores = exact_products(p_vectors[some], q_vectors[r : r + 1])[:, 0]
-        use = (scores >= theta[r]) & (p_ids[some] != q_ids[r])
+        use = ((scores > theta[r]) | (scores == theta[r]) & (p_ids[some] <= holder[r])) & (p_ids[some] != q_ids[r])
         out.append((r, some[use], scores[use]))
     if len(by_length):
         upto = np.searchsorted(-p_norms, -least[by_length], "right")
         products = exact_products(q_vectors[by_length], p_vectors[: upto.max(initial=0)])
         for at, r in enumerate(by_length):
             scores = products[at, : upto[at]]
-            use = np.flatnonzero((scores >= theta[r]) & (p_ids[: upto[at]] != q_ids[r]))
+            ids = p_ids[: upto[at]]
+            use = np.flatnonzero(((scores > theta[r]) | (scores == theta[r]) & (ids <= holder[r])) & (ids != q_ids[r]))
             out.append((r, use, scores[use]))
     return [(r, some[keep], scores[keep]) for r, some, scores in out for keep in [best(scores, p_ids[some], k)] if len(keep)]
 
@@ -156,8 +165,8 @@ def _search(k: int):
             for row in batch.to_pylist():
                 q_ids, q_norms, q_vectors = _unpack(row["q_size"], row["q_ids"], row["q_norms"], row["q_vectors"])
                 p_ids, p_norms, p_vectors = _unpack(row["size"], row["ids"], row["norms"], row["vectors"])
-                theta = np.frombuffer(row["theta"], np.int64)
-                found = search_bucket(q_ids, q_norms, q_vectors, theta, p_ids, p_norms, p_vectors, k)
+                theta, holder = np.frombuffer(row["theta"], np.int64).reshape(2, -1)
+                found = search_bucket(q_ids, q_norms, q_vectors, theta, holder, p_ids, p_norms, p_vectors, k)
                 if found:
                     queries = np.concatenate([np.full(len(places), q_ids[r]) for r, places, _ in found])
                     ids = np.concatenate([p_ids[places] for _, places, _ in found])
@@ -174,10 +183,10 @@ def _with_theta(k: int, seed: tuple):
             thetas, needs = [], []
             for row in batch.to_pylist():
                 ids, norms, vectors = _unpack(row["size"], row["ids"], row["norms"], row["vectors"])
-                theta = theta_from(ids, vectors, seed, k)
+                theta, holder = theta_from(ids, vectors, seed, k)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     needs.append(float(np.where(theta > 0, theta / norms, 0.0).min()) * (1 - 1e-9))
-                thetas.append(theta.astype(np.int64).tobytes())
+                thetas.append(np.stack([theta, holder]).astype(np.int64).tobytes())
             columns = [batch.column(c) for c in ("size", "ids", "norms", "vectors")] + [pa.array(thetas, pa.binary()), pa.array(needs, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["q_size", "q_ids", "q_norms", "q_vectors", "theta", "need"])
 
@@ -205,8 +214,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = 64.0, bucket_
     order = [F.desc("norm2"), F.asc("vec_id")]
     buckets = clean.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(pack, packed)
     buckets = scratch.keep(buckets.withColumn("bucket", F.monotonically_increasing_id()))
-    first = buckets.orderBy(F.desc("longest"), F.desc("size")).limit(1).collect()[0]
-    seed = _unpack(first["size"], first["ids"], first["norms"], first["vectors"])
+    longest = clean.orderBy(*order).limit(SEED_ROWS).mapInArrow(_pack(SEED_ROWS)[0], packed).collect()[0]
+    seed = _unpack(longest["size"], longest["ids"], longest["norms"], longest["vectors"])
     pack, packed = _pack(query_rows)
     queries = clean.filter(is_query)
     asked = max(1, -(-queries.count() // (query_rows * TASK_BUCKETS)))
