@@ -18,7 +18,7 @@ A bucket may hold many texts that are near, but not near enough. What a first ro
 is therefore dealt anew by an exact filter: with the shingles of all these texts in one order, rare ones first, two
 sets can only overlap enough if they share a shingle among the first few of each (how many follows from both sizes).
 Each text enters the buckets of these shingles, by size classes; shingles of one text only make no bucket. Then
-rounds go on, with four times as many pivots each, until no bucket is left with members of two components. So no
+rounds go on, with eight times as many pivots each, until no bucket is left with members of two components. So no
 pair that could join two components is left out, and no group is expanded into all its pairs.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.textblocks import PLACES, blocks, mix, shingle_sets, words
+from tidemark.operators.cluster import connected_components, relabel
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 25, 5
@@ -42,7 +43,7 @@ BROADCAST_IDS = 2_000_000
 #: Counters of shingle frequencies, one byte each; a shingle's rarity only sets the order in which prefixes are cut.
 COUNTERS = 1 << 22
 #: Ratio of set sizes within a class.
-SIZE_CLASS = 1.01
+SIZE_CLASS = 1.02
 
 
 def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -138,8 +139,13 @@ def _linked(percent: int):
     return run, "a long, b long"
 
 
-#: A node in a bucket; size, rest and side serve the exact filter only, see prefix_keys.
-MEMBER = ("bucket", "node", "size", "rest", "side")
+#: A node in a bucket; place serves the exact filter only: set size, shingles behind and side of prefix_keys in one.
+MEMBER = ("bucket", "node", "place")
+
+
+def _place(column: str) -> dict[str, Column]:
+    at = F.col(column)
+    return {"size": F.shiftright(at, 32), "rest": F.shiftright(at, 2).bitwiseAND(F.lit((1 << 30) - 1)), "side": at.bitwiseAND(F.lit(3))}
 
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
@@ -191,11 +197,11 @@ def prefix_keys(s: np.ndarray, often: np.ndarray, percent: int, classes: frozens
 
 
 def _prefix_buckets(sets: DataFrame, percent: int) -> DataFrame:
-    """bucket, node, size, rest, side for the sets, by prefix_keys."""
+    """bucket, node, place and label for the sets (node, shingles, label), by prefix_keys."""
     sizes = sets.select((F.length("shingles") / 8).cast("long").alias("n")).select(F.floor(F.log("n") / float(np.log(SIZE_CLASS)) + 1e-9).alias("c")).distinct()
     classes = frozenset(r["c"] for r in sizes.collect())  # at most a few thousand, whatever the number of sets
     often = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
-    schema = pa.schema([(c, pa.int64()) for c in MEMBER])
+    schema = pa.schema([(c, pa.int64()) for c in (*MEMBER, "label")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,32 +209,11 @@ def _prefix_buckets(sets: DataFrame, percent: int) -> DataFrame:
             found = [prefix_keys(s, often.value, percent, classes) for s in own]
             each = [len(f[0]) for f in found]
             keys, sides, rests = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            nodes, size = np.repeat(batch.column("node").to_numpy(), each), np.repeat([len(s) for s in own], each)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes), pa.array(size, pa.int64()), pa.array(rests), pa.array(sides)], schema=schema)
-
-    return sets.mapInArrow(run, ", ".join(f"{c} long" for c in MEMBER))
-
-
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, label: the smallest node that links reach from it, for every node of a link (a, b).
+            places = (np.repeat(np.array([len(s) for s in own], np.int64), each) << 32) | (rests << 2) | sides
+            nodes, labels = (np.repeat(batch.column(c).to_numpy(), each) for c in ("node", "label"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes), pa.array(places, pa.int64()), pa.array(labels)], schema=schema)
 
-    Each round a node hooks to its smallest neighbour, follows one pointer, and links are drawn again between
-    labels; a round at least halves the nodes of what is left of a component, so rounds grow with its logarithm.
-    """
-    edges = scratch.keep(links.select("a", "b").filter("a <> b").distinct())
-    labels = None
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a")).toDF("node", "other")
-        hook = scratch.keep(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to")))
-        next_ = hook.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
-        jump = scratch.keep(hook.join(next_, "to", "left").select("node", F.coalesce("beyond", "to").alias("to")))
-        ends = [jump.select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in "ab"]
-        drawn = edges.join(ends[0], "a").join(ends[1], "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
-        fresh = scratch.keep(drawn.filter("a <> b").distinct())
-        labels = jump.withColumnRenamed("to", "label") if labels is None else scratch.keep(_relabel(labels, jump.withColumnRenamed("to", "label")))
-        scratch.drop(edges, hook)
-        edges = fresh
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return sets.mapInArrow(run, ", ".join(f"{c} long" for c in (*MEMBER, "label")))
 
 
 def _label(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -238,15 +223,9 @@ def _label(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _relabel(labels: DataFrame, moved: DataFrame) -> DataFrame:
-    """labels (node, label) after labels have got labels themselves (moved: node, label)."""
-    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-
-
 def _several(labelled: DataFrame) -> DataFrame:
     """The buckets in which members that may be compared have more than one label."""
-    found = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("side").alias("low"), F.max("side").alias("high"))
+    found = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(_place("place")["side"]).alias("low"), F.max(_place("place")["side"]).alias("high"))
     return found.filter("least < most and (high = 2 or low < high)").select("bucket")
 
 
@@ -269,39 +248,41 @@ def near_duplicates(
     classes = scratch.keep(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.hash("doc_id"), "doc_id", "bands")).alias("pick")))
     spread = classes.select("node", F.explode("pick.bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket")
-    anything = [F.lit(v).cast("long").alias(c) for c, v in (("size", 0), ("rest", 0), ("side", 2))]
-    members = scratch.keep(spread.join(shared, "bucket").select("bucket", "node", *anything))
+    anywhere = F.lit(2).cast("long").alias("place")  # every pair in a band's bucket may be compared
+    members = scratch.keep(spread.join(shared, "bucket").select("bucket", "node", anywhere))
 
     sets = _needed_sets(texts, classes, members, scratch, shingle, broadcast_ids) if not members.isEmpty() else None
     labels = None
     pivots = 1
-    while not members.isEmpty():
-        labelled = scratch.keep(_label(members, labels))
+    while n := members.count():
+        labelled = scratch.keep(_label(members, labels), n)
         chosen = labelled.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(pivots))).groupBy("bucket", "slot")
         chosen = chosen.agg(F.min(F.struct(F.xxhash64(F.lit(pivots), "node").alias("order"), *MEMBER[1:], "label")).alias("p"))
-        chosen = scratch.keep(chosen.select("bucket", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in (*MEMBER[1:], "label")]))
+        chosen = scratch.keep(chosen.select("bucket", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in (*MEMBER[1:], "label")]), n)
         # the first shared shingle of two sets that overlap enough has enough of both behind it
-        enough = (100 + percent) * (1 + F.least("rest", "pivot_rest")) >= percent * (F.col("size") + F.col("pivot_size"))
+        own, other = _place("place"), _place("pivot_place")
+        enough = (100 + percent) * (1 + F.least(own["rest"], other["rest"])) >= percent * (own["size"] + other["size"])
         apart = F.col("label") != F.col("pivot_label")
-        pairs = labelled.join(chosen, "bucket").filter(apart & enough & ((F.col("side") == 2) | (F.col("side") != F.col("pivot_side"))))
-        pairs = scratch.keep(pairs.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).distinct())
+        pairs = labelled.join(chosen, "bucket").filter(apart & enough & ((own["side"] == 2) | (own["side"] != other["side"])))
+        pairs = scratch.keep(pairs.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).distinct(), n)
         found = _verify(pairs, sets, percent)
         if labels is None:
-            labels = components(found, scratch)
+            labels = connected_components(found, scratch)
         else:
             ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}2")) for c in "ab"]
             ends = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
-            moved = components(ends, scratch)
+            moved = connected_components(ends, scratch)
             fresh = moved.join(labels, "node", "left_anti")
-            labels = scratch.keep(_relabel(labels, moved).union(fresh))
+            labels = scratch.keep(relabel(labels, moved).union(fresh), n)
         left = members.join(chosen, (members.bucket == chosen.bucket) & (members.node == chosen.pivot_node), "left_anti")
         if pivots == 1:
             open_ = _label(left, labels).join(_several(_label(left, labels)), "bucket", "left_semi").select("node").distinct()
-            left = _prefix_buckets(sets.join(open_, "node", "left_semi"), percent)
-        left = scratch.keep(_label(left, labels))
-        fresh = scratch.keep(left.join(_several(left), "bucket", "left_semi").select(*MEMBER))
+            left = scratch.keep(_prefix_buckets(_label(sets.join(open_, "node", "left_semi"), labels), percent))
+        else:
+            left = scratch.keep(_label(left, labels), n)
+        fresh = scratch.keep(left.join(_several(left), "bucket", "left_semi").select(*MEMBER), n)
         scratch.drop(members, labelled, chosen, pairs, left)
-        members, pivots = fresh, pivots * 4
+        members, pivots = fresh, pivots * 8
 
     groups = classes.select("node", "rep")
     if labels is None:

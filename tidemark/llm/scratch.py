@@ -1,47 +1,5 @@
-"""Intermediate tables on the folder that the whole cluster shares.
+"""The engine's tables on the shared folder, as the operators of this subpackage use them."""
 
-Every step whose result is used more than once, or whose lineage must end, is written as Parquet under the
-session's ``spark.checkpoint.dir``: any executor can read it again after another one is lost.
-"""
+from tidemark.scratch import Scratch, shared_folder
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only where the session names none (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
-    return context.getCheckpointDir()
-
-
-class Scratch:
-    """Tables of one run of an operator. ``keep`` writes a frame and returns it as read back; ``drop`` frees one."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def keep(self, frame: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        frame.write.parquet(path)
-        kept = self.spark.read.schema(frame.schema).parquet(path)
-        kept.scratch_path = path
-        return kept
-
-    def drop(self, *frames: DataFrame | None) -> None:
-        """Delete tables that no frame still to be computed reads."""
-        for frame in frames:
-            path = getattr(frame, "scratch_path", None)
-            if path:
-                jvm = self.spark.sparkContext._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["Scratch", "shared_folder"]
