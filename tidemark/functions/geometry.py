@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-RING = "array<struct<x:double,y:double>>"
+RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
 def _twice_area(ring: Column) -> Column:
@@ -156,14 +157,14 @@ def _points(ring: list | None) -> np.ndarray:
 
 
 def _of_two(f: Callable[[np.ndarray, np.ndarray], float]):
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([None if x is None or y is None else f(_points(x), _points(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
     return run
 
 
-def _of_one(kind: str, f: Callable):
+def _of_one(kind: T.DataType, f: Callable):
     @F.arrow_udf(kind)
     def run(a: pa.Array) -> pa.Array:
         return pa.array([None if x is None else f(_points(x)) for x in a.to_pylist()])
@@ -180,8 +181,8 @@ def _share(p: np.ndarray, q: np.ndarray) -> float:
 polygon_common_area = _of_two(common_area)
 polygon_iou = _of_two(_share)
 covered_share = _of_two(lambda p, q: common_area(p, q) / abs(signed_area(p)) if len(p) > 2 and signed_area(p) else 0.0)
-polygon_is_simple = _of_one("boolean", is_simple)
-polygon_length = _of_one("double", longest_side)
+polygon_is_simple = _of_one(T.BooleanType(), is_simple)
+polygon_length = _of_one(T.DoubleType(), longest_side)
 
 
 def simplify(ring: Column, tolerance: float) -> Column:

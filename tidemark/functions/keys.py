@@ -7,9 +7,10 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def normal_name(names: pa.Array) -> pa.Array:
     """Class-name key: accents off, underscores to spaces, lower case, runs of white space to one."""
 

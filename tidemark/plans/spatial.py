@@ -99,7 +99,7 @@ def suppression_by_smaller(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j2_similar_neighbours",
     """WITH e AS (SELECT vec_id, label, embedding, (vec_id * 7 % 40)::DOUBLE AS x, (vec_id * 11 % 40)::DOUBLE AS y FROM embeddings WHERE embedding IS NOT NULL)
     SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 64
-    WHERE round(list_sum(list_transform(list_zip(a.embedding, b.embedding), z -> z[1]::DOUBLE * z[2]::DOUBLE)), 6) >= 0.25""",
+    WHERE round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) >= 0.25""",
 )
 def similar_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one class within 8 m whose embeddings have a cosine of at least 0.25; null embeddings take no part."""

@@ -82,8 +82,8 @@ def confidence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "a10_photo_sheet",
-    f"""WITH {DETECTIONS}, by AS (SELECT photo_idx, class_name, count(*) AS c, max(confidence) AS top FROM detections GROUP BY ALL)
-    SELECT photo_idx, sum(c)::BIGINT AS n, round(max(top), 4) AS best, string_agg(class_name || '(' || c || ')', ', ' ORDER BY c DESC, class_name) AS classes FROM by GROUP BY photo_idx""",
+    f"""WITH {DETECTIONS}, g AS (SELECT photo_idx, class_name, count(*) AS c, max(confidence) AS top FROM detections GROUP BY ALL)
+    SELECT photo_idx, sum(c)::BIGINT AS n, round(max(top), 4) AS best, string_agg(class_name || '(' || c || ')', ', ' ORDER BY c DESC, class_name) AS classes FROM g GROUP BY photo_idx""",
 )
 def photo_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = detections(spark, sf_dir).groupBy("photo_idx", "class_name").agg(F.count("*").alias("c"), F.max("confidence").alias("top"))
@@ -156,18 +156,18 @@ def class_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "p1_usable_photos",
     f"""WITH {PHOTOS}, flagged AS (SELECT *, list_filter([CASE WHEN lon IS NULL OR lat IS NULL THEN 'no position' END, CASE WHEN alt IS NULL OR alt <= 1 THEN 'no altitude' END, CASE WHEN yaw IS NULL THEN 'no heading' END,
-        CASE WHEN sensor_mm IS NULL THEN 'unknown sensor' END, CASE WHEN abs(pitch + 90) > 8 THEN 'not nadir' END], x -> x IS NOT NULL) AS alerts FROM photos)
+        CASE WHEN sensor_mm IS NULL THEN 'unknown sensor' END, CASE WHEN abs(pitch + 90) > 8 THEN 'not nadir' END], lambda x: x IS NOT NULL) AS alerts FROM photos)
     SELECT photo_idx, array_to_string(alerts, '; ') AS alerts, len(alerts) = 0 AS usable, round(CASE WHEN len(alerts) = 0 THEN alt * sensor_mm / (focal_mm * width) END, 6) AS gsd,
-        CASE WHEN lon IS NOT NULL THEN (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END) + CAST(trunc((lon + 180) / 6) AS INTEGER) + 1 END AS epsg FROM flagged""",
+        coalesce((CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END) + CAST(trunc((lon + 180) / 6) AS INTEGER) + 1, 0) AS epsg FROM flagged""",
 )
 def usable_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts in place of errors; a photo is usable without any. Ground sample distance and UTM zone follow."""
+    """Alerts in place of errors; a photo is usable without any. Ground sample distance and UTM zone (0: none) follow."""
     c = F.col
     checks = [(c("lon").isNull() | c("lat").isNull(), "no position"), (c("alt").isNull() | (c("alt") <= 1), "no altitude"), (c("yaw").isNull(), "no heading"), (c("sensor_mm").isNull(), "unknown sensor"), (F.abs(c("pitch") + 90) > 8, "not nadir")]
     alerts = F.filter(F.array(*[F.when(bad, F.lit(what)) for bad, what in checks]), lambda x: x.isNotNull())
     seen = photos(spark, sf_dir).withColumn("alerts", alerts)
     gsd = F.when(F.size("alerts") == 0, geodesy.ground_sample(c("alt"), c("sensor_mm"), c("focal_mm"), c("width")))
-    return seen.select("photo_idx", F.array_join("alerts", "; ").alias("alerts"), (F.size("alerts") == 0).alias("usable"), F.round(gsd, 6).alias("gsd"), F.when(c("lon").isNotNull(), geodesy.utm_epsg(c("lon"), c("lat"))).alias("epsg"))
+    return seen.select("photo_idx", F.array_join("alerts", "; ").alias("alerts"), (F.size("alerts") == 0).alias("usable"), F.round(gsd, 6).alias("gsd"), F.coalesce(geodesy.utm_epsg(c("lon"), c("lat")), F.lit(0)).alias("epsg"))
 
 
 @register(
