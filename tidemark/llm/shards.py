@@ -110,7 +110,7 @@ def learn(light: DataFrame, shards: int, scratch: Scratch, slack: float = SLACK)
                 goals[n] = (widest, r["bytes"] * (of[n] // 2) / of[n])
         cuts |= _cuts(rows, goals, slack * total / shards)
         level = [c for n in level for c in (2 * n, 2 * n + 1) if of[c] > 1]
-        if level:
+        if level and goals:
             at = _values(light, "__node, dim, place, own", [(n, *cuts[n]) for n in goals])
             value = _along("dim", dims)
             before = (value < F.col("place")) | ((value == F.col("place")) & F.coalesce(F.col("__own") < F.col("own"), F.lit(False)))
