@@ -29,6 +29,8 @@ MAX_DOC_BYTES = 100_000
 HIDDEN = 12
 STEPS = 700
 BATCH = 512
+#: Pieces in which a language's documents are ranked for the sample.
+PIECES = 64
 #: Distinct runs that a task remembers.
 REMEMBERED = 400_000
 UNKNOWN = "und"
@@ -219,8 +221,13 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, max_bytes: int
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= max_bytes) & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id").distinct()
+    # ranked within pieces of a language first, so that no task ranks a whole language
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = usable.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(PIECES)).alias("piece"))
+    for keys in (["lang", "piece"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= per_language)
+    chosen = chosen.select("doc_id").distinct()
     found = usable.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").toArrow()
     langs = found.column("lang").to_pylist()
     languages = sorted(set(langs))
