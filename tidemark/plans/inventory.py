@@ -100,12 +100,12 @@ def archive_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "k7_wide_runs",
-    "SELECT o_custkey AS run, count(*) FILTER (o_orderstatus = 'F') AS F_n, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 3) AS F_mean, count(*) FILTER (o_orderstatus = 'O') AS O_n, round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 3) AS O_mean FROM orders GROUP BY 1",
+    "SELECT o_custkey AS run, count(*) FILTER (o_orderstatus = 'F') AS F_n, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS F_total, count(*) FILTER (o_orderstatus = 'O') AS O_n, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS O_total FROM orders GROUP BY 1",
 )
 def wide_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a run, columns for each class."""
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "run")
-    return o.groupBy("run").pivot("o_orderstatus", ["F", "O"]).agg(F.count("o_orderkey").alias("n"), F.round(F.avg("o_totalprice"), 3).alias("mean")).fillna(0, ["F_n", "O_n"])
+    return o.groupBy("run").pivot("o_orderstatus", ["F", "O"]).agg(F.count("o_orderkey").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).fillna(0, ["F_n", "O_n"])
 
 
 @register(
