@@ -199,7 +199,7 @@ def test_every_query_runs(spark, small):
 
     names = set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= names
-    for name in ("c6_greedy_suppression", "c7_suppression_by_smaller", "j4_match_by_overlap", "j5_match_by_confidence", "c8_owner_and_rescue", "g1_deficit_split", "g4_frozen_bench", "f1_class_keys", "f40_most_square_grid"):
+    for name in ("c6_greedy_suppression", "c7_suppression_by_smaller", "j4_match_by_overlap", "j5_match_by_confidence", "c8_owner_and_rescue", "g1_deficit_split", "g4_frozen_bench", "f18_undistorted", "j27_cross_model_clusters", "a44_site_hulls", "f1_class_keys", "f40_most_square_grid"):
         assert catalog.QUERIES[name](spark, small).count() > 0
 
 
