@@ -302,3 +302,24 @@ def union_of_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = d.filter("k < 30").unionByName(d.filter("k >= 20"))
     both = u.filter("det_id % 2 = 0").select("photo_idx").intersect(u.filter("det_id % 3 = 0").select("photo_idx"))
     return u.join(both, "photo_idx", "left_semi").groupBy("photo_idx").agg(F.count("*").alias("rows"), F.countDistinct("det_id").alias("ids"))
+
+
+@register(
+    "g5_rescue_windows",
+    f"""WITH {BOXES}, o AS (SELECT det_id, photo_idx, x0 % 1400 AS x0, y0 % 1000 AS y0, x0 % 1400 + (x1 - x0) AS x1, y0 % 1000 + (y1 - y0) AS y1 FROM boxes),
+    w(wx, wy) AS (SELECT * FROM (VALUES (0), (640), (860)) a(x), (VALUES (0), (460)) b(y)),
+    f AS (SELECT o.*, max(greatest(0, least(x1, wx + 640) - greatest(x0, wx)) * greatest(0, least(y1, wy + 640) - greatest(y0, wy)) / ((x1 - x0) * (y1 - y0))) AS best FROM o CROSS JOIN w GROUP BY ALL)
+    SELECT photo_idx, greatest(0, least(860, floor((x0 + x1) / 2) - 320))::BIGINT AS wx, greatest(0, least(460, floor((y0 + y1) / 2) - 320))::BIGINT AS wy, count(*) AS objects FROM f WHERE round(best, 9) < 0.8 GROUP BY 1, 2, 3""",
+)
+def rescue_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows added around objects of which no regular window holds 0.8; an image is 1500 x 1100, a window 640."""
+    from tidemark.operators.tiling import windows
+
+    w, h = c("x1") - c("x0"), c("y1") - c("y0")
+    o = boxes(spark, sf_dir).select("det_id", "photo_idx", (c("x0") % 1400).alias("x0"), (c("y0") % 1000).alias("y0"), (c("x0") % 1400 + w).alias("x1"), (c("y0") % 1000 + h).alias("y1"))
+    regular = windows(spark.sql("SELECT 1500 AS w, 1100 AS h"), "w", "h", 640, 640).select("x0", "y0").distinct()
+    places = F.array(*[F.struct(F.lit(r["x0"]).alias("x"), F.lit(r["y0"]).alias("y")) for r in sorted(regular.collect())])  # a handful, the same for every image
+    side = lambda lo, hi, at: F.greatest(F.lit(0.0), F.least(c(hi), at + 640) - F.greatest(c(lo), at))
+    best = F.array_max(F.transform(places, lambda p: side("x0", "x1", p["x"]) * side("y0", "y1", p["y"]) / ((c("x1") - c("x0")) * (c("y1") - c("y0")))))
+    inside = lambda lo, hi, most: F.greatest(F.lit(0), F.least(F.lit(most), F.floor((c(lo) + c(hi)) / 2) - 320)).cast("long")
+    return o.filter(F.round(best, 9) < 0.8).groupBy("photo_idx", inside("x0", "x1", 860).alias("wx"), inside("y0", "y1", 460).alias("wy")).agg(F.count("*").alias("objects"))
