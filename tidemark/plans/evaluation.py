@@ -39,7 +39,9 @@ def curve(preds: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     run = preds.join(total, keys).withColumn("rn", F.row_number().over(by)).withColumn("hits", F.sum("tp").over(upto))
     run = run.withColumn("precision", F.col("hits") / F.col("rn")).withColumn("recall", F.col("hits") / F.col("n_gt"))
-    return run.withColumn("envelope", F.max("precision").over(by.rowsBetween(0, Window.unboundedFollowing)))
+    # the best precision from here on, as a running maximum from the other end: linear, which an open-ended frame isn't
+    back = Window.partitionBy(*keys).orderBy("confidence", F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    return run.withColumn("envelope", F.max("precision").over(back))
 
 
 def class_metrics(preds: DataFrame, truth: DataFrame, keys: list[str], threshold: float) -> DataFrame:
