@@ -80,6 +80,17 @@ def test_near_duplicates_repeats_and_empty(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, v in brute_components(rows[:8]).items() if v[1] == k)
 
 
+def test_one_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (sentence(rng, 60, 3000) for _ in range(4))
+    near = lambda t: t + " tail"
+    given = [(None, a), (None, b), (None, near(b)), (None, c), (5, near(a)), (7, c), (7, d), (7, d), (None, near(d)), (None, None), (None, ""), (None, " "), (None, " "), (8, ""), (8, "")]
+    kept = near_dedup.keep_one_of_each(docs_of(spark, [(i, t, "en", "a") for i, t in given])).collect()
+    found = Counter((r.doc_id, r.text) for r in kept)
+    of_b = [k for k in found if k in ((None, b), (None, near(b)))]
+    assert len(of_b) == 1 and found == Counter([(5, near(a)), of_b[0], (7, c), (7, d), (None, None), (None, ""), (None, " "), (None, " "), (8, "")])
+
+
 def test_sketch_fills_every_coordinate_and_estimates_similarity():
     rng = np.random.default_rng(1)
     for size in (1, 3, 50, 4000):

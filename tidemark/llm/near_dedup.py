@@ -317,12 +317,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without near-duplicates: of each group the document with the smallest doc_id stays, with all its columns.
+    """docs without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
 
-    Rows repeated with one doc_id are one document: the first by text, source, language stays.
+    Groups are of texts, whatever their ids: different texts under one doc_id, or under none, are grouped each for
+    itself. A null doc_id comes after all others; ties go by a hash of doc_id and text. Rows equal in doc_id and
+    text are one document: the first by a hash of all columns stays. Null and wordless texts are in no group and
+    stay; those without a doc_id aren't taken for one document either.
     """
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = F.xxhash64(doc_id, text)
+    # near_duplicates takes the key of a row for its id, so that it sees texts under one id apart
+    groups = near_duplicates(docs.select(key.alias("doc_id"), text.alias("text")), **options)
+    groups = groups.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = docs.select(key.alias("key"), doc_id.alias("id")).distinct()
+    first = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    kept = first.select(F.col("first.key").alias("__key"))
+    loose = doc_id.isNull() & (text.isNull() | ~text.rlike(r"[^\x20\x09-\x0d]"))
+    stay = docs.filter(~loose).withColumn("__key", key).join(kept, "__key", "left_semi")
     order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    stay = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    ranked = stay.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(order)))
-    return ranked.filter(F.col("__rank") == 1).drop("__rank")
+    ranked = stay.withColumn("__rank", F.row_number().over(Window.partitionBy("__key").orderBy(order)))
+    return ranked.filter(F.col("__rank") == 1).select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(loose))
