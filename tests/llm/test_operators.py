@@ -308,6 +308,15 @@ def test_decontamination_against_brute_tiling(spark):
     assert decontaminate.contaminated(docs_of(spark, docs), benchmark.limit(0)).count() == 0 and decontaminate.contaminated(docs_of(spark, []), benchmark).count() == 0
 
 
+def test_keep_clean_finds_items_without_an_id(spark):
+    rng = random.Random(12)
+    items = [(k, sentence(rng, 24, 5000)) for k in (None, 3, None)]
+    docs = [(k, f"{sentence(rng, 9)} {t} {sentence(rng, 9)}", "en", "a") for k, (_, t) in enumerate(items)] + [(9, sentence(rng, 40, 5000), "en", "a")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for size in (10**6, 30):
+        assert [r.doc_id for r in decontaminate.keep_clean(docs_of(spark, docs), benchmark, slice_seeds=size).collect()] == [9]
+
+
 def test_tiling_of_repeated_words():
     for a, b in (("a a a a a a b c d e f".split(), "a a a a b c d e".split()), ("x y z w v x y z w v q".split(), "x y z w v q r x y z w v".split())):
         seeds = [(i, j) for i in range(len(a) - 4) for j in range(len(b) - 4) if a[i : i + 5] == b[j : j + 5]]

@@ -211,7 +211,8 @@ def is_contaminated(text: Column, table: SeedTable, min_match: int, threshold: f
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, slice_seeds: int = SLICE_SEEDS) -> DataFrame:
-    """docs, with all columns, without the rows that hold a test item to the threshold."""
-    for table in seed_tables(benchmark, min_match, slice_seeds):
+    """docs, with all columns, without the rows that hold a test item to the threshold, whether the item has an id or not."""
+    items = benchmark.select(F.lit(0).alias("item_id"), "text")
+    for table in seed_tables(items, min_match, slice_seeds):
         docs = docs.filter(~is_contaminated(F.col("text").cast("string"), table, min_match, threshold))
     return docs
