@@ -12,6 +12,7 @@ from tidemark import catalog
 from tidemark.functions import geodesy, geometry, keys
 from tidemark.operators import manifest, matching
 from tidemark.operators.cluster import connected_components, greedy_suppression
+from tidemark.operators.freeze import freeze_bench
 from tidemark.operators.split import deficit_split
 from tidemark.operators.spatial_join import iou, meeting_pairs, self_pairs
 from tidemark.operators.tiling import windows
@@ -194,6 +195,32 @@ def test_streams(spark, small, tmp_path):
     assert seen == [{"a": "new"}, {"b": "new"}, {"a": "updated"}]
 
 
+def test_frozen_bench_chooses_images(spark, small):
+    rng = random.Random(6)
+    rows = [(f"b{k % 2}", f"u{k:03}", c, rng.randrange(3)) for k in range(120) for c in "xyz"]
+    rows = [r for r in rows if r[3]] + [(None, "u900", "x", 1)] + [(None, f"u{k}", "x", 1) for k in range(901, 910)]
+    want = []
+    for batch in ("b0", "b1", None):
+        have = {u: [sum(n for b, v, c, n in rows if (b, v, c) == (batch, u, x)) for x in "xyz"] for u in sorted({u for b, u, _, _ in rows if b == batch})}
+        first = {u: min(v for v in have if have[v] == have[u]) for u in have}
+        aim = [0.2 * sum(h[k] for h in have.values()) for k in range(3)]
+        gap = lambda g: sum(abs(x - y) / max(y, 1e-9) for x, y in zip(g, aim))
+        got = [0, 0, 0]
+        while have:
+            best = min(have, key=lambda u: (round(gap([x + y for x, y in zip(got, have[u])]), 9), first[u], u))
+            after = [x + y for x, y in zip(got, have[best])]
+            if gap(after) >= gap(got) - 1e-12:
+                break
+            got = after
+            del have[best]
+            want.append((batch, best, gap(got)))
+    found = freeze_bench(spark.createDataFrame(rows, "batch string, unit string, class_name string, n long"), 0.2).collect()
+    assert {(r.batch, r.unit): r.gap for r in found} == {(b, u): pytest.approx(g, abs=1e-6) for b, u, g in want} and len({r.batch for r in found}) == 3
+    batches = {str(r.o_orderkey): r.o_orderstatus for r in spark.read.parquet(f"{small}/orders.parquet").collect()}
+    chosen = catalog.QUERIES["g4_frozen_bench"](spark, small).collect()
+    assert len({r.batch for r in chosen}) == len(set(batches.values())) and all(batches[r.unit] == r.batch for r in chosen)
+
+
 def test_every_query_runs(spark, small):
     import __spark_entry__
 

@@ -4,29 +4,45 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def freeze_bench(counts: DataFrame, share: float) -> DataFrame:
     """batch, unit, gap: units chosen one by one, each time the one that leaves the smallest gap, until none helps.
 
     counts: batch, unit, class_name, n. The gap is the sum over classes of the distance between chosen and wanted
-    counts, relative to wanted. A group is the counts of one batch.
+    counts, relative to wanted. Units of a batch with equal counts are one row of a group with a multiplicity, named
+    by the smallest unit, which also breaks ties of the gap; they are handed out in order of unit.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="unit", columns="class_name", values="n", aggfunc="sum", fill_value=0).sort_index()
-        have, units = wide.to_numpy(float), list(wide.index)
-        want = share * have.sum(axis=0)
-        got, left, chosen = np.zeros_like(want), list(range(len(units))), []
-        gap = lambda g: float((np.abs(g - want) / np.maximum(want, 1e-9)).sum())
-        while left:
-            gaps = [gap(got + have[k]) for k in left]
-            best = int(np.argmin(gaps))
+        pdf = pdf.sort_values("kind")
+        place = {c: k for k, c in enumerate(sorted({c for names in pdf.names for c in names}))}
+        have = np.zeros((len(pdf), len(place)))
+        for row, (names, ns) in enumerate(zip(pdf.names, pdf.ns)):
+            have[row, [place[c] for c in names]] = ns
+        kinds, units = list(pdf.kind), pdf.units.to_numpy()
+        want = share * (have * units[:, None]).sum(axis=0)
+        gap = lambda g: (np.abs(g - want) / np.maximum(want, 1e-9)).sum(axis=-1)
+        got, used, chosen = np.zeros_like(want), np.zeros(len(kinds), np.int64), []
+        while True:
+            gaps = np.where(used < units, gap(got + have), np.inf)
+            best = int(np.argmin(np.round(gaps, 9)))
             if gaps[best] >= gap(got):
                 break
-            got += have[left[best]]
-            chosen.append((units[left.pop(best)], gap(got)))
-        return pd.DataFrame({"batch": pdf.batch.iloc[0], "unit": [u for u, _ in chosen], "gap": [round(g, 6) for _, g in chosen]})
+            got += have[best]
+            used[best] += 1
+            chosen.append((kinds[best], int(used[best]), round(float(gap(got)), 6)))
+        return pd.DataFrame(chosen, columns=["kind", "turn", "gap"]).assign(batch=pdf.batch.iloc[0])[["batch", "kind", "turn", "gap"]]
 
-    return counts.groupBy("batch").applyInPandas(run, "batch string, unit string, gap double")
+    one = counts.filter("class_name is not null").groupBy("batch", "unit", "class_name").agg(F.sum("n").alias("n")).filter("n <> 0")
+    units = one.groupBy("batch", "unit").agg(F.array_sort(F.collect_list(F.struct("class_name", "n"))).alias("classes"))
+    same = Window.partitionBy("batch", "classes")
+    turns = units.select("batch", "unit", F.min("unit").over(same).alias("kind"), F.row_number().over(same.orderBy("unit")).cast("long").alias("turn"))
+    kinds = units.groupBy("batch", "classes").agg(F.min("unit").alias("kind"), F.count("*").alias("units"))
+    kinds = kinds.select("batch", "kind", "units", F.col("classes.class_name").alias("names"), F.col("classes.n").cast("array<long>").alias("ns"))
+    taken = kinds.groupBy("batch").applyInPandas(run, "batch string, kind string, turn long, gap double").alias("t")
+    turns = turns.alias("u")
+    on = F.col("t.batch").eqNullSafe(F.col("u.batch")) & (F.col("t.kind") == F.col("u.kind")) & (F.col("t.turn") == F.col("u.turn"))
+    return turns.join(taken, on).select("u.batch", "u.unit", "t.gap")

@@ -226,8 +226,8 @@ def names_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("g4_frozen_bench")
 def frozen_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A test bench chosen in each batch so that its class shares come near the batch's own."""
-    d = detections(spark, sf_dir)
-    counts = d.groupBy((F.col("photo_idx") % 5).cast("string").alias("batch"), F.col("det_id").cast("string").alias("unit"), F.col("class_name")).agg(F.count("*").alias("n"))
-    merged = counts.withColumn("unit", F.concat("batch", F.lit("-"), F.col("unit").cast("long") % 40)).groupBy("batch", "unit", "class_name").agg(F.sum("n").alias("n"))
-    return freeze_bench(merged, share=0.2)
+    """A test bench of images (orders, as in a18) chosen in each batch so that its class shares come near the batch's own."""
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("class_name")).agg(F.count("*").alias("n"))
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("batch"))
+    counts = per.join(images, "l_orderkey").select("batch", F.col("l_orderkey").cast("string").alias("unit"), "class_name", "n")
+    return freeze_bench(counts, share=0.2)
