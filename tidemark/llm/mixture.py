@@ -1,20 +1,22 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's documents lie in a permuted order (by hash) cut into blocks. To give a source its target words, the
-blocks are drawn as often as whole passes over the source fit, and for the rest a prefix of the permuted blocks is
-drawn once more; within the block where the rest ends, documents are taken, largest first, as they fit. Documents
-so large that they would upset a block (a quarter of its mean size; few by nature) are drawn one by one before. The
-numbers of blocks drawn, by source, are the quotas. A binary tree splits the quotas among the output shards: each
-node hands its left child a multivariate hypergeometric draw from its own quotas, which is exactly the share that a
-shuffle of all blocks would have put there. A leaf's quota of a source is an interval of that source's draws, so
-that shards hold disjoint permuted blocks, and rows are shuffled within a shard by hash.
-
-What meets in one task is a table of sources and shards, the blocks of one source at one level (BLOCKS at most), or
-the large documents of a source (four times as many at most).
+A source's documents lie in blocks by hash; a document heavier than a quarter of its source's mean block is a block
+of its own. A source's quota is the exact number of block draws that its target needs: as many passes over all blocks
+as fit, then, in a permuted order, the blocks that fit into what is left, and one last draw for the remainder, which
+takes single documents of one more block, largest first. A binary tree splits the quotas of all sources among the
+output shards: each node hands its left child a multivariate hypergeometric draw from its own quotas, which is exactly
+the share that a shuffle of all draws would have put there. A leaf's quota of a source is an interval of that source's
+permuted draws, so that leaves hold disjoint draws; what a document is taken for is counted from the leaves' draws,
+and rows are shuffled within a shard by hash.
+
+What meets in one task is the table of sources, the blocks of one source (five times BLOCKS at most), or the documents
+of one last block. Documents themselves are never shuffled while the table of draws is of broadcast size.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,9 +30,17 @@ MOST_PASSES = 3
 OUTPUT_SHARDS = 16
 #: Documents in a block, about.
 BLOCK_DOCS = 128
-#: Blocks of a source (and of a block, where a source needs more) at most.
-BLOCKS = 4096
+#: Blocks of a source (and of a block, where a source needs more) at most, a power of two.
 BLOCK_BITS = 12
+BLOCKS = 1 << BLOCK_BITS
+#: Draws of all sources together stay below what a hypergeometric draw of numpy takes (10^9).
+MOST_DRAWS = 900_000_000
+#: Sources whose quotas one task splits.
+GROUP_SOURCES = 10_000
+#: Blocks (some 50 bytes each) up to which their draws are sent to every executor.
+BROADCAST_BLOCKS = 500_000
+#: The block of a source's last draw, which holds single documents.
+REST = -(1 << 63)
 
 
 def word_count(text: Column) -> Column:
@@ -64,116 +74,105 @@ def _digit(level: int, blocks: Column) -> Column:
     return F.shiftright("place", BLOCK_BITS * level).bitwiseAND(F.lit(BLOCKS - 1)).bitwiseAND(blocks - 1)
 
 
-def _blocks(n_docs: Column) -> Column:
-    """A power of two, BLOCKS at most, with about BLOCK_DOCS documents each."""
-    return F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.pow(2.0, F.ceil(F.log2(n_docs / BLOCK_DOCS))))).cast("long")
+def _blocks(n_docs: Column, most: int = BLOCKS) -> Column:
+    """A power of two, most at most, with about BLOCK_DOCS documents each."""
+    return F.least(F.lit(most), F.greatest(F.lit(1), F.pow(2.0, F.ceil(F.log2(n_docs / BLOCK_DOCS))))).cast("long")
+
+
+def _block() -> Column:
+    """The block of a document at level 0; a heavy document has one of its own, below 0."""
+    heavy = F.col("size") * F.col("blocks") * 4 > F.col("source_size")
+    return F.when(heavy, -1 - F.col("place").bitwiseAND(F.lit((1 << 62) - 1))).otherwise(_digit(0, F.col("blocks")))
+
+
+def _same(*columns: str) -> Column:
+    """Null-safe equality of columns with those that have an underscore before."""
+    condition = F.lit(True)
+    for c in columns:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return condition
+
+
+def choose(words: np.ndarray, single: np.ndarray, left: float) -> tuple[np.ndarray, int, float]:
+    """Of blocks in permuted order those that fit into left words; the block for the remainder (-1: none), and the remainder.
+
+    A block that is a single document can't be taken in part: it is taken for the remainder only if nothing else is
+    there and that comes nearer.
+    """
+    taken = np.zeros(len(words), bool)
+    for k, w in enumerate(words):
+        if w <= left:
+            taken[k] = True
+            left -= w
+    open_ = np.flatnonzero(~taken & ~single)
+    if len(open_):
+        return taken, int(open_[0]), left
+    others = np.flatnonzero(~taken)
+    if len(others):
+        nearest = others[np.argmin(words[others])]
+        taken[nearest] = words[nearest] < 2 * left
+    return taken, -1, left
+
+
+def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """source, path, digit, n_docs of the blocks chosen (rest 0) and of the one to be taken in part (rest: words)."""
+    pdf = pdf.sort_values(["order", "digit"], ignore_index=True)
+    taken, last, left = choose(pdf.words.to_numpy(), pdf.digit.to_numpy() < 0, float(pdf.left.iloc[0]))
+    pdf["rest"] = 0.0
+    if last >= 0 and left > 0:
+        taken[last] = True
+        pdf.loc[last, "rest"] = left
+    return pdf.loc[taken, ["source", "digit", "n_docs", "rest"]]
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Largest first, the documents of one block that still fit, then one more if that comes nearer."""
+    pdf = pdf.sort_values(["size", "place"], ascending=[False, True], ignore_index=True)
     left = float(pdf.left.iloc[0])
-    units = pdf.groupby("place", as_index=False)["size"].sum().sort_values(["size", "place"], ascending=[False, True], ignore_index=True)
-    sizes, taken = units["size"].to_numpy(), np.zeros(len(units), bool)
+    sizes, taken = pdf["size"].to_numpy(), np.zeros(len(pdf), bool)
     for k, size in enumerate(sizes):
-        if 0 < size <= left:
+        if size <= left:
             taken[k] = True
             left -= size
-    rest = np.flatnonzero(~taken & (sizes > 0))
+    rest = np.flatnonzero(~taken)
     if len(rest) and sizes[rest[-1]] < 2 * left:
         taken[rest[-1]] = True
-    return units.loc[taken, ["place"]]
-
-
-def _fit_large(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The large documents of one source that are drawn once more: their share of what is left, in permuted order.
-
-    Never more than is left, and as much as the small ones can't fill.
-    """
-    left, whole = float(pdf.left.iloc[0]), float(pdf.source_size.iloc[0])
-    units = pdf.groupby("place", as_index=False)["size"].sum().sort_values("place", ignore_index=True)
-    sizes = units["size"].to_numpy()
-    small = whole - sizes.sum()
-    goal = left / whole * sizes.sum()
-    got, taken = 0.0, np.zeros(len(sizes), bool)
-    for k, size in enumerate(sizes):
-        if got + size / 2 <= goal and got + size <= left:
-            taken[k], got = True, got + size
-    for k in np.argsort(sizes, kind="stable"):
-        if left - got > small and not taken[k]:
-            taken[k], got = True, got + sizes[k]
-    return pd.DataFrame({"source": pdf.source.iloc[0], "place": units.place[taken], "size": sizes[taken]})
-
-
-def _same(of: str = "of") -> Column:
-    return F.col("source").eqNullSafe(F.col(of))
-
+    return pdf.loc[taken, ["place"]]
 
-def plan(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...], most: int, seed: int) -> DataFrame:
-    """doc_id, source, size, place, source_size, target, block, copies for each row of docs.
 
-    place is a hash of id, source and size; rows that agree in all three are one unit, drawn together.
-    """
-    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
-    sized = docs.select(doc_id.alias("doc_id"), source.alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    sized = scratch.keep(sized.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "source", "size")))
-    goal = targets(sized, weights, most)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
-    goal = goal.withColumn("passes", passes).withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
-    goal = scratch.keep(goal.withColumn("blocks", _blocks(F.col("n_docs"))))
-    key = goal.select(F.col("source").alias("of"), "source_size", "target", "passes", "blocks")
-    rows = scratch.keep(sized.join(key, _same()).drop("of").withColumn("block", _digit(0, F.col("blocks"))))
-
-    large = F.col("size") * F.col("blocks") * 4 > F.col("source_size")
-    rest = goal.filter("left > 0").select(F.col("source").alias("of"), "left")
-    picked = rows.filter(large).join(rest, _same()).select("source", "place", "size", "left", "source_size")
-    picked = scratch.keep(picked.groupBy("source").applyInPandas(_fit_large, "source string, place long, size long"))
-    chosen = [picked.select("place")]  # places drawn once more
-    part = rows.filter((F.col("size") > 0) & ~large).select("source", "size", "place", F.lit(0).cast("long").alias("path"))
-    gone = picked.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("gone"))
-    ends = goal.join(gone, _same(), "left").withColumn("left", F.col("left") - F.coalesce("gone", F.lit(0))).drop("of", "gone")
-    ends = ends.filter("left > 0").select("source", F.lit(0).cast("long").alias("path"), "left", "n_docs")
-    for level in range(4):
-        at = ends.select(F.col("source").alias("of"), F.col("path").alias("from"), "left", "n_docs")
-        here = part.join(at, _same() & (F.col("path") == F.col("from"))).withColumn("digit", _digit(level, _blocks(F.col("n_docs"))))
-        here = scratch.keep(here.select("source", "size", "place", "digit", "left", (F.col("path") * BLOCKS + F.col("digit") + 1).alias("path")))
-        order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + level), "digit"), "digit")
-        sums = here.groupBy("source", "path", "digit").agg(F.sum("size").alias("words"), F.count("*").alias("n_docs"), F.first("left").alias("left"))
-        sums = scratch.keep(sums.withColumn("upto", F.sum("words").over(order)))
-        full = sums.filter("upto <= left").select(F.col("source").alias("of"), F.col("path").alias("from"))
-        part = here.drop("digit", "left")
-        chosen.append(part.join(full, _same() & (F.col("path") == F.col("from")), "left_semi").select("place"))
-        ends = sums.filter("upto > left and upto - words <= left").select("source", "path", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), "n_docs")
-        ends = scratch.keep(ends)
-        if (ends.agg(F.max("n_docs")).first()[0] or 0) <= 16 * BLOCK_DOCS:
-            break
-    at = ends.select(F.col("source").alias("of"), F.col("path").alias("from"), "left")
-    last = part.join(at, _same() & (F.col("path") == F.col("from")))
-    chosen.append(last.select("source", "place", "size", "left").groupBy("source").applyInPandas(_fit, "place long"))
-    more = chosen[0]
-    for frame in chosen[1:]:
-        more = more.union(frame)
-    more = more.distinct().withColumnRenamed("place", "more")
-    copies = F.when(F.col("size") > 0, F.col("passes") + F.col("more").isNotNull().cast("long")).otherwise(F.lit(0).cast("long"))
-    return rows.join(more, rows.place == more.more, "left").withColumn("copies", copies).drop("more", "passes", "blocks")
-
-
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
+def split_quotas(quotas: np.ndarray, shards: int, seed: int, totals: np.ndarray | None = None) -> np.ndarray:
     """Quotas (one for each source) split among shards: an array of shards x sources whose columns sum to quotas.
 
-    A node of the tree that has k shards gives floor(k/2)/k of its draws to its left child.
+    totals has the draws of each shard (by default as near to equal as can be); a node of the tree hands its left
+    child as many draws as the shards below it have.
     """
+    if totals is None:
+        ends = int(quotas.sum()) * np.arange(shards + 1) // shards
+        totals = np.diff(ends)
     if shards == 1:
         return quotas[None]
+    half = shards // 2
     rng = np.random.Generator(np.random.PCG64([seed, shards, int(quotas.sum())]))
-    left = int(quotas.sum()) * (shards // 2) // shards
+    left = int(totals[:half].sum())
     taken = rng.multivariate_hypergeometric(quotas, left, method="marginals") if left else np.zeros_like(quotas)
-    return np.concatenate([split_quotas(taken, shards // 2, 2 * seed + 1), split_quotas(quotas - taken, shards - shards // 2, 2 * seed + 2)])
+    return np.concatenate([split_quotas(taken, half, 2 * seed + 1, totals[:half]), split_quotas(quotas - taken, shards - half, 2 * seed + 2, totals[half:])])
 
 
-def _shares(shards: int, seed: int):
+def _group_totals(shards: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["no_source", "source"], ignore_index=True)
+        pdf = pdf.sort_values("group", ignore_index=True)
         table = split_quotas(pdf.draws.to_numpy(np.int64), shards, seed)
+        return pd.DataFrame({"group": pdf.group, "totals": list(table.T.tolist())})
+
+    return run
+
+
+def _leaves(shards: int, seed: int):
+    """Of a group of sources the leaves' intervals: shard, source, first draw, draws."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["no_source", "source"], ignore_index=True)
+        table = split_quotas(pdf.draws.to_numpy(np.int64), shards, seed + 1 + int(key[0]), np.array(pdf.totals.iloc[0], np.int64))
         firsts = np.cumsum(table, axis=0) - table
         shard, source = np.nonzero(table)
         return pd.DataFrame({"source": pdf.source.to_numpy()[source], "shard": shard, "first": firsts[shard, source], "draws": table[shard, source]})
@@ -181,39 +180,147 @@ def _shares(shards: int, seed: int):
     return run
 
 
-def draw(rows: DataFrame, shards: int, seed: int) -> DataFrame:
-    """place, pass, shard, position: one row for each copy of a unit in the mix; position orders a shard at random."""
-    units = rows.filter("copies > 0").select("source", "block", "place", "copies").distinct()
-    copies = units.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    blocks = copies.groupBy("source", "block", "pass").agg(F.count("*").alias("units"))
+def draw(drawable: DataFrame, shards: int, seed: int, sources: int) -> DataFrame:
+    """source, block, pass, shard: the draws (source, block, pass) as the leaves of the splitting tree hold them."""
     order = Window.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed), "pass", "block"), "block")
-    drawn = blocks.withColumn("nth", F.row_number().over(order) - 1)
-    quotas = drawn.groupBy("source").agg(F.count("*").alias("draws")).withColumn("no_source", F.col("source").isNull())
-    shares = quotas.groupBy(F.lit(0).alias("all")).applyInPandas(_shares(shards, seed), "source string, shard int, first long, draws long")
-    each = shares.select(F.col("source").alias("of"), "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)).alias("at"))
-    placed = drawn.join(each, _same() & (F.col("nth") == F.col("at"))).select(F.col("source").alias("of"), F.col("block").alias("from"), F.col("pass").alias("time"), "shard")
-    mixed = copies.join(placed, _same() & (F.col("block") == F.col("from")) & (F.col("pass") == F.col("time")))
-    return mixed.select("place", "pass", "shard", F.xxhash64(F.lit(seed), "shard", "place", "pass").alias("position"))
-
-
-def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, seed: int = 11) -> DataFrame:
+    drawn = drawable.withColumn("nth", F.row_number().over(order) - 1)
+    groups = max(1, -(-sources // GROUP_SOURCES))
+    quotas = drawable.groupBy("source").agg(F.count("*").alias("draws")).withColumn("no_source", F.col("source").isNull())
+    quotas = quotas.withColumn("group", F.pmod(F.xxhash64("source"), F.lit(groups)))
+    totals = quotas.groupBy("group").agg(F.sum("draws").alias("draws")).groupBy(F.lit(0).alias("all")).applyInPandas(_group_totals(shards, seed), "group long, totals array<long>")
+    leaves = quotas.join(totals, "group").groupBy("group").applyInPandas(_leaves(shards, seed), "source string, shard int, first long, draws long")
+    each = leaves.select(F.col("source").alias("_source"), "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)).alias("_nth"))
+    return drawn.join(each, _same("source", "nth")).select("source", "block", "pass", "shard")
+
+
+@dataclass
+class Mix:
+    """rows: doc_id, source, size, place, source_size, target, block; draws: source, block, pass, shard; rest: places of last draws."""
+
+    rows: DataFrame
+    goal: DataFrame
+    draws: DataFrame
+    rest: DataFrame
+    repeated: DataFrame | None
+
+
+def placed(docs: DataFrame, seed: int) -> DataFrame:
+    """docs and _source, size, place (a hash of id, source and text), part."""
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), source, text)
+    return docs.select("*", source.alias("__source"), word_count(text).alias("__size"), place.alias("__place"), F.spark_partition_id().alias("__part"))
+
+
+def _apart(rows: DataFrame, repeated: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with places of their own: rows that share one are numbered, by the parts they lie in, so that no task takes them all."""
+    some = repeated.select(F.col("place").alias("_place"))
+    same = rows["__place"] == some["_place"]
+    hot = scratch.keep(rows.join(some, same, "left_semi"))
+    by = Window.partitionBy("__place").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = hot.groupBy("__place", "__part").count().select(F.col("__place").alias("_place"), F.col("__part").alias("_part"), F.coalesce(F.sum("count").over(by), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__place", "__part").orderBy(F.lit(0)))
+    told = hot.withColumn("__nth", nth).join(before, (F.col("__place") == F.col("_place")) & (F.col("__part") == F.col("_part")))
+    told = told.withColumn("__place", F.xxhash64("__place", F.col("__before") + F.col("__nth"))).select(*rows.columns)
+    return rows.join(some, same, "left_anti").union(told)
+
+
+def plan(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...], most: int, shards: int, seed: int) -> Mix:
+    """Rows with their blocks, and the draws that the tree's leaves hold."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    light = scratch.keep(placed(docs, seed).select(doc_id, "__source", "__size", "__place", "__part"))
+    repeated = scratch.keep(light.groupBy(F.col("__place").alias("place")).agg(F.count("*").alias("n")).filter("n > 1").select("place"))
+    repeated = None if repeated.isEmpty() else repeated
+    apart = light if repeated is None else _apart(light, repeated, scratch)
+    sized = scratch.keep(apart.select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__place").alias("place")))
+    goal = targets(sized, weights, most)
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
+    goal = goal.withColumn("passes", passes).withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
+    goal = scratch.keep(goal)
+    sources = goal.count()
+    few = min(BLOCKS, 1 << max(0, (MOST_DRAWS // (5 * (most + 1) * max(sources, 1))).bit_length() - 1))
+    goal = goal.withColumn("blocks", _blocks(F.col("n_docs"), few))
+    key = goal.select(F.col("source").alias("_source"), "source_size", "target", "blocks")
+    rows = sized.join(key, _same("source")).withColumn("block", _block()).drop("_source", "blocks")
+
+    full = rows.filter("size > 0").groupBy("source", "block").agg(F.sum("size").alias("words"), F.count("*").alias("n_docs"))
+    full = scratch.keep(full)
+    left = goal.select(F.col("source").alias("_source"), "left", "passes")
+    order = F.xxhash64(F.lit(seed), "digit").alias("order")
+    chosen = "source string, digit long, n_docs long, rest double"
+    here = full.join(left, _same("source")).filter("left > 0").withColumnRenamed("block", "digit").select("source", "digit", "words", "n_docs", "left", order)
+    found = scratch.keep(here.groupBy("source").applyInPandas(_choose, chosen))
+    partly = found.filter("rest > 0")
+    inside = rows.filter("size > 0").join(partly.select(F.col("source").alias("_source"), F.col("digit").alias("_block"), "n_docs", F.col("rest").alias("left")), _same("source", "block"))
+    inside = scratch.keep(inside.select("source", "size", "place", "n_docs", "left"))
+    rest = []
+    for level in range(1, 5):
+        if (inside.agg(F.max("n_docs")).first()[0] or 0) <= 16 * BLOCK_DOCS:
+            break
+        parts = inside.withColumn("digit", _digit(level, _blocks(F.col("n_docs"))))
+        sums = parts.groupBy("source", "digit").agg(F.sum("size").alias("words"), F.count("*").alias("n_docs"), F.first("left").alias("left"))
+        below = scratch.keep(sums.withColumn("order", F.xxhash64(F.lit(seed + level), "digit")).groupBy("source").applyInPandas(_choose, chosen))
+        to = below.select(F.col("source").alias("_source"), F.col("digit").alias("_digit"), F.col("n_docs").alias("_n"), "rest")
+        met = scratch.keep(parts.join(to, _same("source", "digit")).select("source", "size", "place", F.col("_n").alias("n_docs"), "rest"))
+        rest.append(met.filter("rest = 0").select("source", "place"))
+        inside = met.filter("rest > 0").withColumnRenamed("rest", "left")
+    single = inside.select("source", "size", "place", "left").groupBy("source").applyInPandas(lambda pdf: _fit(pdf).assign(source=pdf.source.iloc[0]), "place long, source string")
+    rest.append(single.select("source", "place"))
+    last = rest[0]
+    for frame in rest[1:]:
+        last = last.union(frame)
+    last = scratch.keep(last)
+
+    more = found.filter("rest = 0").select(F.col("source").alias("_source"), F.col("digit").alias("_block"), F.lit(1).alias("more"))
+    times = full.join(left.select("_source", "passes"), _same("source")).drop("_source").join(more, _same("source", "block"), "left")
+    times = times.withColumn("times", F.col("passes") + F.coalesce("more", F.lit(0))).filter("times > 0")
+    drawable = times.select("source", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("pass"))
+    ends = last.select("source").distinct().join(left.select("_source", "passes"), _same("source")).select("source", F.lit(REST).cast("long").alias("block"), (F.col("passes") + 1).alias("pass"))
+    draws = scratch.keep(draw(scratch.keep(drawable.union(ends)), shards, seed, sources))
+    return Mix(rows, goal, draws, last.select("place"), repeated)
+
+
+def _by_block(draws: DataFrame) -> DataFrame:
+    """For each block its draws (pass, shard), to be joined to documents; sent to every executor if they are few."""
+    by = draws.groupBy(F.col("source").alias("_source"), F.col("block").alias("_block")).agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("drawn"))
+    return F.broadcast(by) if draws.select("source", "block").distinct().count() <= BROADCAST_BLOCKS else by
+
+
+def _drawn(rows: DataFrame, mix: Mix) -> DataFrame:
+    """rows (source, block, place, size and others) with ``drawn``: each draw of a leaf that takes the row; null if none does."""
+    by = _by_block(mix.draws)
+    last = mix.draws.filter(F.col("block") == REST).select(F.col("source").alias("_source"), F.struct("pass", "shard").alias("end"))
+    rest = mix.rest.select(F.col("place").alias("_place"))
+    rest = F.broadcast(rest) if rest.count() <= BROADCAST_BLOCKS else rest
+    some = rows.join(by, _same("source", "block"), "left").drop("_source", "_block").join(rest, F.col("place") == F.col("_place"), "left")
+    some = some.join(F.broadcast(last) if last.count() <= BROADCAST_BLOCKS else last, _same("source"), "left").drop("_source")
+    ended = F.when(F.col("_place").isNotNull(), F.array("end")).otherwise(F.array().cast("array<struct<pass:bigint,shard:int>>"))
+    none = F.array().cast("array<struct<pass:bigint,shard:int>>")
+    return some.withColumn("drawn", F.when(F.col("size") > 0, F.concat(F.coalesce("drawn", none), ended)).otherwise(none)).drop("_place", "end")
+
+
+def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, shards: int = OUTPUT_SHARDS, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs.
 
-    size counts the words of the text (null: 0), target is the source's, taken the words that the mix takes of the
-    document: a whole multiple of its size, at most ``most``. Rows without words are not drawn. Null is a source of
-    its own. Rows repeated with one id, source and size are drawn alike. An empty table gives an empty result.
+    size counts the words of the text (null: 0), target is the source's, taken the words of all draws that the leaves
+    of the splitting tree hold of the document: a whole multiple of its size, at most ``most``. Rows without words are
+    not drawn. Null is a source of its own. Rows repeated with one id, source and text are drawn each for itself. An
+    empty table gives an empty result.
     """
-    rows = plan(docs, Scratch(docs.sparkSession, "mixture"), weights, most, seed)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    mix = plan(docs, Scratch(docs.sparkSession, "mixture"), weights, most, shards, seed)
+    drawn = _drawn(mix.rows, mix)
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("drawn")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, shards: int = OUTPUT_SHARDS, seed: int = 11) -> DataFrame:
-    """The mix itself: docs, with all columns and as many copies of a row as the mix takes, and mix_shard, mix_position."""
+    """The mix itself: docs, with all columns, a row for each draw, and mix_shard, mix_position (replacing columns of these names)."""
     scratch = Scratch(docs.sparkSession, "mixture")
-    spread = draw(scratch.keep(plan(docs, scratch, weights, most, seed)), shards, seed)
-    spread = spread.select(F.col("place").alias("__unit"), F.col("shard").alias("__shard"), F.col("position").alias("__position"))
-    size = word_count(F.col("text").cast("string"))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("source").cast("string"), size)
-    rest = [c for c in docs.columns if c not in ("mix_shard", "mix_position")]
-    mixed = docs.withColumn("__place", place).join(spread, F.col("__place") == F.col("__unit"))
-    return mixed.select(*rest, F.col("__shard").alias("mix_shard"), F.col("__position").alias("mix_position"))
+    mix = plan(docs, scratch, weights, most, shards, seed)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_shard", "mix_position")]
+    whole = placed(docs, seed)
+    whole = whole if mix.repeated is None else _apart(whole, mix.repeated, scratch)
+    whole = whole.select(F.struct(*rest).alias("row"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__place").alias("place"))
+    key = mix.goal.select(F.col("source").alias("_source"), "source_size", "blocks")
+    rows = whole.join(key, _same("source")).withColumn("block", _block()).drop("_source")
+    each = _drawn(rows, mix).select("row", "place", F.explode("drawn").alias("at"))
+    position = F.xxhash64(F.lit(seed), "at.shard", "place", "at.pass")
+    return each.select("row.*", F.col("at.shard").alias("mix_shard"), position.alias("mix_position"))
