@@ -17,7 +17,7 @@ def test_pipeline(spark, small):
         seen[name] = (before, out.collect())
         assert out.columns[: len(columns)] == columns
     before, after = seen["near_dedup"]
-    kept = {i for i, (_, c) in brute_components([(r.doc_id, r.text) for r in before]).items() if i == c}
+    kept = {i for i, (_, c) in brute_components([(r.doc_id, r.text) for r in before], 80).items() if i == c}
     assert sorted(r.doc_id for r in after) == sorted(kept)
     before, after = seen["quality"]
     assert len(after) >= 0.75 * len(before) and {r.doc_id for r in after} <= {r.doc_id for r in rows}
