@@ -38,6 +38,8 @@ from tidemark.operators.cluster import connected_components, relabel
 SHINGLE_WORDS = 5
 BANDS, ROWS = 25, 5
 SIMILARITY_PERCENT = 85
+#: For the stage that filters a corpus: a pair at 0.8 shares no band with probability (1 - 0.8^5)^40 < 2e-7.
+STAGE_PERCENT, STAGE_BANDS = 80, 40
 #: Ids up to this many (8 bytes each) are sent to every executor to pick texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
 #: Counters of shingle frequencies, one byte each; a shingle's rarity only sets the order in which prefixes are cut.
@@ -247,7 +249,8 @@ def near_duplicates(
     signed = scratch.keep(texts.mapInArrow(run, schema))
     classes = scratch.keep(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.hash("doc_id"), "doc_id", "bands")).alias("pick")))
     spread = classes.select("node", F.explode("pick.bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket")
+    # written, so that the join by bucket is of two plain shuffles, which the engine splits where a bucket is hot
+    shared = scratch.keep(spread.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket"))
     anywhere = F.lit(2).cast("long").alias("place")  # every pair in a band's bucket may be compared
     members = scratch.keep(spread.join(shared, "bucket").select("bucket", "node", anywhere))
 
@@ -276,12 +279,14 @@ def near_duplicates(
             labels = scratch.keep(relabel(labels, moved).union(fresh), n)
         left = members.join(chosen, (members.bucket == chosen.bucket) & (members.node == chosen.pivot_node), "left_anti")
         if pivots == 1:
-            open_ = _label(left, labels).join(_several(_label(left, labels)), "bucket", "left_semi").select("node").distinct()
+            labelled_left = scratch.keep(_label(left, labels), n)
+            open_ = labelled_left.join(scratch.keep(_several(labelled_left), n), "bucket", "left_semi").select("node").distinct()
             left = scratch.keep(_prefix_buckets(_label(sets.join(open_, "node", "left_semi"), labels), percent))
         else:
             left = scratch.keep(_label(left, labels), n)
-        fresh = scratch.keep(left.join(_several(left), "bucket", "left_semi").select(*MEMBER), n)
-        scratch.drop(members, labelled, chosen, pairs, left)
+        several = scratch.keep(_several(left), n)
+        fresh = scratch.keep(left.join(several, "bucket", "left_semi").select(*MEMBER), n)
+        scratch.drop(members, labelled, chosen, pairs, left, several)
         members, pivots = fresh, pivots * 8
 
     groups = classes.select("node", "rep")
@@ -316,24 +321,33 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").filter(close).select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, percent: int = STAGE_PERCENT, bands: int = STAGE_BANDS, broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
 
     Groups are of texts, whatever their ids: different texts under one doc_id, or under none, are grouped each for
     itself. A null doc_id comes after all others; ties go by a hash of doc_id and text. Rows equal in doc_id and
     text are one document: the first by a hash of all columns stays. Null and wordless texts are in no group and
-    stay; those without a doc_id aren't taken for one document either.
+    stay; those without a doc_id aren't taken for one document either. An empty table gives an empty result.
     """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     key = F.xxhash64(doc_id, text)
     # near_duplicates takes the key of a row for its id, so that it sees texts under one id apart
-    groups = near_duplicates(docs.select(key.alias("doc_id"), text.alias("text")), **options)
+    groups = near_duplicates(docs.select(key.alias("doc_id"), text.alias("text")), percent=percent, bands=bands, broadcast_ids=broadcast_ids, **options)
     groups = groups.select(F.col("doc_id").alias("key"), "component_id").distinct()
-    ids = docs.select(key.alias("key"), doc_id.alias("id")).distinct()
-    first = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
-    kept = first.select(F.col("first.key").alias("__key"))
-    loose = doc_id.isNull() & (text.isNull() | ~text.rlike(r"[^\x20\x09-\x0d]"))
-    stay = docs.filter(~loose).withColumn("__key", key).join(kept, "__key", "left_semi")
-    order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    ranked = stay.withColumn("__rank", F.row_number().over(Window.partitionBy("__key").orderBy(order)))
-    return ranked.filter(F.col("__rank") == 1).select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(loose))
+    ids = docs.groupBy(key.alias("key"), doc_id.alias("id")).agg(F.count("*").alias("rows"))
+    first = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "rows")).alias("first"))
+    first = scratch.keep(first.select("first.key", "first.rows"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.struct(*own).alias("row"), key.alias("key"), F.xxhash64(*own).alias("order"), (doc_id.isNull() & (text.isNull() | ~text.rlike(r"[^\x20\x09-\x0d]"))).alias("loose"))
+
+    def of(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.withColumn("found", F.lit(True))
+        return whole.join(F.broadcast(keys) if keys.count() <= broadcast_ids else keys, "key", how)
+
+    kept = of(first.filter("rows = 1").select("key"), "left").filter("loose or found").select("row")
+    several = first.filter("rows > 1").select("key")
+    if not several.isEmpty():
+        repeated = of(several, "inner").filter("not loose").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("order")))
+        kept = kept.union(repeated.filter("rank = 1").select("row"))
+    return kept.select("row.*")
