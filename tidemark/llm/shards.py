@@ -32,6 +32,7 @@ PLACE_BITS = 63
 FEW_ROWS = 50_000
 #: Rows numbered in one task.
 SLOT_ROWS = 100_000
+SLOT_BYTES = 64 << 20
 
 
 def text_bytes(text: Column) -> Column:
@@ -186,11 +187,12 @@ def _passing(rows: DataFrame, part: Column) -> dict[int, dict]:
 def slots(rows: DataFrame, counted: DataFrame, order: list[Column]) -> DataFrame:
     """slot: gapless numbers from 0 within each __shard. counted has the same __shard and __own columns, without texts.
 
-    A shard's rows are numbered by pieces of about SLOT_ROWS rows each, so that no task has to order a whole shard.
+    A shard's rows are numbered by pieces of about SLOT_ROWS rows and SLOT_BYTES bytes at most, by a hash of id and
+    text, so that no task has to order a whole shard.
     """
-    largest = counted.groupBy("__shard").count().agg(F.max("count")).first()[0] or 0
-    pieces = max(1, math.ceil(largest / SLOT_ROWS))
-    piece = F.pmod(F.col("__own"), F.lit(pieces))
+    largest = counted.groupBy("__shard").agg(F.count("*").alias("rows"), F.sum("__size").alias("bytes")).agg(F.max("rows"), F.max("bytes")).first()
+    pieces = max(1, math.ceil((largest[0] or 0) / SLOT_ROWS), math.ceil((largest[1] or 0) / SLOT_BYTES))
+    piece = F.pmod(F.xxhash64("__own", "__at_bytes"), F.lit(pieces))
     sizes = counted.groupBy("__shard", piece.alias("__piece")).count()
     before = Window.partitionBy("__shard").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("__shard", "__piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
@@ -213,7 +215,7 @@ def shard_documents(docs: DataFrame, shards: int | None = SHARDS, target_bytes:
     light = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), *[v.alias(k) for k, v in at.items()]))
     tree = learn(light, shards or leaves(light, target_bytes), scratch)
     placed = light.withColumn("__shard", assign(tree))
-    numbered = slots(placed, placed.select("__shard", "__own"), [F.col("doc_id"), F.col("text_crc32")])
+    numbered = slots(placed, placed.select("__shard", "__own", "__at_bytes", "__size"), [F.col("doc_id"), F.col("text_crc32")])
     return numbered.select(
         "doc_id", F.col("__size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
@@ -229,7 +231,8 @@ def with_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int
     at = places(docs)
     light = scratch.keep(docs.select(*[v.alias(k) for k, v in at.items()]))
     tree = learn(light, shards or leaves(light, target_bytes), scratch)
-    rest = [c for c in docs.columns if c not in ("shard", "slot")]
-    placed = docs.select(*rest, *[v.alias(k) for k, v in at.items()]).withColumn("__shard", assign(tree))
-    numbered = slots(placed, light.select(assign(tree).alias("__shard"), "__own"), [F.col("doc_id"), F.col("__at_bytes")])
-    return numbered.select(*rest, F.col("__shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    docs = docs.drop("shard", "slot")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = docs.select(row.alias("row"), *[v.alias(k) for k, v in at.items()], F.col("doc_id").cast("long").alias("doc_id")).withColumn("__shard", assign(tree))
+    numbered = slots(placed, light.select(assign(tree).alias("__shard"), "__own", "__at_bytes", "__size"), [F.col("doc_id"), F.col("__at_bytes")])
+    return numbered.select("row.*", F.col("__shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
