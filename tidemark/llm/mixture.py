@@ -205,33 +205,34 @@ class Mix:
 
 
 def placed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs and _source, size, place (a hash of id, source and text), part."""
-    text, source = F.col("text").cast("string"), F.col("source").cast("string")
-    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), source, text)
-    return docs.select("*", source.alias("__source"), word_count(text).alias("__size"), place.alias("__place"), F.spark_partition_id().alias("__part"))
+    """row (all columns), doc_id, source, size, place (a hash of id, source and text), part for each row of docs."""
+    doc_id, text, source = F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.xxhash64(F.lit(seed), doc_id, source, text)
+    return docs.select(row.alias("row"), doc_id.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), place.alias("place"), F.spark_partition_id().alias("part"))
 
 
 def _apart(rows: DataFrame, repeated: DataFrame, scratch: Scratch) -> DataFrame:
     """rows with places of their own: rows that share one are numbered, by the parts they lie in, so that no task takes them all."""
     some = repeated.select(F.col("place").alias("_place"))
-    same = rows["__place"] == some["_place"]
+    same = F.col("place") == F.col("_place")
     hot = scratch.keep(rows.join(some, same, "left_semi"))
-    by = Window.partitionBy("__place").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = hot.groupBy("__place", "__part").count().select(F.col("__place").alias("_place"), F.col("__part").alias("_part"), F.coalesce(F.sum("count").over(by), F.lit(0)).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy("__place", "__part").orderBy(F.lit(0)))
-    told = hot.withColumn("__nth", nth).join(before, (F.col("__place") == F.col("_place")) & (F.col("__part") == F.col("_part")))
-    told = told.withColumn("__place", F.xxhash64("__place", F.col("__before") + F.col("__nth"))).select(*rows.columns)
+    by = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = hot.groupBy("place", "part").count().select(F.col("place").alias("_place"), F.col("part").alias("_part"), F.coalesce(F.sum("count").over(by), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("place", "part").orderBy(F.lit(0)))
+    told = hot.withColumn("nth", nth).join(before, (F.col("place") == F.col("_place")) & (F.col("part") == F.col("_part")))
+    told = told.withColumn("place", F.xxhash64("place", F.col("before") + F.col("nth"))).select(*rows.columns)
     return rows.join(some, same, "left_anti").union(told)
 
 
 def plan(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...], most: int, shards: int, seed: int) -> Mix:
     """Rows with their blocks, and the draws that the tree's leaves hold."""
-    doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    light = scratch.keep(placed(docs, seed).select(doc_id, "__source", "__size", "__place", "__part"))
-    repeated = scratch.keep(light.groupBy(F.col("__place").alias("place")).agg(F.count("*").alias("n")).filter("n > 1").select("place"))
+    light = scratch.keep(placed(docs, seed).drop("row"))
+    repeated = scratch.keep(light.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place"))
     repeated = None if repeated.isEmpty() else repeated
     apart = light if repeated is None else _apart(light, repeated, scratch)
-    sized = scratch.keep(apart.select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__place").alias("place")))
+    sized = light if repeated is None else scratch.keep(apart)
+    sized = sized.drop("part")
     goal = targets(sized, weights, most)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
     goal = goal.withColumn("passes", passes).withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
@@ -315,10 +316,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     """The mix itself: docs, with all columns, a row for each draw, and mix_shard, mix_position (replacing columns of these names)."""
     scratch = Scratch(docs.sparkSession, "mixture")
     mix = plan(docs, scratch, weights, most, shards, seed)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_shard", "mix_position")]
-    whole = placed(docs, seed)
+    whole = placed(docs.drop("mix_shard", "mix_position"), seed)
     whole = whole if mix.repeated is None else _apart(whole, mix.repeated, scratch)
-    whole = whole.select(F.struct(*rest).alias("row"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__place").alias("place"))
     key = mix.goal.select(F.col("source").alias("_source"), "source_size", "blocks")
     rows = whole.join(key, _same("source")).withColumn("block", _block()).drop("_source")
     each = _drawn(rows, mix).select("row", "place", F.explode("drawn").alias("at"))
