@@ -1,13 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads runs of letter bytes (a run ends at anything else, and is cut at RUN_BYTES), lower-cased, in both
-directions from a zero state, and labels every byte position with a distribution over languages. A document's
-probabilities are the mean over all its positions. The state starts afresh with each run, so that a run's labels
-depend on its bytes alone: a task computes each distinct run once and looks it up afterwards, which changes nothing
-in the result and makes whole long texts affordable.
-
-The network is trained here in numpy, by backpropagation through time and Adam, on the runs of a bounded sample of
-documents of each language.
+The network reads all bytes of a text, letters, digits, spaces and punctuation alike (capitals of ASCII and Latin-1 as
+small letters), in both directions, and labels every byte position with a distribution over languages. A document's
+probabilities are the mean over all its positions.
+
+So that a text of any length runs as one matrix of equal rows, it is read in windows of WINDOW bytes that overlap by
+CONTEXT bytes on either side: the states of both directions run through the overlap before they label, and each
+position is labelled by exactly one window.
+
+The network is trained here in numpy, by backpropagation through time and Adam, on windows of a bounded sample of
+documents of each language, at places spread over the whole text.
 """
 
 from __future__ import annotations
@@ -17,33 +19,34 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textblocks import Block, blocks, words
+from tidemark.llm.textblocks import Block, blocks
 
-RUN_BYTES = 24
-#: The training sample: documents of each language, those whose ids hash lowest, none longer than so many bytes.
+#: Bytes that a window labels, and bytes of overlap read before and behind them.
+WINDOW, CONTEXT = 240, 16
+#: The training sample: about so many documents of each language, so many windows of each at most, so many bytes long.
 DOCS_PER_LANGUAGE = 400
-MAX_DOC_BYTES = 100_000
-HIDDEN = 12
-STEPS = 700
-BATCH = 512
-#: Pieces in which a language's documents are ranked for the sample.
-PIECES = 64
-#: Distinct runs that a task remembers.
-REMEMBERED = 400_000
+WINDOWS_PER_DOC = 16
+LEARN_BYTES = 40
+HIDDEN = 8
+STEPS = 400
+BATCH = 128
+#: Windows computed at once.
+TOGETHER = 1024
 UNKNOWN = "und"
 
-#: Bytes between runs: all ASCII but letters.
 _NOT_LETTER = np.zeros(256, bool)
 _NOT_LETTER[:128] = [not chr(b).isalpha() for b in range(128)]
+#: Byte 0 stands for what is outside the text.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_FOLD[0] = 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 @dataclass
@@ -64,20 +67,21 @@ class Network:
         return cls(languages, w)
 
     def states(self, runs: np.ndarray, direction: str, keep: list | None = None) -> list[np.ndarray]:
-        """The hidden state at each position of equally long runs, in order of positions."""
+        """The hidden state at each position of equally long runs, in order of positions; zero outside the text."""
         table, rec = self.weights[f"{direction}_in"], self.weights[f"{direction}_rec"]
         size = rec.shape[0]
-        h = np.zeros((len(runs), size), np.float32)
+        h = np.zeros((len(runs), size), table.dtype)
         out: list[np.ndarray] = [h] * runs.shape[1]
         for t in range(runs.shape[1]) if direction == "f" else range(runs.shape[1] - 1, -1, -1):
             x, u = table[runs[:, t]], h @ rec
             gates = _sigmoid(x[:, : 2 * size] + u[:, : 2 * size])
             z, r = gates[:, :size], gates[:, size:]
             n = np.tanh(x[:, 2 * size :] + r * u[:, 2 * size :])
-            before, h = h, n + z * (h - n)
+            live = (runs[:, t] != 0)[:, None]
+            before, h = h, (n + z * (h - n)) * live
             out[t] = h
             if keep is not None:
-                keep.append((t, before, z, r, n, u[:, 2 * size :]))
+                keep.append((t, before, z, r, n, u[:, 2 * size :], live))
         return out
 
     def labels(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
@@ -85,20 +89,63 @@ class Network:
         p = np.exp(logits - logits.max(axis=-1, keepdims=True))
         return p / p.sum(axis=-1, keepdims=True)
 
-    def summed(self, runs: np.ndarray) -> np.ndarray:
-        """Distributions summed over the positions of each of equally long runs."""
-        f, b = self.states(runs, "f"), self.states(runs, "b")
-        return sum(self.labels(x, y) for x, y in zip(f, b))
+    def summed(self, windows: np.ndarray) -> np.ndarray:
+        """Distributions summed over the labelled positions of windows (rows of CONTEXT, labelled and CONTEXT bytes).
+
+        The same as states and labels, with positions in columns and without keeping what isn't needed.
+        """
+        bytes_ = np.ascontiguousarray(windows.T, dtype=np.intp)
+        live = (bytes_ != 0).astype(np.float32)
+        size, count = self.weights["f_rec"].shape[0], len(windows)
+        last = len(bytes_) - CONTEXT
+        kept = np.empty((last - CONTEXT, size, count), np.float32)
+        out = np.zeros((len(self.languages), count), np.float32)
+        heads = {d: np.ascontiguousarray(self.weights[f"{d}_out"].T) for d in "fb"}
+        bias = self.weights["bias"][:, None]
+        for d, steps in (("f", range(last)), ("b", range(len(bytes_) - 1, CONTEXT - 1, -1))):
+            table, rec = np.ascontiguousarray(self.weights[f"{d}_in"].T), np.ascontiguousarray(self.weights[f"{d}_rec"].T)
+            h = np.zeros((size, count), np.float32)
+            x, u = np.empty((3 * size, count), np.float32), np.empty((3 * size, count), np.float32)
+            for t in steps:
+                table.take(bytes_[t], axis=1, out=x, mode="clip")
+                np.matmul(rec, h, out=u)
+                gates = x[: 2 * size]
+                gates += u[: 2 * size]
+                gates *= 0.5
+                np.tanh(gates, out=gates)
+                gates += 1
+                gates *= 0.5
+                new = u[2 * size :]
+                new *= gates[size:]
+                new += x[2 * size :]
+                np.tanh(new, out=new)
+                h -= new
+                h *= gates[:size]
+                h += new
+                h *= live[t]
+                if d == "f" and t >= CONTEXT:
+                    kept[t - CONTEXT] = h
+                elif d == "b" and t < last:
+                    p = heads["f"] @ kept[t - CONTEXT]
+                    p += heads["b"] @ h
+                    p += bias
+                    p -= p.max(axis=0)
+                    np.exp(p, out=p)
+                    p *= live[t] / p.sum(axis=0)
+                    out += p
+        return out.T
 
     def gradients(self, runs: np.ndarray, truth: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy of all positions and its gradients, by backpropagation through time."""
+        """Mean cross-entropy of all positions in texts and its gradients, by backpropagation through time."""
         kept: dict[str, list] = {"f": [], "b": []}
         f, b = (np.stack(self.states(runs, d, kept[d])) for d in "fb")
         p = self.labels(f, b)
-        n = p.shape[0] * p.shape[1]
+        live = (runs.T != 0)[:, :, None]
+        n = max(int(live.sum()), 1)
         rows = np.arange(len(runs))
-        loss = -float(np.log(p[:, rows, truth] + 1e-9).mean())
+        loss = -float((np.log(p[:, rows, truth] + 1e-9) * live[:, :, 0]).sum() / n)
         p[:, rows, truth] -= 1
+        p *= live
         p /= n
         g = {k: np.zeros_like(v) for k, v in self.weights.items()}
         g["bias"] = p.sum(axis=(0, 1))
@@ -107,30 +154,31 @@ class Network:
             back = p @ self.weights[f"{d}_out"].T
             rec = self.weights[f"{d}_rec"]
             carry = np.zeros_like(states[0])
-            for t, before, z, r, new, u in reversed(kept[d]):
-                carry = carry + back[t]
+            inputs = np.zeros((runs.shape[1], len(runs), rec.shape[1]), rec.dtype)
+            for t, before, z, r, new, u, alive in reversed(kept[d]):
+                carry = (carry + back[t]) * alive
                 dn = carry * (1 - z) * (1 - new**2)
                 dz = carry * (before - new) * z * (1 - z)
                 dr = dn * u * r * (1 - r)
                 at_u = np.concatenate([dz, dr, dn * r], axis=1)
-                at_x = np.concatenate([dz, dr, dn], axis=1)
+                inputs[t] = np.concatenate([dz, dr, dn], axis=1)
                 g[f"{d}_rec"] += before.T @ at_u
-                np.add.at(g[f"{d}_in"], runs[:, t], at_x)
                 carry = carry * z + at_u @ rec.T
+            which = (runs.T.reshape(-1)[:, None] == np.arange(256)).astype(rec.dtype)
+            g[f"{d}_in"] = which.T @ inputs.reshape(-1, rec.shape[1])
         return loss, g
 
 
-def fit(runs: list[np.ndarray], truth: list[np.ndarray], languages: list[str], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, seed: int = 5) -> Network:
-    """Train on runs, grouped by length (arrays of runs x bytes) with the index of their language."""
+def fit(runs: np.ndarray, truth: np.ndarray, languages: list[str], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, seed: int = 5) -> Network:
+    """Train on equally long runs of bytes (0 where a text ends) with the index of their language, each language as often."""
     rng = np.random.Generator(np.random.PCG64(seed))
     net = Network.start(languages, hidden, rng)
-    share = np.array([r.size for r in runs], float)
+    of = [np.flatnonzero(truth == k) for k in range(len(languages))]
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
     for step in range(1, steps + 1):
-        group = rng.choice(len(runs), p=share / share.sum())
-        pick = rng.integers(0, len(runs[group]), batch)
-        _, grads = net.gradients(runs[group][pick], truth[group][pick])
+        pick = np.array([own[rng.integers(0, len(own))] for own in (of[k] for k in rng.integers(0, len(of), batch))])
+        _, grads = net.gradients(runs[pick], truth[pick])
         rate = 0.02 * min(1.0, step / 20) * (0.05 + 0.95 * (1 - step / steps))
         for k, g in grads.items():
             np.clip(g, -1, 1, out=g)
@@ -140,64 +188,48 @@ def fit(runs: list[np.ndarray], truth: list[np.ndarray], languages: list[str], h
     return net
 
 
-def runs_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of a block: its folded bytes, and for each run start, length, text and a hash."""
+def folded(block: Block) -> np.ndarray:
+    """The block's bytes, capitals of ASCII and of Latin-1 (two bytes each) as small letters."""
     data = _FOLD[block.data]
-    if len(data) > 1:  # capitals of Latin-1, two bytes each
+    if len(data) > 1:
         capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         data[1:][capital] += 0x20
-    folded = Block(block.first, block.last, data, block.offsets)
-    w = words(folded, _NOT_LETTER, fold=False)
-    size = w.end - w.start
-    pieces = np.maximum(1, -(-size // RUN_BYTES))
-    if (pieces > 1).any():
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = np.repeat(w.start, pieces) + nth * RUN_BYTES
-        length = np.minimum(np.repeat(w.end, pieces) - start, RUN_BYTES)
-        keys = np.repeat(w.hash, pieces) + nth.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-        return data, start, length, np.repeat(w.text, pieces), keys
-    return data, w.start, size, w.text, w.hash
-
-
-def by_length(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length: which runs have it, and their bytes."""
-    for size in np.unique(length):
-        which = np.flatnonzero(length == size)
-        yield which, data[start[which][:, None] + np.arange(size)]
-
-
-class Labeller:
-    """Pooled language probabilities of texts, remembering distinct runs."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.keys = np.zeros(0, np.uint64)
-        self.sums = np.zeros((0, len(net.languages)), np.float32)
-
-    def pooled(self, block: Block) -> np.ndarray:
-        """texts x languages; a text without letter bytes has zeros."""
-        data, start, length, text, key = runs_of(block)
-        total = np.zeros((block.texts, len(self.net.languages)))
-        if not len(key):
-            return total
-        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-        sums = np.zeros((len(distinct), total.shape[1]), np.float32)
-        sums[known] = self.sums[at[known]]
-        new = np.flatnonzero(~known)
-        for rows, runs in by_length(data, start[first[new]], length[first[new]]):
-            for k in range(0, len(rows), 4096):
-                sums[new[rows[k : k + 4096]]] = self.net.summed(runs[k : k + 4096])
-        if len(self.keys) + len(new) > REMEMBERED:
-            self.keys, self.sums = distinct, sums
-        elif len(new):
-            keys = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys)
-            self.keys, self.sums = keys[order], np.concatenate([self.sums, sums[new]])[order]
-        for k in range(total.shape[1]):
-            total[:, k] = np.bincount(text, sums[which, k], minlength=block.texts)
-        return total / np.maximum(np.bincount(text, length, minlength=block.texts), 1)[:, None]
+    return data
+
+
+def windows_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every window's labelled bytes, and its text."""
+    size = np.diff(block.offsets)
+    each = -(-size // WINDOW)
+    text = np.repeat(np.arange(block.texts), each)
+    nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    start = block.offsets[:-1][text] + nth * WINDOW
+    return start, np.minimum(start + WINDOW, block.offsets[1:][text]), text
+
+
+def cut(data: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Rows of length bytes from each start; 0 before first and from last on."""
+    at = start[:, None] + np.arange(length)
+    inside = (at >= first[:, None]) & (at < last[:, None])
+    return np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
+
+
+def pooled(net: Network, block: Block) -> np.ndarray:
+    """texts x languages: the mean distribution of each text's positions; a text without bytes has zeros."""
+    total = np.zeros((block.texts, len(net.languages)))
+    if not len(block.data):
+        return total
+    data = folded(block)
+    start, end, text = windows_of(block)
+    for k in range(0, len(start), TOGETHER):
+        own = slice(k, k + TOGETHER)
+        rows = cut(data, start[own] - CONTEXT, block.offsets[:-1][text[own]], np.minimum(end[own] + CONTEXT, block.offsets[1:][text[own]]), WINDOW + 2 * CONTEXT)
+        beyond = np.arange(WINDOW + 2 * CONTEXT) >= (end[own] - start[own])[:, None] + CONTEXT
+        rows[beyond & (end[own] == block.offsets[1:][text[own]])[:, None]] = 0
+        sums = net.summed(rows)
+        for n in range(total.shape[1]):
+            total[:, n] += np.bincount(text[own], sums[:, n], minlength=block.texts)
+    return total / np.maximum(np.diff(block.offsets), 1)[:, None]
 
 
 def _has_letter(block: Block) -> np.ndarray:
@@ -213,36 +245,50 @@ def held_out(doc_id: Column, folds: int = 3) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 1, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, max_bytes: int = MAX_DOC_BYTES) -> Network | None:
+def _learn_from(per_doc: int):
+    """lang, place, bytes: windows at places spread over each text; all of a text that is short."""
+    schema = pa.schema([("lang", pa.string()), ("place", pa.int64()), ("bytes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                if not len(block.data):
+                    continue
+                size = np.diff(block.offsets)
+                each = np.minimum(per_doc, -(-size // LEARN_BYTES))
+                text = np.repeat(np.arange(block.texts), each)
+                nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                room = np.maximum(size - LEARN_BYTES, 0)[text]
+                start = block.offsets[:-1][text] + nth * room // np.maximum(each[text] - 1, 1)
+                rows = cut(folded(block), start, block.offsets[:-1][text], block.offsets[1:][text], LEARN_BYTES)
+                where = block.first + text
+                yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(where)), pa.array(nth), pa.array([r.tobytes() for r in rows], pa.binary())], schema=schema)
+
+    return run, "lang string, place long, bytes binary"
+
+
+def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_doc: int = WINDOWS_PER_DOC) -> Network | None:
     """A network for the languages of docs outside the held-out fold; None if there is none.
 
-    per_language documents of each language are drawn, those whose ids hash lowest among texts of at most
-    max_bytes. Their runs are what it learns from, each position labelled with its document's language.
+    Of each language about per_language documents are drawn, those whose id and text hash below a bound that follows
+    from the language's number of documents, whatever their length; of each per_doc windows at most, at places spread
+    over all of its text. So at most about per_language * per_doc * LEARN_BYTES bytes of a language reach the driver.
+    Rows repeated with one id and text count once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    usable = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= max_bytes) & ~held_out(F.col("doc_id")))
-    # ranked within pieces of a language first, so that no task ranks a whole language
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = usable.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(PIECES)).alias("piece"))
-    for keys in (["lang", "piece"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= per_language)
-    chosen = chosen.select("doc_id").distinct()
-    found = usable.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").toArrow()
-    langs = found.column("lang").to_pylist()
-    languages = sorted(set(langs))
-    if not languages:
-        return None
-    index = np.array([languages.index(x) for x in langs])
-    groups: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for block in blocks(found.column("text")):
-        data, start, length, text, _ = runs_of(block)
-        for which, runs in by_length(data, start, length):
-            groups.setdefault(runs.shape[1], []).append((runs, index[block.first + text[which]]))
-    if not groups:
+    usable = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    share = usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    lot = F.xxhash64(F.lit(1), "doc_id", "text")
+    drawn = usable.join(share, "lang").filter(F.col("text").isNotNull() & (F.pmod(lot, F.lit(1 << 40)) < F.col("share") * float(1 << 40)))
+    drawn = drawn.withColumn("lot", lot).groupBy("lot", "lang").agg(F.first("text").alias("text"))
+    run, schema = _learn_from(per_doc)
+    found = drawn.select("lang", "text").mapInArrow(run, schema).toArrow().sort_by([("lang", "ascending"), ("place", "ascending"), ("bytes", "ascending")])
+    if not found.num_rows:
         return None
-    sizes = sorted(groups)
-    return fit([np.concatenate([r for r, _ in groups[s]]) for s in sizes], [np.concatenate([t for _, t in groups[s]]) for s in sizes], languages)
+    langs = np.array(found.column("lang").to_pylist())
+    languages = sorted(set(langs.tolist()))
+    runs = np.frombuffer(b"".join(found.column("bytes").to_pylist()), np.uint8).reshape(-1, LEARN_BYTES)
+    return fit(runs, np.searchsorted(np.array(languages), langs), languages)
 
 
 def identify(docs: DataFrame, **sample) -> DataFrame:
@@ -256,14 +302,13 @@ def identify(docs: DataFrame, **sample) -> DataFrame:
     kind = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(net) if net else None
         for batch in batches:
             for block in blocks(batch.column("text")):
-                if labeller is None:
+                if net is None:
                     best, score, ok = np.zeros(block.texts, int), np.zeros(block.texts), np.zeros(block.texts, bool)
                 else:
-                    pooled = labeller.pooled(block)
-                    best, score, ok = pooled.argmax(axis=1), np.clip(pooled.max(axis=1), 0, 1), _has_letter(block)
+                    means = pooled(net, block)
+                    best, score, ok = means.argmax(axis=1), np.clip(means.max(axis=1), 0, 1), _has_letter(block)
                 names = [net.languages[k] if good else UNKNOWN for k, good in zip(best, ok)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.texts), pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0))], schema=kind)
 
