@@ -1,14 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters and digits, lower-cased. Seeds are all runs of min_match tokens of the benchmark; a
-document's seeds are found by a vectorised look-up of their hashes in the seed table (a map-side join: nothing of
-a document is shuffled). For each document and each test item that shares a seed, tiles are laid as Running
-Karp-Rabin lays them: the longest common run of tokens not yet covered on either side is marked first, then the
-next longest, down to min_match. The share of the item's tokens under tiles is its coverage. Because tiles may lie
-in any order, a passage whose sentences were moved about is covered all the same.
-
-The seed table is sent to executors in slices of a bounded number of seeds, whole items at a time; a larger
-benchmark takes more passes over the documents, not more memory.
+Tokens are runs of letters, marks and digits of any script, lower-cased. Seeds are all runs of min_match tokens of the
+benchmark; a document's seeds are found by a vectorised look-up of their hashes in the seed table (a map-side join:
+nothing of a document is shuffled). For each document and each test item that share enough, tiles are laid as Running
+Karp-Rabin lays them: the longest common run of tokens not yet covered on either side is marked first, then the next
+longest, down to min_match; what is laid is compared token by token. The share of the item's tokens under tiles is its
+coverage. Because tiles may lie in any order, a passage whose sentences were moved about is covered all the same.
+
+An item covered to the threshold has at least so many seeds in common as tiles of min_match tokens would need, so its
+commonest seeds, one fewer than that, need not be looked up: a phrase that many items share doesn't lead to all of
+them. Once an item is found by a rarer seed, all its seeds count.
+
+The seed table is sent to executors in slices of a bounded number of seeds, whole items at a time. A larger benchmark
+takes more passes over the documents, one after the other: the driver holds one slice.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textblocks import NOT_WORD, blocks, ngrams, words
+from tidemark.llm.scratch import Scratch
+from tidemark.llm.textblocks import blocks, ngrams, words
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -29,67 +34,76 @@ THRESHOLD = 0.5
 SLICE_SEEDS = 1_000_000
 
 
+def tokens(text: Column) -> Column:
+    """The text's tokens, lower-cased, with a space between them."""
+    return F.regexp_replace(F.lower(text.cast("string")), r"[^\p{L}\p{M}\p{N}]+", " ")
+
+
 @dataclass
 class SeedTable:
-    """Seeds sorted by hash, each with its item (an index into ids) and place; tokens of each item."""
+    """Items with their ids, tokens and seeds, and the seeds to be looked up, sorted by hash, with their items.
+
+    seed_length is min_match; in a table of shorter items, which are looked up whole, their number of tokens.
+    """
 
+    seed_length: int
+    ids: np.ndarray
+    words: list[list[bytes]]
+    seeds: list[np.ndarray]
     hash: np.ndarray
     item: np.ndarray
-    place: np.ndarray
-    ids: np.ndarray
-    tokens: np.ndarray
-
-    def slices(self, limit: int) -> Iterator["SeedTable"]:
-        """The table by whole items, at most about limit seeds at a time."""
-        counts = np.bincount(self.item, minlength=len(self.ids))
-        part = np.cumsum(counts) // max(limit, 1)
-        for p in np.unique(part):
-            use = part[self.item] == p
-            yield SeedTable(self.hash[use], self.item[use], self.place[use], self.ids, self.tokens)
 
 
-def seed_tables(benchmark: DataFrame, min_match: int, slice_seeds: int) -> Iterator[SeedTable]:
+def needed(n_tokens: int, min_match: int, threshold: float) -> int:
+    """Seeds that an item has in common at least with what covers it to the threshold."""
+    return max(1, int(np.ceil(np.ceil(threshold * n_tokens - 1e-9) / min_match - 1e-9)))
+
+
+def _table(ids: list, texts: list[str], seed_length: int, min_match: int, threshold: float) -> SeedTable:
+    of, seeds = [t.encode().split() for t in texts], []
+    for block in blocks(pa.array(texts, pa.string())):
+        h, at = ngrams(w := words(block, fold=False), seed_length)
+        cuts = np.searchsorted(w.text[at], np.arange(block.texts + 1))
+        seeds += [h[a:b] for a, b in zip(cuts, cuts[1:])]
+    flat = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
+    values, counts = np.unique(flat, return_counts=True)
+    hashes, items = [], []
+    for k, own in enumerate(seeds):
+        distinct = np.unique(own)
+        common = counts[np.searchsorted(values, distinct)]
+        spare = needed(len(of[k]), min_match, threshold) - 1 - (len(own) - len(distinct))  # repeats may stand for several
+        rare = distinct[np.lexsort((distinct, common))][: len(distinct) - max(0, spare)]
+        hashes.append(rare)
+        items.append(np.full(len(rare), k))
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    order = np.argsort(h, kind="stable")
+    return SeedTable(seed_length, np.array(ids, dtype=object), of, seeds, h[order], (np.concatenate(items) if items else np.zeros(0, np.int64))[order])
+
+
+def seed_tables(benchmark: DataFrame, min_match: int, slice_seeds: int, threshold: float = THRESHOLD) -> Iterator[SeedTable]:
     """Seed tables over all items, built from the benchmark a bounded piece at a time.
 
-    An item of fewer than min_match tokens has no seed and can't be found; neither can one that is null. Rows
+    An item of fewer than min_match tokens is looked up as a whole. One without tokens, or null, can't be found. Rows
     repeated with one item_id count as items of their own.
     """
-    held: list[pa.RecordBatch] = []
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("text")).filter("item_id is not null and text is not null")
+    held: dict[int, list] = {}
     size = 0
 
-    def table() -> SeedTable:
-        hashes, items, places, ids, tokens = [], [], [], [], []
-        base = 0
-        for batch in held:
-            for block in blocks(batch.column("text")):
-                w = words(block, NOT_WORD)
-                h, at = ngrams(w, min_match)
-                firsts = np.concatenate([[0], np.cumsum(w.per_text)])
-                hashes.append(h)
-                items.append(w.text[at] + base)
-                places.append(at - firsts[w.text[at]])
-                tokens.append(w.per_text)
-                ids.append(batch.column("item_id").slice(block.first, block.texts).to_numpy(zero_copy_only=False))
-                base += block.texts
-        h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        return SeedTable(h[order], np.concatenate(items)[order], np.concatenate(places)[order], np.concatenate(ids), np.concatenate(tokens))
-
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    names = ["item_id", "text"]
-    batch: list = []
+    def tables() -> Iterator[SeedTable]:
+        for n, items in sorted(held.items()):
+            yield _table([i for i, _ in items], [t for _, t in items], n, min_match, threshold)
+        held.clear()
+
     for row in rows.toLocalIterator(prefetchPartitions=False):
-        batch.append(row)
-        size += len(row.text) // 4 + 1
+        n = len(row.text.split())
+        if n:
+            held.setdefault(min(n, min_match), []).append((row.item_id, row.text))
+            size += n
         if size >= slice_seeds:
-            held.append(pa.RecordBatch.from_arrays([pa.array([r[0] for r in batch], pa.int64()), pa.array([r[1] for r in batch], pa.string())], names))
-            yield from table().slices(slice_seeds)
-            held.clear()
-            batch.clear()
+            yield from tables()
             size = 0
-    if batch:
-        held.append(pa.RecordBatch.from_arrays([pa.array([r[0] for r in batch], pa.int64()), pa.array([r[1] for r in batch], pa.string())], names))
-        yield from table().slices(slice_seeds)
+    yield from tables()
 
 
 def tile(doc_at: np.ndarray, item_at: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -136,34 +150,45 @@ def lay(runs: list[tuple[int, int, int]], min_match: int) -> list[tuple[int, int
 
 
 def matches(column: pa.Array, table: SeedTable, min_match: int, threshold: float) -> Iterator[tuple[int, int, int, int, list[tuple[int, int, int]]]]:
-    """(row, item index, tokens covered, tokens of the item, tiles) for each text and item covered to the threshold."""
+    """(row, item index, tokens covered, tokens of the item, tiles) for each tokenised text and item covered to the threshold."""
     if not len(table.hash):
         return
     for block in blocks(column):
-        w = words(block, NOT_WORD)
-        h, at = ngrams(w, min_match)
+        w = words(block, fold=False)
+        h, at = ngrams(w, table.seed_length)
         low = np.searchsorted(table.hash, h, "left")
         hit = np.flatnonzero(table.hash[np.minimum(low, len(table.hash) - 1)] == h)
         if not len(hit):
             continue
-        low, high = low[hit], np.searchsorted(table.hash, h[hit], "right")
-        seeds = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange((high - low).sum())
+        # a text's distinct seeds only, and of these the items
+        text, seed = np.unique(np.stack([w.text[at[hit]], low[hit]]), axis=1)
+        each = np.searchsorted(table.hash, table.hash[seed], "right") - seed
+        item = table.item[np.repeat(seed - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())]
+        pairs = np.unique(np.stack([np.repeat(text, each), item]), axis=1)
         firsts = np.concatenate([[0], np.cumsum(w.per_text)])
-        where = np.repeat(at[hit], high - low)
-        text = w.text[where]
-        item, item_at, doc_at = table.item[seeds], table.place[seeds], where - firsts[text]
-        order = np.lexsort((item, text))
-        text, item, item_at, doc_at = text[order], item[order], item_at[order], doc_at[order]
-        cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
-        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(text)]])):
-            tokens = int(table.tokens[item[a]])
-            reach = np.unique((np.unique(item_at[a:b])[:, None] + np.arange(min_match)).reshape(-1))
-            if len(reach) < threshold * tokens:  # tiles lie within these tokens
+        cuts = np.searchsorted(w.text[at], np.arange(block.texts + 1))
+        last, order, own = -1, None, None
+        for t, k in pairs.T.tolist():
+            if t != last:
+                last, own = t, h[cuts[t] : cuts[t + 1]]
+                order = np.argsort(own, kind="stable")
+                own = own[order]
+            a, b = np.searchsorted(own, table.seeds[k], "left"), np.searchsorted(own, table.seeds[k], "right")
+            n = b - a
+            item_at = np.repeat(np.arange(len(n)), n)
+            doc_at = order[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] + (at[cuts[t]] - firsts[t])
+            size = len(table.words[k])
+            reach = np.unique((np.flatnonzero(n)[:, None] + np.arange(table.seed_length)).reshape(-1))
+            if len(reach) < threshold * size:  # tiles lie within these tokens
                 continue
-            tiles = tile(doc_at[a:b], item_at[a:b], min_match)
+            tiles = [x for x in tile(doc_at, item_at, table.seed_length) if _equal(block, w, int(firsts[t]) + x[0], table.words[k][x[1] : x[1] + x[2]])]
             covered = sum(n for _, _, n in tiles)
-            if covered >= threshold * tokens:
-                yield block.first + int(text[a]), int(item[a]), covered, tokens, tiles
+            if covered >= threshold * size:
+                yield block.first + t, k, covered, size, tiles
+
+
+def _equal(block, w, first: int, of: list[bytes]) -> bool:
+    return all(block.data[w.start[first + k] : w.end[first + k]].tobytes() == word for k, word in enumerate(of))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, slice_seeds: int = SLICE_SEEDS) -> DataFrame:
@@ -177,9 +202,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
         [("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered_tokens", pa.int32()), ("item_tokens", pa.int32()), ("coverage", pa.float64()), ("n_tiles", pa.int32())]
         + [("tiles", pa.list_(pa.struct([("doc_token", pa.int32()), ("item_token", pa.int32()), ("tokens", pa.int32())])))]
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("text"))
 
-    def search(table: SeedTable):
+    def search(table: SeedTable) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column("doc_id")
@@ -190,13 +215,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
                 ]
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-        return run
+        return texts.mapInArrow(run, schema)
+
+    return _each_slice(docs, seed_tables(benchmark, min_match, slice_seeds, threshold), search, schema)
 
-    found = None
-    for table in seed_tables(benchmark, min_match, slice_seeds):
-        part = texts.mapInArrow(search(table), schema)
-        found = part if found is None else found.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+
+def _each_slice(docs: DataFrame, tables: Iterator[SeedTable], search, schema: str) -> DataFrame:
+    """What search finds with each table. Of several tables all results are written, so that none is held longer."""
+    scratch, parts = Scratch(docs.sparkSession, "decontamination"), []
+    table = next(tables, None)
+    while table is not None:
+        following = next(tables, None)
+        found = search(table)
+        parts.append(found if following is None and not parts else scratch.keep(found))
+        table = following
+    whole = docs.sparkSession.createDataFrame([], schema) if not parts else parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return whole
 
 
 def is_contaminated(text: Column, table: SeedTable, min_match: int, threshold: float) -> Column:
@@ -207,12 +243,34 @@ def is_contaminated(text: Column, table: SeedTable, min_match: int, threshold: f
             flags[row] = True
         return pa.array(flags)
 
-    return run(text)
+    return run(tokens(text))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, slice_seeds: int = SLICE_SEEDS) -> DataFrame:
-    """docs, with all columns, without the rows that hold a test item to the threshold, whether the item has an id or not."""
+    """docs, with all columns, without the rows that hold a test item to the threshold, whether the item has an id or not.
+
+    With one slice of seeds rows are filtered where they are; with several, the texts found are known by two hashes.
+    """
     items = benchmark.select(F.lit(0).alias("item_id"), "text")
-    for table in seed_tables(items, min_match, slice_seeds):
-        docs = docs.filter(~is_contaminated(F.col("text").cast("string"), table, min_match, threshold))
-    return docs
+    tables = seed_tables(items, min_match, slice_seeds, threshold)
+    first, second = next(tables, None), next(tables, None)
+    text = F.col("text").cast("string")
+    if first is None:
+        return docs
+    if second is None:
+        return docs.filter(~is_contaminated(text, first, min_match, threshold))
+
+    def every() -> Iterator[SeedTable]:
+        yield first
+        yield second
+        yield from tables
+
+    keys = {"__held": F.xxhash64(text), "__also": F.xxhash64(F.lit(3), text)}
+
+    def search(table: SeedTable) -> DataFrame:
+        return docs.filter(is_contaminated(text, table, min_match, threshold)).select(*[v.alias(k) for k, v in keys.items()])
+
+    held = _each_slice(docs, every(), search, "__held long, __also long").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(row.alias("row"), *[v.alias(k) for k, v in keys.items()])
+    return named.join(held, ["__held", "__also"], "left_anti").select("row.*")
