@@ -7,8 +7,9 @@ Above 1 the bucket is skipped. If it is high, coordinate pruning: a vector can r
 query coordinates lie in a feasible interval each. If it is low, length pruning: only the bucket's prefix of vectors
 at least theta / |q| long can do. What is left is verified by exact products.
 
-Queries and candidates meet in blocks: a block of queries and a bucket make one row, so that a task holds a bounded
-number of vectors and scores.
+Queries and candidates meet in tiles: some blocks of queries and some buckets of neighbouring lengths are one group, so
+that a task holds a bounded number of vectors, a block is sent once to a group of buckets, and a bucket once to a piece
+of the queries. Components travel in the narrowest integers that hold them.
 """
 
 from __future__ import annotations
@@ -33,10 +34,20 @@ TASK_BUCKETS = 8
 COORDINATE_FROM = 0.75
 FOCUS = 4
 NONE = np.iinfo(np.int64).min
+#: Length from which bounds aren't used, as products may leave the range of a long.
+WIDE = 2.0**30
+
+
+def lengths(whole: np.ndarray) -> np.ndarray:
+    """Lengths of rows, of any finite components."""
+    most = np.abs(whole).max(axis=1, initial=0)
+    unit = whole / np.where(most > 0, most, 1)[:, None]
+    with np.errstate(over="ignore"):
+        return np.minimum(most * np.sqrt((unit * unit).sum(axis=1)), np.finfo(np.float64).max)
 
 
 def quantised(scale: float = 64.0):
-    """vec_id, norm2, vector (int64 bytes): components as floor(scale * x); vectors with a missing or non-finite one go."""
+    """vec_id, norm, vector (bytes of doubles): components as floor(scale * x); vectors with a missing or non-finite one go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,58 +55,73 @@ def quantised(scale: float = 64.0):
             flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
-            with np.errstate(invalid="ignore"):
+            with np.errstate(invalid="ignore", over="ignore"):
                 whole = np.floor(scale * flat)
-            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat) | (np.abs(whole) >= 2**53))])
+                whole = np.where(np.isfinite(flat), np.clip(whole, -np.finfo(np.float64).max, np.finfo(np.float64).max), whole)
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
             good = (bad[ends] == bad[ends - sizes]) & column.is_valid().to_numpy(zero_copy_only=False)
             rows = np.flatnonzero(good)
-            vectors = [whole[ends[r] - sizes[r] : ends[r]].astype(np.int64) for r in rows]
-            norms = [float(np.dot(v.astype(np.float64), v)) for v in vectors]
+            vectors = [whole[ends[r] - sizes[r] : ends[r]] for r in rows]
+            norms = [float(lengths(v[None])[0]) for v in vectors]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(rows)), pa.array(norms, pa.float64()), pa.array([v.tobytes() for v in vectors], pa.binary())], ["vec_id", "norm2", "vector"]
+                [batch.column("vec_id").take(pa.array(rows)), pa.array(norms, pa.float64()), pa.array([v.tobytes() for v in vectors], pa.binary())], ["vec_id", "norm", "vector"]
             )
 
-    return run, "vec_id long, norm2 double, vector binary"
+    return run, "vec_id long, norm double, vector binary"
+
+
+def narrow(matrix: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest kind that holds them all."""
+    most = np.abs(matrix).max(initial=0)
+    return matrix.astype(next((k for k, limit in (("<i1", 2**7), ("<i2", 2**15), ("<i4", 2**31)) if most < limit), "<f8"))
 
 
 def _pack(rows: int):
-    """Rows in their order into blocks: size, longest, ids, norms, vectors (zero-padded to one width)."""
+    """Rows in their order into blocks: size, longest, ids, norms, vectors (zero-padded to one width), their kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def block() -> pa.RecordBatch:
-            parts = [np.frombuffer(v, np.int64) for _, _, v in held]
-            matrix = np.zeros((len(parts), max(map(len, parts))), np.int64)
+            parts = [np.frombuffer(v, np.float64) for _, _, v in held]
+            matrix = np.zeros((len(parts), max(map(len, parts))), np.float64)
             for k, v in enumerate(parts):
                 matrix[k, : len(v)] = v
-            ids, norms = np.array([r[0] for r in held], np.int64), np.sqrt(np.array([r[1] for r in held]))
+            matrix = narrow(matrix)
+            ids, norms = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held])
             held.clear()
-            values = [pa.array([len(ids)], pa.int32()), pa.array([norms.max()]), pa.array([ids.tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(values, ["size", "longest", "ids", "norms", "vectors"])
+            values = [pa.array([len(ids)], pa.int32()), pa.array([norms.max()]), pa.array([ids.tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary()), pa.array([matrix.dtype.str])]
+            return pa.RecordBatch.from_arrays(values, ["size", "longest", "ids", "norms", "vectors", "kind"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "norm2", "vector"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "norm", "vector"))):
                 held.append(row)
                 if len(held) == rows:
                     yield block()
         if held:
             yield block()
 
-    return run, "size int, longest double, ids binary, norms binary, vectors binary"
+    return run, "size int, longest double, ids binary, norms binary, vectors binary, kind string"
 
 
-def _unpack(size: int, ids: bytes, norms: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(norms, np.float64), np.frombuffer(vectors, np.int64).reshape(size, -1)
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float64), np.frombuffer(row["vectors"], row["kind"]).reshape(row["size"], -1)
 
 
 def exact_products(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows; in floating point where that is exact."""
+    """Integer inner products of rows: in floating point where that is exact, in unbounded integers where 64 bits may not do.
+
+    A product beyond the range of a long is given as the longest or smallest long.
+    """
     width = max(p.shape[1], q.shape[1])
     p, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) if m.shape[1] < width else m for m in (p, q))
-    bound = float(np.abs(p).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(width, 1)
-    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
-    return (p.astype(kind) @ q.astype(kind).T).astype(np.int64)
+    most = [max(abs(float(m.max(initial=0))), abs(float(m.min(initial=0)))) for m in (p, q)]
+    bound = most[0] * most[1] * max(width, 1)
+    if bound < 2**62:
+        kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+        return (p.astype(kind) @ q.astype(kind).T).astype(np.int64)
+    p, q = (np.array([[int(x) for x in row] for row in m.tolist()], dtype=object).reshape(m.shape) for m in (p, q))
+    return np.array([[min(max(x, -(2**63)), 2**63 - 1) for x in row] for row in (p @ q.T).tolist()], np.int64).reshape(len(p), len(q))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -103,8 +129,8 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if len(scores) > 4 * k:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
         some = np.flatnonzero(scores >= floor)
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+        return some[np.lexsort((ids[some], -1 - scores[some]))[:k]]
+    return np.lexsort((ids, -1 - scores))[:k]
 
 
 def theta_from(ids: np.ndarray, vectors: np.ndarray, seed: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +151,16 @@ def search_bucket(q_ids, q_norms, q_vectors, theta, holder, p_ids, p_norms, p_ve
     holder is the id that has theta: a row of that score counts up to this id, as ties go to smaller ids.
     """
     out = []
+    if p_norms[0] > WIDE or (len(q_norms) and q_norms.max() > WIDE) or max(theta.max(initial=0), -int(theta.min(initial=0))) >= 2**62:
+        theta_bound = np.zeros(len(theta))  # bounds in doubles say nothing here: every product is verified
+    else:
+        theta_bound = theta
     unit = p_vectors / np.maximum(p_norms, 1e-300)[:, None]
     slack = 1e-9
     longest = p_norms[0]
     with np.errstate(divide="ignore", invalid="ignore"):
-        local = np.where(theta > 0, theta / (q_norms * longest), 0.0)
-        least = np.where(theta > 0, theta / q_norms, 0.0) * (1 - slack)
+        local = np.where(theta_bound > 0, theta_bound / (q_norms * longest), 0.0)
+        least = np.where(theta_bound > 0, theta_bound / q_norms, 0.0) * (1 - slack)
     open_ = np.flatnonzero(~(local > 1 + slack))
     by_coordinate = [r for r in open_ if local[r] >= coordinate_from]
     by_length = np.array([r for r in open_ if local[r] < coordinate_from], np.int64)
@@ -157,20 +187,29 @@ def search_bucket(q_ids, q_norms, q_vectors, theta, holder, p_ids, p_norms, p_ve
 
 
 def _search(k: int):
-    """Rows of a query block beside a bucket, to rows of results."""
+    """Query blocks beside buckets, to each query's k best among them."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, q_norms, q_vectors = _unpack(row["q_size"], row["q_ids"], row["q_norms"], row["q_vectors"])
-                p_ids, p_norms, p_vectors = _unpack(row["size"], row["ids"], row["norms"], row["vectors"])
-                theta, holder = np.frombuffer(row["theta"], np.int64).reshape(2, -1)
-                found = search_bucket(q_ids, q_norms, q_vectors, theta, holder, p_ids, p_norms, p_vectors, k)
-                if found:
-                    queries = np.concatenate([np.full(len(places), q_ids[r]) for r, places, _ in found])
-                    ids = np.concatenate([p_ids[places] for _, places, _ in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(ids), pa.array(np.concatenate([s for *_, s in found]))], schema=schema)
+    def run(blocks: pa.Table, buckets: pa.Table) -> pa.Table:
+        parts = []
+        held = [_unpack(row) + (row["longest"],) for row in buckets.to_pylist()]
+        for row in blocks.to_pylist():
+            q_ids, q_norms, q_vectors = _unpack(row)
+            theta, holder = np.frombuffer(row["theta"], np.int64).reshape(2, -1)
+            rows, ids, scores = [], [], []
+            for p_ids, p_norms, p_vectors, longest in held:
+                if longest >= row["need"]:
+                    for r, places, found in search_bucket(q_ids, q_norms, q_vectors, theta, holder, p_ids, p_norms, p_vectors, k):
+                        rows.append(np.full(len(places), r))
+                        ids.append(p_ids[places])
+                        scores.append(found)
+            if rows:
+                r, i, s = np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
+                order = np.lexsort((i, -1 - s, r))  # -1 - s: no long overflows
+                r, i, s = r[order], i[order], s[order]
+                nth = np.arange(len(r)) - np.searchsorted(r, r, "left")
+                parts.append(pa.Table.from_arrays([pa.array(q_ids[r[nth < k]]), pa.array(i[nth < k]), pa.array(s[nth < k])], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return run, "query_id long, vec_id long, score long"
 
@@ -182,24 +221,25 @@ def _with_theta(k: int, seed: tuple):
         for batch in batches:
             thetas, needs = [], []
             for row in batch.to_pylist():
-                ids, norms, vectors = _unpack(row["size"], row["ids"], row["norms"], row["vectors"])
+                ids, norms, vectors = _unpack(row)
                 theta, holder = theta_from(ids, vectors, seed, k)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    needs.append(float(np.where(theta > 0, theta / norms, 0.0).min()) * (1 - 1e-9))
+                    needs.append(float(np.where(theta > 0, theta / norms, 0.0).min()) * (1 - 1e-9) if norms.max() <= WIDE and theta.max() < 2**62 else 0.0)
                 thetas.append(np.stack([theta, holder]).astype(np.int64).tobytes())
-            columns = [batch.column(c) for c in ("size", "ids", "norms", "vectors")] + [pa.array(thetas, pa.binary()), pa.array(needs, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["q_size", "q_ids", "q_norms", "q_vectors", "theta", "need"])
+            columns = [batch.column(c) for c in ("size", "ids", "norms", "vectors", "kind")] + [pa.array(thetas, pa.binary()), pa.array(needs, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["size", "ids", "norms", "vectors", "kind", "theta", "need"])
 
-    return run, "q_size int, q_ids binary, q_norms binary, q_vectors binary, theta binary, need double"
+    return run, "size int, ids binary, norms binary, vectors binary, kind string, theta binary, need double"
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = 64.0, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query (a condition on vec_id) its k best among all others.
 
-    score is the integer inner product of floor(scale * x). Ties go to the smaller vec_id; fewer rows than k are all
-    given. Vectors that are null or hold a null or non-finite component take no part; of unequal lengths the
-    shorter counts as padded with zeros. Rows repeated with one vec_id are told apart only by vector: a row is
-    never its own partner, nor are others of its id. An empty table gives an empty result.
+    score is the integer inner product of floor(scale * x), with exact integers whatever their size; one beyond the
+    range of a long counts as the largest or smallest long. Ties go to the smaller vec_id; fewer rows than k are all
+    given. Vectors that are null or hold a null or non-finite component take no part; of unequal lengths the shorter
+    counts as padded with zeros. Rows repeated with one vec_id are told apart only by vector: a row is never its own
+    partner, nor are others of its id. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -211,23 +251,21 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = 64.0, bucket_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pack, packed = _pack(bucket_rows)
     parts = -(-n // (bucket_rows * TASK_BUCKETS))
-    order = [F.desc("norm2"), F.asc("vec_id")]
+    order = [F.desc("norm"), F.asc("vec_id")]
+    number = F.monotonically_increasing_id()  # the partition is in its high bits
     buckets = clean.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(pack, packed)
-    buckets = scratch.keep(buckets.withColumn("bucket", F.monotonically_increasing_id()))
+    buckets = scratch.keep(buckets.withColumn("group", F.shiftright(number, 33)))
     longest = clean.orderBy(*order).limit(SEED_ROWS).mapInArrow(_pack(SEED_ROWS)[0], packed).collect()[0]
-    seed = _unpack(longest["size"], longest["ids"], longest["norms"], longest["vectors"])
+    seed = _unpack(longest)
     pack, packed = _pack(query_rows)
     queries = clean.filter(is_query)
     asked = max(1, -(-queries.count() // (query_rows * TASK_BUCKETS)))
     run, schema = _with_theta(k, seed)
-    blocks = scratch.keep(queries.repartitionByRange(asked, "vec_id").mapInArrow(pack, packed).mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()))
-    # which blocks meet which buckets: small tables of a row for each, by length
-    kinds = buckets.select("bucket", "longest")
-    spread = blocks.select("block", "need").join(kinds, F.col("longest") >= F.col("need"))
-    tasks = min(4096, max(spark.sparkContext.defaultParallelism, 8))
-    pairs = spread.select("block", "bucket").repartition(tasks, "bucket")
-    met = pairs.join(buckets.drop("longest"), "bucket").join(blocks, "block")
+    blocks = scratch.keep(queries.repartitionByRange(asked, "vec_id").mapInArrow(pack, packed).mapInArrow(run, schema).withColumn("piece", F.shiftright(number, 33)))
+    # which pieces of the queries meet which groups of buckets: small tables of a row for each, by length
+    kinds = buckets.groupBy("group").agg(F.max("longest").alias("longest"))
+    spread = scratch.keep(blocks.groupBy("piece").agg(F.min("need").alias("need")).join(kinds, F.col("longest") >= F.col("need")).select("piece", "group"))
     run, schema = _search(k)
-    found = met.select("q_size", "q_ids", "q_norms", "q_vectors", "theta", "size", "ids", "norms", "vectors").mapInArrow(run, schema)
+    found = blocks.join(spread, "piece").groupBy("group", "piece").cogroup(buckets.join(spread, "group").groupBy("group", "piece")).applyInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
