@@ -4,29 +4,38 @@ S(w | h) = count(h w) / count(h) if h w occurs, else alpha * S(w | shorter h); t
 1 / (N + 1) for a word that occurs nowhere else. Counts leave out the scored document's own n-grams, so that a text
 is judged by the rest of the corpus.
 
-Relational plan: documents are dealt to chunks by a hash; a chunk's distinct n-grams, with their counts, form
-sorted runs that are cut by hash into partitions of the count table and packed (one row for a chunk and a
-partition, in place of a row for each n-gram). A partition adds up the counts of all chunks and answers each chunk
-with the totals of the n-grams it sent. The answers are joined to the chunk's documents, whose exploded n-grams look
-their totals up and are summed by document. An n-gram is sent once by a chunk however often it occurs there, so a
-frequent one is no hot key: its partition gets one entry of each chunk.
+Relational plan: the rows of a part of the table are packed into chunks of a bounded number of bytes, as they come, and
+written; texts are not shuffled to be counted. A chunk's distinct n-grams, with their counts, form sorted runs that are
+cut by hash into partitions of the count table and packed (one row for a chunk and a partition, in place of a row for
+each n-gram). A partition adds up the counts of all chunks and answers each chunk with the totals of the n-grams it
+sent. The answers are joined to the chunk's documents, whose exploded n-grams look their totals up and are summed by
+document. An n-gram is sent once by a chunk however often it occurs there, so a frequent one is no hot key: its
+partition gets one entry of each chunk. Neither are repeated or missing ids, as chunks don't go by ids.
+
+Hashes of n-grams have SPARE_BITS more bits than the corpus's number of words, so that one n-gram in 2^SPARE_BITS
+shares its count with another one, at any size (up to 64 bits).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import Scratch
 from tidemark.llm.textblocks import blocks, ngrams, words
 
 ORDER = 2
 ALPHA = 0.4
-#: Bytes of text in a chunk, about.
+#: Bytes of text in a chunk, at most (a longer text is a chunk of its own).
 CHUNK_BYTES = 8 << 20
+#: N-grams that a partition of the count table gets from all chunks, about.
+PART_GRAMS = 10_000_000
+SPARE_BITS = 26
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -56,33 +65,75 @@ def _grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[tuple[np.ndarr
     return np.concatenate(per_text) if per_text else np.zeros(0, np.int64), joined
 
 
-def _bounds(partitions: int) -> np.ndarray:
+def _chunks(chunk_bytes: int):
+    """Rows (doc_id, text) in their order as chunks: their number of words, and the rows as a compressed Arrow stream."""
+    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
+    schema = pa.schema([("n_words", pa.int64()), ("docs", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = n_words = 0
+
+        def chunk() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kind, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(pa.concat_tables(held).combine_chunks())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([n_words], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
+
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_string())
+            for block in blocks(texts, min(chunk_bytes, 2 << 20)):
+                if held and size + len(block.data) > chunk_bytes:
+                    yield chunk()
+                    size = n_words = 0
+                held.append(pa.Table.from_arrays([batch.column("doc_id").slice(block.first, block.texts), texts.slice(block.first, block.texts)], schema=kind))
+                size += len(block.data)
+                n_words += len(words(block).hash)
+        if held:
+            yield chunk()
+
+    return run, "n_words long, docs binary"
+
+
+def _opened(docs: bytes) -> pa.Table:
+    return pa.ipc.open_stream(docs).read_all()
+
+
+def _bounds(partitions: int, bits: int) -> np.ndarray:
     """The least hash of each partition but the first."""
-    return np.array([-(-(k << 64) // partitions) for k in range(1, partitions)], np.uint64)
+    return np.array([-(-(k << bits) // partitions) for k in range(1, partitions)], np.uint64)
 
 
-def _count(order: int, partitions: int):
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+def _shortened(grams: list, bits: int) -> list:
+    return [(h >> np.uint64(64 - bits), text, last) for h, text, last in grams]
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = []
-        _, grams = _grams(table.column("text").combine_chunks(), order)
-        for n, (h, _, _) in enumerate(grams, 1):
-            distinct, counts = np.unique(h, return_counts=True)
-            cuts = [0, *np.searchsorted(distinct, _bounds(partitions)).tolist(), len(distinct)]
-            for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    rises = np.diff(distinct[a:b], prepend=distinct[a : a + 1])
-                    rises[0] = distinct[a]
-                    rows.append((part, key[0].as_py(), n, b - a, pack(rises), pack(counts[a:b])))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
 
-    return run, "part int, chunk int, n int, size int, grams binary, counts binary"
+def _count(order: int, partitions: int, bits: int):
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("size", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, docs in zip(batch.column("chunk").to_pylist(), batch.column("docs")):
+                _, grams = _grams(_opened(docs.as_buffer()).column("text").combine_chunks(), order)
+                for n, (h, _, _) in enumerate(_shortened(grams, bits), 1):
+                    distinct, counts = np.unique(h, return_counts=True)
+                    cuts = [0, *np.searchsorted(distinct, _bounds(partitions, bits)).tolist(), len(distinct)]
+                    rows = []
+                    for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        if a < b:
+                            rises = np.diff(distinct[a:b], prepend=distinct[a : a + 1])
+                            rises[0] = distinct[a]
+                            rows.append((part, chunk, n, b - a, pack(rises), pack(counts[a:b])))
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run, "part int, chunk long, n int, size int, grams binary, counts binary"
 
 
 def _total(order: int):
     """Totals of a partition's n-grams, as asked for by each chunk."""
-    schema = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("totals", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("totals", pa.binary())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = []
@@ -101,7 +152,7 @@ def _total(order: int):
                 rows.append((r["chunk"], key[0].as_py(), n, r["size"], pack(mine)))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
-    return run, "chunk int, part int, n int, size int, totals binary"
+    return run, "chunk long, part int, n int, size int, totals binary"
 
 
 def score_texts(tokens: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], totals: list[np.ndarray], corpus: int, alpha: float, leave_out: bool) -> np.ndarray:
@@ -131,17 +182,17 @@ def score_texts(tokens: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np
     return sums[ends] - sums[ends - tokens]
 
 
-def _score(order: int, alpha: float, leave_out: bool):
+def _score(order: int, alpha: float, leave_out: bool, corpus: int, bits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_score", pa.float64())])
 
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _opened(chunk.column("docs")[0].as_buffer())
         tokens, grams = _grams(docs.column("text").combine_chunks(), order)
         found: list[list] = [[] for _ in range(order)]
         for r in sorted(answers.select(["part", "n", "size", "totals"]).to_pylist(), key=lambda r: r["part"]):
             found[r["n"] - 1].append(unpack(r["totals"], r["size"]))
         totals = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found]
-        corpus = docs.column("corpus")[0].as_py()
-        scores = score_texts(tokens, grams, totals, corpus, alpha, leave_out) if len(tokens) else np.zeros(0)
+        scores = score_texts(tokens, _shortened(grams, bits), totals, corpus, alpha, leave_out) if len(tokens) else np.zeros(0)
         return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(tokens), pa.array(scores)], schema=schema)
 
     return run, "doc_id long, n_tokens long, log_score double"
@@ -152,16 +203,19 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
 
     Words are runs without white space, A-Z lower-cased; log_score sums natural logs over them. A text without
     words (or null) has 0 and a null mean. A repeated row is a document of its own, of which the others are part
-    of the corpus. An empty table gives an empty result.
+    of the corpus, and so is each row without an id. An empty table gives an empty result.
     """
+    scratch = Scratch(docs.sparkSession, "backoff")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
-    chunks = max(1, -(-(size[0] or 0) // chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).withColumn("corpus", F.lit(size[1] or 0).cast("long"))
-    run, schema = _count(order, chunks)
-    counted = dealt.groupBy("chunk").applyInArrow(run, schema)
+    run, schema = _chunks(chunk_bytes)
+    chunks = scratch.keep(rows.mapInArrow(run, schema).withColumn("chunk", F.monotonically_increasing_id()))
+    corpus = chunks.agg(F.sum("n_words")).first()[0] or 0
+    bits = min(64, SPARE_BITS + max(1, corpus).bit_length())
+    partitions = max(1, -(-order * corpus // PART_GRAMS))
+    run, schema = _count(order, partitions, bits)
+    counted = chunks.select("chunk", "docs").mapInArrow(run, schema)
     run, schema = _total(order)
     totals = counted.groupBy("part").applyInArrow(run, schema)
-    run, schema = _score(order, alpha, leave_out)
-    scored = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(run, schema)
+    run, schema = _score(order, alpha, leave_out, corpus, bits)
+    scored = chunks.select("chunk", "docs").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(run, schema)
     return scored.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))

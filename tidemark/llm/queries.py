@@ -93,29 +93,36 @@ WITH texts AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), words AS (
     SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM texts
-), pairs AS (
-    SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM words
+), grams AS (
+    SELECT *, lag(w) OVER d AS h, lag(w, 2) OVER d AS g FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), one AS (SELECT w, count(*) AS c FROM words GROUP BY w),
 one_own AS (SELECT doc_id, w, count(*) AS c FROM words GROUP BY doc_id, w),
-two AS (SELECT h, w, count(*) AS c FROM pairs WHERE h IS NOT NULL GROUP BY h, w),
-two_own AS (SELECT doc_id, h, w, count(*) AS c FROM pairs WHERE h IS NOT NULL GROUP BY doc_id, h, w),
+two AS (SELECT h, w, count(*) AS c FROM grams WHERE h IS NOT NULL GROUP BY h, w),
+two_own AS (SELECT doc_id, h, w, count(*) AS c FROM grams WHERE h IS NOT NULL GROUP BY doc_id, h, w),
+three AS (SELECT g, h, w, count(*) AS c FROM grams WHERE g IS NOT NULL GROUP BY g, h, w),
+three_own AS (SELECT doc_id, g, h, w, count(*) AS c FROM grams WHERE g IS NOT NULL GROUP BY doc_id, g, h, w),
 total AS (SELECT count(*) AS c FROM words),
 counted AS (
-    SELECT p.doc_id, p.i, p.n, p.h, total.c - p.n AS rest, u.c - uo.c AS c1, coalesce(b.c - bo.c, 0) AS c2, hu.c - ho.c AS ch
-    FROM pairs p CROSS JOIN total JOIN one u ON u.w = p.w JOIN one_own uo ON uo.doc_id = p.doc_id AND uo.w = p.w
+    SELECT p.doc_id, p.i, p.n, p.h, p.g, total.c - p.n AS rest, u.c - uo.c AS c1, coalesce(b.c - bo.c, 0) AS c2, hu.c - ho.c AS ch, coalesce(t.c - t_o.c, 0) AS c3, gb.c - gbo.c AS cgh
+    FROM grams p CROSS JOIN total JOIN one u ON u.w = p.w JOIN one_own uo ON uo.doc_id = p.doc_id AND uo.w = p.w
     LEFT JOIN two b ON b.h = p.h AND b.w = p.w LEFT JOIN two_own bo ON bo.doc_id = p.doc_id AND bo.h = p.h AND bo.w = p.w
     LEFT JOIN one hu ON hu.w = p.h LEFT JOIN one_own ho ON ho.doc_id = p.doc_id AND ho.w = p.h
+    LEFT JOIN three t ON t.g = p.g AND t.h = p.h AND t.w = p.w LEFT JOIN three_own t_o ON t_o.doc_id = p.doc_id AND t_o.g = p.g AND t_o.h = p.h AND t_o.w = p.w
+    LEFT JOIN two gb ON gb.h = p.g AND gb.w = p.h LEFT JOIN two_own gbo ON gbo.doc_id = p.doc_id AND gbo.h = p.g AND gbo.w = p.h
 ), scored AS (
-    SELECT doc_id, n, CASE WHEN c2 > 0 THEN ln(c2) - ln(ch) ELSE
-        (CASE WHEN h IS NULL THEN 0 ELSE ln(0.4) END) + (CASE WHEN c1 > 0 THEN ln(c1) - ln(rest) ELSE -ln(rest + 1) END) END AS s
+    SELECT doc_id, n, CASE WHEN c3 > 0 THEN ln(c3) - ln(cgh) ELSE
+        (CASE WHEN g IS NULL THEN 0 ELSE ln(0.4) END) + (CASE WHEN c2 > 0 THEN ln(c2) - ln(ch) ELSE
+        (CASE WHEN h IS NULL THEN 0 ELSE ln(0.4) END) + (CASE WHEN c1 > 0 THEN ln(c1) - ln(rest) ELSE -ln(rest + 1) END) END) END AS s
     FROM counted
 ), summed AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
 SELECT t.doc_id, len(t.w)::BIGINT AS n_tokens, round(coalesce(s, 0), 3) AS log_score, CASE WHEN len(t.w) > 0 THEN round(s / len(t.w), 5) END AS mean_log_score
 FROM texts t LEFT JOIN summed USING (doc_id)
 """
+#: N-grams of up to three words.
+OP9_ORDER = 3
 
 
 @register("op9_stupid_backoff", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = backoff_scores(table(spark, sf_dir, "documents"))
+    scores = backoff_scores(table(spark, sf_dir, "documents"), order=OP9_ORDER)
     return scores.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
