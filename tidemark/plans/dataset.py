@@ -134,10 +134,10 @@ def taxonomy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "j21_orphans",
-    "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'image without label' ELSE 'label without image' END AS problem FROM (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
+    "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'image without label' ELSE 'label without image' END AS problem FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
 )
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select("doc_id", F.lit(True).alias("image"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("image"))
     both = d.join(table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("label")), "doc_id", "full_outer")
     return both.filter("image is null or label is null").select("doc_id", F.when(F.col("label").isNull(), "image without label").otherwise("label without image").alias("problem"))
 
@@ -178,10 +178,10 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "u4_set_differences",
-    "WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0), b AS (SELECT doc_id FROM labels) SELECT 'only first' AS side, count(*) AS n FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'only second', count(*) FROM (FROM b EXCEPT FROM a) UNION ALL SELECT 'both', count(*) FROM (FROM a INTERSECT FROM b)",
+    "WITH a AS (SELECT doc_id FROM documents), b AS (SELECT doc_id FROM labels) SELECT 'only first' AS side, count(*) AS n FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'only second', count(*) FROM (FROM b EXCEPT FROM a) UNION ALL SELECT 'both', count(*) FROM (FROM a INTERSECT FROM b)",
 )
 def set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    a, b = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
     count = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n")
     return count(a.subtract(b), "only first").union(count(b.subtract(a), "only second")).union(count(a.intersect(b), "both"))
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import stable_unit
+from tidemark.operators.running import best_from_here, in_parts, running
 from tidemark.plans.registry import register, table
 from tidemark.plans.surveys import DETECTIONS, detections
+from tidemark.scratch import Scratch
 
 #: What keeps F1 from dividing by nought, and the edges of size classes.
 EPSILON = 1e-9
@@ -32,22 +34,21 @@ def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def curve(preds: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """Precision and recall after each prediction, most confident first, and the envelope of precision behind it.
 
-    A key with truth and no prediction has no rows; one without truth is left out.
+    A key with truth and no prediction has no rows; one without truth is left out. Ranks, hits and the envelope run
+    over parts of a key, as a key may hold any share of the rows.
     """
+    scratch = Scratch(preds.sparkSession, "curve")
     total = truth.groupBy(*keys).agg(F.count("*").alias("n_gt"))
-    by = Window.partitionBy(*keys).orderBy(F.desc("confidence"), "seq")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    run = preds.join(total, keys).withColumn("rn", F.row_number().over(by)).withColumn("hits", F.sum("tp").over(upto))
+    order = [F.desc("confidence"), F.asc("seq")]
+    run = running(in_parts(preds.join(total, keys), keys, order, scratch), keys, order, {"hits": F.col("tp")})
     run = run.withColumn("precision", F.col("hits") / F.col("rn")).withColumn("recall", F.col("hits") / F.col("n_gt"))
-    # the best precision from here on, as a running maximum from the other end: linear, which an open-ended frame isn't
-    back = Window.partitionBy(*keys).orderBy("confidence", F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    return run.withColumn("envelope", F.max("precision").over(back))
+    return best_from_here(scratch.keep(run), keys, [F.asc("confidence"), F.desc("seq")], "precision", "envelope")
 
 
 def class_metrics(preds: DataFrame, truth: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """keys, n_gt, p, r, f1 at the threshold, ap50 (every-point interpolation), f1_max; zeros without predictions."""
     run = curve(preds, truth, keys)
-    gain = F.col("recall") - F.lag("recall", 1, 0).over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), "seq"))
+    gain = F.col("tp") / F.col("n_gt")  # of recall
     run = run.withColumn("step", F.col("envelope") * gain).withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + EPSILON))
     at = F.max_by(F.when(F.col("confidence") >= threshold, F.struct("precision", "recall", "f1")), F.when(F.col("confidence") >= threshold, F.col("rn")))
     done = run.groupBy(*keys).agg(at.alias("at"), F.sum("step").alias("ap50"), F.max("f1").alias("f1_max"))
@@ -215,3 +216,33 @@ def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = class_metrics(predictions(spark, sf_dir), truths(spark, sf_dir), ["class_name"], 0.25)
     found = F.array(*[F.when(F.col(c) < 0.5, F.lit(what)) for c, what in (("r", "low recall"), ("p", "low precision"), ("ap50", "low ap"))])
     return m.select("class_name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("alert"))
+
+
+ENVELOPE = f"""WITH {EVAL}, {METRICS[: METRICS.index("m AS (")].rstrip().rstrip(",")}"""
+
+
+@register("w1_running_hits", f"{ENVELOPE} SELECT class_name, seq, rn, hits::BIGINT AS hits, (rn - hits)::BIGINT AS misses FROM r")
+def running_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and false alarms up to each prediction, most confident first."""
+    run = curve(predictions(spark, sf_dir), truths(spark, sf_dir), ["class_name"])
+    return run.select("class_name", "seq", "rn", "hits", (F.col("rn") - F.col("hits")).alias("misses"))
+
+
+@register("w2_precision_envelope", f"{ENVELOPE} SELECT class_name, seq, round(prec, 6) AS precision, round(env, 6) AS envelope FROM e")
+def precision_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best precision from each prediction on."""
+    run = curve(predictions(spark, sf_dir), truths(spark, sf_dir), ["class_name"])
+    return run.select("class_name", "seq", F.round("precision", 6).alias("precision"), F.round("envelope", 6).alias("envelope"))
+
+
+@register(
+    "w3_values_at_thresholds",
+    f"""{ENVELOPE}, t AS (SELECT unnest([0.25, 0.5, 0.75, 0.999]) AS threshold) SELECT class_name, threshold::DOUBLE AS threshold, round(coalesce(max_by(prec, rn) FILTER (confidence >= threshold), 0), 6) AS p,
+    round(coalesce(max_by(rec, rn) FILTER (confidence >= threshold), 0), 6) AS r FROM e CROSS JOIN t GROUP BY ALL""",
+)
+def values_at_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall at the last prediction that reaches each threshold; 0 if none does."""
+    run = curve(predictions(spark, sf_dir), truths(spark, sf_dir), ["class_name"])
+    at = lambda c, t: F.coalesce(F.max_by(F.when(F.col("confidence") >= t, F.col(c)), F.when(F.col("confidence") >= t, F.col("rn"))), F.lit(0.0))
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), F.round(at("precision", t), 6).alias("p"), F.round(at("recall", t), 6).alias("r")) for t in (0.25, 0.5, 0.75, 0.999)])
+    return run.groupBy("class_name").agg(each.alias("each")).select("class_name", F.inline("each"))

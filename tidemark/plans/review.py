@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geodesy import from_dms, to_local
 from tidemark.operators.cluster import connected_components
 from tidemark.operators.spatial_join import iou, meeting_pairs, overlap, self_pairs
+from tidemark.operators.running import in_parts, running
 from tidemark.plans.registry import register, table
 from tidemark.plans.spatial import CELL, INTER, IOU, MEET, OWNED, FOOTPRINTS, footprints, owned_cells
 from tidemark.plans.surveys import BOXES, DETECTIONS, PARENTS, boxes, detections, parents
@@ -227,8 +228,11 @@ def background_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampling operator: empty tiles by hash order, up to a tenth of each split."""
     t = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("split"), (F.col("o_orderpriority") == "5-LOW").alias("empty"))
     c = t.groupBy("split").agg(F.count_if(~F.col("empty")).alias("fg"))
-    rank = F.row_number().over(Window.partitionBy("split").orderBy(F.sha2(F.concat(F.lit("cap:"), F.col("o_orderkey").cast("string")).cast("binary"), 256), "o_orderkey"))
-    return t.filter("empty").withColumn("rn", rank).join(F.broadcast(c), "split").filter(F.col("rn") <= F.floor(F.col("fg") * 10 / 90)).select("o_orderkey", "split")
+    lot = F.sha2(F.concat(F.lit("cap:"), F.col("o_orderkey").cast("string")).cast("binary"), 256)
+    order = [F.asc("lot"), F.asc("o_orderkey")]
+    parts = in_parts(t.filter("empty").withColumn("lot", lot), ["split"], order, Scratch(spark, "background"))
+    ranked = running(parts, ["split"], order, {})
+    return ranked.join(c, "split").filter(F.col("rn") <= F.floor(F.col("fg") * 10 / 90)).select("o_orderkey", "split")
 
 
 @register(

@@ -156,13 +156,16 @@ def unowned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return others.join(met, "det_id", "left_anti").select("det_id", "class_name")
 
 
-FOOTPRINTS = "footprints AS (SELECT photo_idx, class_name, min(x0) AS x0, min(y0) AS y0, min(x0) + 400 AS x1, min(y0) + 300 AS y1 FROM boxes GROUP BY photo_idx, class_name), f AS (SELECT photo_idx * 10 + CASE class_name WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS id, x0, y0, x1, y1 FROM footprints)"
+#: Photos in a strip that overlap with the next ones, and three footprints (by class) of each beside each other.
+FOOTPRINTS = """footprints AS (SELECT DISTINCT photo_idx, CASE class_name WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS code FROM boxes),
+    f AS (SELECT photo_idx * 10 + code AS id, x0, y0, x0 + 400 AS x1, y0 + 300 AS y1 FROM (SELECT *, (photo_idx * 160 + code * 53)::DOUBLE AS x0, (photo_idx % 5 * 140 + code * 37)::DOUBLE AS y0 FROM footprints))"""
 
 
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = boxes(spark, sf_dir).groupBy("photo_idx", "class_name").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"))
     code = F.when(F.col("class_name") == "A", 0).when(F.col("class_name") == "N", 1).otherwise(2)
-    return by.select((F.col("photo_idx") * 10 + code).alias("id"), "x0", "y0", (F.col("x0") + 400).alias("x1"), (F.col("y0") + 300).alias("y1"))
+    by = boxes(spark, sf_dir).select("photo_idx", code.alias("code")).distinct()
+    by = by.select((F.col("photo_idx") * 10 + F.col("code")).alias("id"), (F.col("photo_idx") * 160 + F.col("code") * 53).cast("double").alias("x0"), (F.col("photo_idx") % 5 * 140 + F.col("code") * 37).cast("double").alias("y0"))
+    return by.select("id", "x0", "y0", (F.col("x0") + 400).alias("x1"), (F.col("y0") + 300).alias("y1"))
 
 
 @register(

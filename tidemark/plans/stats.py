@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy
+from tidemark.operators.running import in_parts, running
 from tidemark.plans.registry import register, table
 from tidemark.plans.surveys import BOXES, DETECTIONS, PHOTOS, WEIGHED, boxes, detections, photos, weighed
+from tidemark.scratch import Scratch
 
 def n():
     return F.count("*").alias("n")
@@ -240,16 +242,18 @@ def top_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "w9_prefix_sums",
-    f"""WITH {DETECTIONS}, g AS (SELECT photo_idx % 40 AS gx, k AS gy, count(*) AS c FROM detections GROUP BY ALL), rows_ AS (SELECT gx, gy, sum(c) OVER (PARTITION BY gx ORDER BY gy) AS along FROM g)
-    SELECT gx, gy, along::BIGINT AS along, (SELECT sum(c) FROM g b WHERE b.gx <= r.gx AND b.gy <= r.gy)::BIGINT AS upto FROM rows_ r WHERE gy % 10 = 9""",
+    f"""WITH {DETECTIONS}, g AS (SELECT photo_idx AS gx, k AS gy, count(*) AS c FROM detections GROUP BY ALL), dense AS (SELECT x.gx, y.unnest AS gy, coalesce(c, 0) AS c, c IS NOT NULL AS there FROM (SELECT DISTINCT gx FROM g) x CROSS JOIN unnest(range(0, 100)) y LEFT JOIN g ON g.gx = x.gx AND g.gy = y.unnest),
+    a AS (SELECT *, sum(c) OVER (PARTITION BY gx ORDER BY gy) AS along FROM dense), b AS (SELECT *, sum(along) OVER (PARTITION BY gy ORDER BY gx) AS upto FROM a)
+    SELECT gx, gy::INTEGER AS gy, along::BIGINT AS along, upto::BIGINT AS upto FROM b WHERE there""",
 )
 def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed-area table: running sums along one axis, then along the other over the dense grid."""
-    g = detections(spark, sf_dir).groupBy((F.col("photo_idx") % 40).alias("gx"), F.col("k").alias("gy")).agg(F.count("*").alias("c"))
+    """Summed-area table at every cell that holds something: running sums along one axis, then along the other over the dense grid."""
+    g = detections(spark, sf_dir).groupBy(F.col("photo_idx").alias("gx"), F.col("k").alias("gy")).agg(F.count("*").alias("c"))
     dense = g.select("gx").distinct().withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(99)))).join(g, ["gx", "gy"], "left")
     along = dense.withColumn("along", F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("gx").orderBy("gy")))
-    both = along.withColumn("upto", F.sum("along").over(Window.partitionBy("gy").orderBy("gx")))
-    return both.filter("gy % 10 = 9 and c is not null").select("gx", "gy", "along", "upto")
+    order = [F.asc("gx")]
+    parts = in_parts(along, ["gy"], order, Scratch(spark, "prefix-sums"))
+    return running(parts, ["gy"], order, {"upto": F.col("along")}).filter("c is not null").select("gx", "gy", "along", "upto")
 
 
 @register(
