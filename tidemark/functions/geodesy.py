@@ -70,3 +70,14 @@ def native_zoom(gsd: Column, lat: Column, most: int = 21) -> Column:
     """The first zoom whose 256-pixel tiles are as fine as gsd, at most ``most``."""
     equator = 2 * MERCATOR / 256
     return F.least(F.lit(most), F.ceil(F.log2(equator * F.cos(F.radians(lat)) / gsd))).cast("int")
+
+
+def affine(px: Column, py: Column, transform: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """A pixel's place by a raster's transform (origin x, step and skew of x, origin y, skew and step of y)."""
+    x, a, b, y, d, e = transform
+    return x + px * a + py * b, y + px * d + py * e
+
+
+def pixel_area(a: Column, b: Column, d: Column, e: Column) -> Column:
+    """Area of a pixel of an affine transform: its determinant."""
+    return F.abs(a * e - b * d)

@@ -42,6 +42,17 @@ def tile_origin(name: Column) -> Column:
     return F.struct(y.alias("y"), x.alias("x"))
 
 
+def guessed_batch(name: Column) -> Column:
+    """A batch for display: what stands before ``_images_``, else the name without its suffix; underscores as spaces."""
+    before = F.when(F.contains(name, F.lit("_images_")), F.split_part(name, F.lit("_images_"), F.lit(1))).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
+    return F.translate(before, "_", " ")
+
+
+def anchored(path: Column, marker: str) -> Column:
+    """A Windows or POSIX path from behind the last folder named marker; as it is if there is none. Separators become ``/``."""
+    return F.regexp_replace(F.translate(path, "\\", "/"), rf"^.*/{marker}/", "")
+
+
 def safe_label(label: Column) -> Column:
     return F.regexp_replace(label, "[^A-Za-z0-9]+", "_")
 
