@@ -70,11 +70,23 @@ def clip(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
     return subject
 
 
+def is_convex(p: np.ndarray) -> bool:
+    """All turns to one side, once around."""
+    edge = np.roll(p, -1, axis=0) - p
+    after = np.roll(edge, -1, axis=0)
+    turns = edge[:, 0] * after[:, 1] - edge[:, 1] * after[:, 0]
+    flips = np.diff(np.sign(np.append(edge[:, 0], edge[0, 0])))
+    return bool((turns > 0).all() or (turns < 0).all()) and np.count_nonzero(flips) <= 4
+
+
 def common_area(p: np.ndarray, q: np.ndarray) -> float:
     """Area of the intersection of two simple polygons."""
     low, high = np.maximum(p.min(0), q.min(0)), np.minimum(p.max(0), q.max(0))
     if len(p) < 3 or len(q) < 3 or (low >= high).any():
         return 0.0
+    if is_convex(p) and is_convex(q):
+        inner = clip(p, q if signed_area(q) > 0 else q[::-1])
+        return abs(signed_area(inner)) if len(inner) > 2 else 0.0
     total = 0.0
     fans = [[(np.array([r[0], r[k], r[k + 1]]), signed_area(np.array([r[0], r[k], r[k + 1]]))) for k in range(1, len(r) - 1)] for r in (p, q)]
     for t, a in fans[0]:

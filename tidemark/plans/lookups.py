@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy
 from tidemark.functions.geometry import convex_hull
-from tidemark.operators.spatial_join import iou, meeting_pairs, self_pairs
+from tidemark.operators import matching
+from tidemark.operators.spatial_join import area, iou, meeting_pairs, overlap, self_pairs
 from tidemark.plans.registry import register, table
 from tidemark.plans.spatial import CELL, FOOTPRINTS, IOU, MEET, footprints
-from tidemark.plans.surveys import BOXES, DETECTIONS, PARENTS, PHOTOS, WEIGHED, boxes, detections, parents, photos, weighed
+from tidemark.plans.surveys import BOXES, DETECTIONS, PARENTS, PHOTOS, WEIGHED, boxes, detections, parents, photos, sightings, weighed
+from tidemark.scratch import Scratch
 
 c = lambda name: F.col(name)
 
@@ -89,30 +91,14 @@ def paired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("j27_cross_model_clusters")
 def cross_model_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per image, detections in order of confidence join the first cluster that they overlap, or open one.
-
-    The order decides, so an image is one group; only detections that meet another are looked at.
-    """
-    pairs = self_pairs(boxes(spark, sf_dir), CELL, ("photo_idx",), "det_id").filter(iou() >= 0.3)
-    met = pairs.select(c("a_photo_idx").alias("photo_idx"), c("a_det_id").alias("a"), c("b_det_id").alias("b"), c("a_confidence").alias("ca"), c("b_confidence").alias("cb"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sure = dict(zip(pdf.a, pdf.ca)) | dict(zip(pdf.b, pdf.cb))
-        near: dict[int, set] = {}
-        for a, b in zip(pdf.a, pdf.b):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        clusters: list[set] = []
-        where = {}
-        for d in sorted(sure, key=lambda d: (-sure[d], d)):
-            at = next((k for k, members in enumerate(clusters) if members & near[d]), len(clusters))
-            if at == len(clusters):
-                clusters.append(set())
-            clusters[at].add(d)
-            where[d] = at
-        return pd.DataFrame({"photo_idx": pdf.photo_idx.iloc[0], "det_id": list(where), "cluster": list(where.values())})
-
-    return met.groupBy("photo_idx").applyInPandas(run, "photo_idx long, det_id long, cluster long")
+    """Predictions of three models that lie on no annotation, clustered within each photo, every one with its cluster."""
+    scratch = Scratch(spark, "model-clusters")
+    all_ = scratch.keep(sightings(spark, sf_dir).drop("ring").withColumn("model", c("det_id") % 3))
+    truth, found = all_.filter("det_id % 5 = 0"), all_.filter("det_id % 5 <> 0")
+    on = meeting_pairs(found, truth, 16.0, ("photo_idx",)).filter((iou() >= 0.3) | (overlap() / area("a") >= 0.3)).select(c("a_det_id").alias("det_id")).distinct()
+    free = scratch.keep(found.join(on, "det_id", "left_anti"))
+    near = self_pairs(free, 16.0, ("photo_idx",), "det_id").filter((iou() >= matching.JOIN_IOU) | (overlap() / F.least(area("a"), area("b")) >= matching.JOIN_COVER))
+    return matching.model_clusters(free, near.select(c("a_det_id").alias("a"), c("b_det_id").alias("b")), scratch)
 
 
 @register(

@@ -12,7 +12,7 @@ from tidemark.operators.matching import by_confidence, by_overlap
 from tidemark.operators.spatial_join import area, iou, meeting_pairs, overlap, self_pairs
 from tidemark.operators.tiling import most_square_grid, windows
 from tidemark.plans.registry import register, table
-from tidemark.plans.surveys import BOXES, PHOTOS, boxes, photos
+from tidemark.plans.surveys import BOXES, PHOTOS, boxes, photos, sightings, strip
 from tidemark.scratch import Scratch
 
 CELL = 64.0
@@ -140,8 +140,10 @@ def match_by_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("j5_match_by_confidence")
 def match_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy by confidence: each prediction takes the best truth still free, overlap from 0.5 on."""
-    return by_confidence(candidates(spark, sf_dir, 0.5), "image").withColumnsRenamed({"a": "truth", "b": "guess"})
+    """Greedy by confidence: each prediction takes the best truth still free, overlap from 0.5 on. Every prediction has a row, tp 0 if it found none."""
+    taken = by_confidence(candidates(spark, sf_dir, 0.5), "image").select(F.col("b").alias("guess"), F.col("a").alias("truth"), "iou")
+    guesses = boxes(spark, sf_dir).filter("det_id % 2 = 1").select(F.col("det_id").alias("guess"), "class_name", "confidence")
+    return guesses.join(taken, "guess", "left").select("guess", "class_name", "confidence", "truth", F.coalesce("iou", F.lit(0.0)).alias("iou"), F.col("truth").isNotNull().cast("int").alias("tp"))
 
 
 @register(
@@ -268,7 +270,8 @@ def zone_of_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("c8_owner_and_rescue")
 def owner_and_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-view fusion: owners' detections, and what other photos saw where the owner saw nothing."""
-    return fuse(boxes(spark, sf_dir), Scratch(spark, "fusion"))
+    scratch = Scratch(spark, "fusion")
+    return fuse(scratch.keep(sightings(spark, sf_dir)), strip(spark, sf_dir), scratch, cell=16.0)
 
 
 @register(

@@ -91,3 +91,36 @@ def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARENTS = "parents AS (SELECT doc_id AS parent_id, upper(lang) || ' ' || source AS batch, upper(lang) AS site, n_chars AS weight, md5(text) AS ground, doc_id % 23 = 0 AS frozen FROM documents)"
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """det_id, photo_idx, class_name, confidence, border, cx, cy, ring, x0, y0, x1, y1: outlines as photos of a strip see them.
+
+    Things lie on a lattice, so that neighbouring photos see some of them again, moved by a centimetre or two. A ring is
+    a rectangle turned by 45 degrees.
+    """
+    b, c = boxes(spark, sf_dir), F.col
+    at = b.select(
+        "det_id", "photo_idx", "class_name", "confidence", (c("det_id") % 10 == 3).alias("border"), ((c("x1") - c("x0")) / 10).alias("w"), ((c("y1") - c("y0")) / 10).alias("h"),
+        (c("photo_idx") * 160 + 10 * (c("x0") % 40) + 0.01 * (c("det_id") % 3)).alias("cx"), (c("photo_idx") % 5 * 140 + 10 * (c("y0") % 30)).alias("cy"),
+    )
+    corner = lambda u, v: F.struct((c("cx") + (u * c("w") + v * c("h")) / 2).alias("x"), (c("cy") + (u * c("w") - v * c("h")) / 2).alias("y"))
+    half = (c("w") + c("h")) / 2
+    ring = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
+    return at.select("det_id", "photo_idx", "class_name", "confidence", "border", "cx", "cy", ring.alias("ring"), (c("cx") - half).alias("x0"), (c("cy") - half).alias("y0"), (c("cx") + half).alias("x1"), (c("cy") + half).alias("y1"))
+
+
+def strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """photo_idx, x0, y0, x1, y1: the ground that each photo of sightings shows."""
+    k = F.col("s_suppkey")
+    p = table(spark, sf_dir, "supplier").select(k.alias("photo_idx"), (k * 160 - 5).cast("double").alias("x0"), (k % 5 * 140 - 5).cast("double").alias("y0"))
+    return p.select("photo_idx", "x0", "y0", (F.col("x0") + 410).alias("x1"), (F.col("y0") + 310).alias("y1"))
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """boxes as rings turned by 45 degrees and halved in area: their overlap ratios are those of the boxes; ring_* is the box around each."""
+    b, c = boxes(spark, sf_dir), F.col
+    corner = lambda u, v: F.struct(((c(u) + c(v)) / 2).alias("x"), ((c(u) - c(v)) / 2).alias("y"))
+    ring = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))
+    box = {"x0": (c("x0") + c("y0")) / 2, "y0": (c("x0") - c("y1")) / 2, "x1": (c("x1") + c("y1")) / 2, "y1": (c("x1") - c("y0")) / 2}
+    return b.select("det_id", "photo_idx", "class_name", "confidence", ring.alias("ring"), *[v.alias(k) for k, v in box.items()])
