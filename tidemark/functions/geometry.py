@@ -197,6 +197,39 @@ polygon_is_simple = _of_one(T.BooleanType(), is_simple)
 polygon_length = _of_one(T.DoubleType(), longest_side)
 
 
+def loops(p: np.ndarray) -> list[np.ndarray]:
+    """A ring that crosses itself, cut at its crossings into rings that don't."""
+    n = len(p)
+    for i in range(n):
+        a, b = p[i], p[(i + 1) % n]
+        for j in range(i + 2, n - (i == 0)):
+            c, d = p[j], p[(j + 1) % n]
+            whole = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
+            if whole == 0:
+                continue
+            s = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / whole
+            t = ((c[0] - a[0]) * (b[1] - a[1]) - (c[1] - a[1]) * (b[0] - a[0])) / whole
+            if 0 < s < 1 and 0 < t < 1:
+                at = (a + (b - a) * s)[None]
+                return loops(np.concatenate([p[: i + 1], at, p[j + 1 :]])) + loops(np.concatenate([at, p[i + 1 : j + 1]]))
+    return [p]
+
+
+def repaired(ring: Column) -> Column:
+    """The ring itself, or the largest of the loops that a ring which crosses itself falls into; empty without an area."""
+
+    @F.arrow_udf(RING)
+    def run(a: pa.Array) -> pa.Array:
+        out = []
+        for x in a.to_pylist():
+            parts = [q for q in loops(_points(x)) if len(q) > 2 and abs(signed_area(q)) > 0] if x else []
+            best = max(parts, key=lambda q: abs(signed_area(q)), default=np.zeros((0, 2)))
+            out.append(None if x is None else [{"x": u, "y": v} for u, v in best])
+        return pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    return run(ring)
+
+
 def simplify(ring: Column, tolerance: float) -> Column:
     @F.arrow_udf(RING)
     def run(a: pa.Array) -> pa.Array:
