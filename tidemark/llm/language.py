@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import Scratch
 from tidemark.llm.textblocks import Block, blocks
 
 #: Bytes that a window labels, and bytes of overlap read before and behind them.
@@ -35,6 +36,8 @@ STEPS = 400
 BATCH = 128
 #: Windows computed at once.
 TOGETHER = 1024
+#: Languages (some 30 bytes each) up to which their shares are sent to every executor.
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 
 _NOT_LETTER = np.zeros(256, bool)
@@ -279,6 +282,8 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_doc: int =
     usable = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
     lot = F.xxhash64(F.lit(1), "doc_id", "text")
+    share = Scratch(docs.sparkSession, "languages").keep(share)  # a row for each language: texts aren't shuffled to it
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
     drawn = usable.join(share, "lang").filter(F.col("text").isNotNull() & (F.pmod(lot, F.lit(1 << 40)) < F.col("share") * float(1 << 40)))
     drawn = drawn.withColumn("lot", lot).groupBy("lot", "lang").agg(F.first("text").alias("text"))
     run, schema = _learn_from(per_doc)
