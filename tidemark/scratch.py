@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only where the session names none (tests)."""
+    """The shared folder of this session; a temporary one only where the session is local and names none (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir()
 
@@ -33,6 +35,10 @@ class Scratch:
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
+    def path(self, name: str) -> str:
+        """A place of this run for files of another kind."""
+        return f"{self.root}/{name}"
+
     def keep(self, frame: DataFrame, rows: int | None = None) -> DataFrame:
         """frame as written and read back; rows, if known to be its order of magnitude, limits the files written."""
         self.count += 1
