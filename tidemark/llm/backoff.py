@@ -12,14 +12,15 @@ sent. The answers are joined to the chunk's documents, whose exploded n-grams lo
 document. An n-gram is sent once by a chunk however often it occurs there, so a frequent one is no hot key: its
 partition gets one entry of each chunk. Neither are repeated or missing ids, as chunks don't go by ids.
 
-Hashes of n-grams have SPARE_BITS more bits than the corpus's number of words, so that one n-gram in 2^SPARE_BITS
-shares its count with another one, at any size (up to 64 bits).
+Hashes of n-grams have SPARE_BITS more bits than the corpus's number of words (LEAST_BITS at least, 64 at most), so that
+about one n-gram in 2^SPARE_BITS shares its count with another one, at any size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ ALPHA = 0.4
 #: Bytes of text in a chunk, at most (a longer text is a chunk of its own).
 CHUNK_BYTES = 8 << 20
 #: N-grams that a partition of the count table gets from all chunks, about.
-PART_GRAMS = 10_000_000
-SPARE_BITS = 26
+PART_GRAMS = 4_000_000
+SPARE_BITS, LEAST_BITS = 22, 48
+#: Effort of compressing a chunk's rows, which are written twice.
+LEVEL = 12
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -51,18 +54,28 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.uint64)
 
 
-def _grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Tokens of each text; for each length of n-gram hashes, texts and place of the last word among all words."""
-    per_text, parts, seen = [], [[] for _ in range(order)], 0
-    for block in blocks(texts):
-        w = words(block)
-        per_text.append(w.per_text)
-        for n in range(1, order + 1):
-            h, at = ngrams(w, n)
-            parts[n - 1].append((h, w.text[at] + block.first, at + (n - 1) + seen))
-        seen += len(w.hash)
-    joined = [tuple(np.concatenate(x) for x in zip(*p)) if p else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for p in parts]
-    return np.concatenate(per_text) if per_text else np.zeros(0, np.int64), joined
+@dataclass
+class Tokens:
+    """The words of a chunk's texts: hash and text of each, and the number of each text's."""
+
+    hash: np.ndarray
+    text: np.ndarray
+    per_text: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> "Tokens":
+        hashes, owners, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for block in blocks(texts):
+            w = words(block)
+            hashes.append(w.hash)
+            owners.append(w.text + block.first)
+            counts.append(w.per_text)
+        return cls(np.concatenate(hashes), np.concatenate(owners), np.concatenate(counts))
+
+    def grams(self, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every run of n words within a text, and the place of its last word."""
+        h, at = ngrams(self, n)
+        return h >> np.uint64(64 - bits), at + (n - 1)
 
 
 def _chunks(chunk_bytes: int):
@@ -76,7 +89,7 @@ def _chunks(chunk_bytes: int):
 
         def chunk() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, kind, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, kind, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as writer:
                 writer.write_table(pa.concat_tables(held).combine_chunks())
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([n_words], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
@@ -105,19 +118,15 @@ def _bounds(partitions: int, bits: int) -> np.ndarray:
     return np.array([-(-(k << bits) // partitions) for k in range(1, partitions)], np.uint64)
 
 
-def _shortened(grams: list, bits: int) -> list:
-    return [(h >> np.uint64(64 - bits), text, last) for h, text, last in grams]
-
-
 def _count(order: int, partitions: int, bits: int):
     schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("size", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, docs in zip(batch.column("chunk").to_pylist(), batch.column("docs")):
-                _, grams = _grams(_opened(docs.as_buffer()).column("text").combine_chunks(), order)
-                for n, (h, _, _) in enumerate(_shortened(grams, bits), 1):
-                    distinct, counts = np.unique(h, return_counts=True)
+                tokens = Tokens.of(_opened(docs.as_buffer()).column("text").combine_chunks())
+                for n in range(1, order + 1):
+                    distinct, counts = np.unique(tokens.grams(n, bits)[0], return_counts=True)
                     cuts = [0, *np.searchsorted(distinct, _bounds(partitions, bits)).tolist(), len(distinct)]
                     rows = []
                     for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -155,18 +164,19 @@ def _total(order: int):
     return run, "chunk long, part int, n int, size int, totals binary"
 
 
-def score_texts(tokens: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], totals: list[np.ndarray], corpus: int, alpha: float, leave_out: bool) -> np.ndarray:
+def score_texts(tokens: Tokens, totals: list[np.ndarray], bits: int, corpus: int, alpha: float, leave_out: bool) -> np.ndarray:
     """Sum of log scores of each text. totals: for each length, corpus counts of the sorted distinct n-grams."""
-    n_words = int(tokens.sum())
-    own_words = np.repeat(tokens, tokens)
+    n_words = len(tokens.hash)
+    own_words = tokens.per_text[tokens.text]
     left = (corpus - own_words) if leave_out else np.full(n_words, corpus)
     score = np.zeros(n_words)
     shorter = np.zeros(0)
-    for n, ((h, text, last), total) in enumerate(zip(grams, totals), 1):
-        distinct, which = np.unique(h, return_inverse=True)
+    for n, total in enumerate(totals, 1):
+        h, last = tokens.grams(n, bits)
+        which = np.unique(h, return_inverse=True)[1]
         count = total[which].astype(np.float64)
         if leave_out:
-            _, place, own = np.unique(text * max(len(distinct), 1) + which, return_inverse=True, return_counts=True)
+            _, place, own = np.unique(tokens.text[last] * max(len(total), 1) + which, return_inverse=True, return_counts=True)
             count -= own[place]
         if n == 1:
             score = np.log(np.where(count > 0, count, 1.0)) - np.log(np.where(count > 0, np.maximum(left, 1), left + 1))
@@ -177,9 +187,9 @@ def score_texts(tokens: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np
                 score[last] = np.where(seen, np.log(count) - np.log(shorter[last - 1]), backed)
         shorter = np.ones(n_words)
         shorter[last] = count
-    ends = np.cumsum(tokens)
+    ends = np.cumsum(tokens.per_text)
     sums = np.concatenate([[0.0], np.cumsum(score)])
-    return sums[ends] - sums[ends - tokens]
+    return sums[ends] - sums[ends - tokens.per_text]
 
 
 def _score(order: int, alpha: float, leave_out: bool, corpus: int, bits: int):
@@ -187,13 +197,13 @@ def _score(order: int, alpha: float, leave_out: bool, corpus: int, bits: int):
 
     def run(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         docs = _opened(chunk.column("docs")[0].as_buffer())
-        tokens, grams = _grams(docs.column("text").combine_chunks(), order)
+        tokens = Tokens.of(docs.column("text").combine_chunks())
         found: list[list] = [[] for _ in range(order)]
         for r in sorted(answers.select(["part", "n", "size", "totals"]).to_pylist(), key=lambda r: r["part"]):
             found[r["n"] - 1].append(unpack(r["totals"], r["size"]))
         totals = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found]
-        scores = score_texts(tokens, _shortened(grams, bits), totals, corpus, alpha, leave_out) if len(tokens) else np.zeros(0)
-        return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(tokens), pa.array(scores)], schema=schema)
+        scores = score_texts(tokens, totals, bits, corpus, alpha, leave_out)
+        return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(tokens.per_text), pa.array(scores)], schema=schema)
 
     return run, "doc_id long, n_tokens long, log_score double"
 
@@ -210,7 +220,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
     run, schema = _chunks(chunk_bytes)
     chunks = scratch.keep(rows.mapInArrow(run, schema).withColumn("chunk", F.monotonically_increasing_id()))
     corpus = chunks.agg(F.sum("n_words")).first()[0] or 0
-    bits = min(64, SPARE_BITS + max(1, corpus).bit_length())
+    bits = min(64, max(LEAST_BITS, SPARE_BITS + max(1, corpus).bit_length()))
     partitions = max(1, -(-order * corpus // PART_GRAMS))
     run, schema = _count(order, partitions, bits)
     counted = chunks.select("chunk", "docs").mapInArrow(run, schema)
