@@ -81,3 +81,42 @@ def affine(px: Column, py: Column, transform: tuple[float, float, float, float,
 def pixel_area(a: Column, b: Column, d: Column, e: Column) -> Column:
     """Area of a pixel of an affine transform: its determinant."""
     return F.abs(a * e - b * d)
+
+
+#: Fixed values of WGS 84 and of UTM: equatorial radius, flattening, scale, false easting and northing.
+RADIUS, FLATTENING, UTM_SCALE, EAST, SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
+
+
+def _series() -> tuple[float, float, tuple[float, ...], tuple[float, ...]]:
+    """Rectifying radius, twice the root of n by 1 + n, and the coefficients of the transverse Mercator series both ways."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    to = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    back = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    return radius, 2 * n**0.5 / (1 + n), to, back
+
+
+def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
+    """Easting and northing in a zone, to a millimetre within it."""
+    radius, e, to, _ = _series()
+    f, l = F.radians(lat), F.radians(lon - (zone * 6 - 183))
+    t = F.sinh(F.atanh(F.sin(f)) - e * F.atanh(e * F.sin(f)))
+    xi, eta = F.atan2(t, F.cos(l)), F.atanh(F.sin(l) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for k, a in enumerate(to, 1):
+        x, y = x + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta), y + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+    return EAST + UTM_SCALE * radius * x, F.when(lat < 0, SOUTH).otherwise(0.0) + UTM_SCALE * radius * y
+
+
+def from_utm(east: Column, north: Column, zone: Column, southern: Column) -> tuple[Column, Column]:
+    """Degrees of longitude and latitude of a point in a zone."""
+    radius, e, _, back = _series()
+    xi, eta = (north - F.when(southern, SOUTH).otherwise(0.0)) / (UTM_SCALE * radius), (east - EAST) / (UTM_SCALE * radius)
+    x, y = xi, eta
+    for k, b in enumerate(back, 1):
+        x, y = x - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta), y - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    goal = F.sin(x) / F.cosh(y)  # sine of the conformal latitude
+    f = F.asin(goal)
+    for _ in range(6):  # the latitude by fixed-point steps
+        f = F.asin(F.tanh(F.atanh(goal) + e * F.atanh(e * F.sin(f))))
+    return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + zone * 6 - 183, F.degrees(f)

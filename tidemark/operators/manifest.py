@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.scratch import Scratch
+
 #: Seconds by which modification times may differ without being a change.
 MTIME_SLACK = 2.0
 
@@ -24,3 +26,31 @@ def guarded(planned: DataFrame, most: float = 0.2) -> DataFrame:
     if counts["stale"] > most * max(counts["present"], 1):
         raise ValueError(f"{counts['stale']} of {counts['present']} images would be removed; pass a higher limit if that is meant")
     return planned
+
+
+def cache_decision(now: Column, cached: Column, forced: Column) -> Column:
+    """reuse a result of the same fingerprint; of another one rebuild it if that is forced, else refuse."""
+    return F.when(now.eqNullSafe(cached), "reuse").when(forced, "rebuild").otherwise("refuse")
+
+
+def rejected_by_rounds(pairs: DataFrame, scratch: Scratch, factor: float = 3.0) -> DataFrame:
+    """pair, residual, round: in each round the worse half (rounded up) of the pairs beyond factor medians is rejected.
+
+    pairs: pair, residual. Rounds go on until no pair is left beyond; round is null for what stays. Of equal residuals
+    the larger pair goes first. Rounds are at most the logarithm of the bad pairs, for each time the median settles.
+    """
+    left, gone, number = scratch.keep(pairs.select("pair", "residual")), None, 0
+    while True:
+        typical = left.agg(F.median("residual")).first()[0]
+        bad = scratch.keep(left.filter(F.col("residual") > factor * typical)) if typical is not None else None
+        n = bad.count() if bad is not None else 0
+        if not n:
+            break
+        number += 1
+        last = bad.orderBy(F.desc("residual"), F.desc("pair")).limit(-(-n // 2)).orderBy("residual", "pair").first()
+        out = (F.col("residual") > last["residual"]) | ((F.col("residual") == last["residual"]) & (F.col("pair") >= last["pair"]))
+        fallen = scratch.keep(bad.filter(out).withColumn("round", F.lit(number)))
+        gone = fallen if gone is None else gone.union(fallen)
+        left = scratch.keep(left.join(fallen.select("pair"), "pair", "left_anti"))
+    kept = left.withColumn("round", F.lit(None).cast("int"))
+    return kept if gone is None else kept.union(gone)

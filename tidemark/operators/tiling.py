@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +28,26 @@ def most_square_grid(width: Column, height: Column, cap: int) -> Column:
     choices = F.filter(F.sequence(F.lit(1), pieces), lambda c: pieces % c == 0)
     ranked = F.transform(choices, lambda c: F.struct(F.round(F.abs(F.log((width / c) / (height / (pieces / c)))), 9).alias("off"), c.alias("columns"), (pieces / c).cast("int").alias("rows")))
     return F.array_min(ranked)
+
+
+#: From a window to its detections: class, confidence and ring of each.
+Predictor = Callable[[int, int], Iterable[tuple[str, float, list[tuple[float, float]]]]]
+
+
+def predicted(tiles: DataFrame, image: str, predict: Predictor) -> DataFrame:
+    """image, x0, y0, class_name, confidence, ring: what a predictor finds in each window (image, x0, y0).
+
+    The predictor runs where the windows lie, on Arrow batches; it may load its model on first use in a task.
+    """
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    kind = pa.schema([(image, pa.int64()), ("x0", pa.int64()), ("y0", pa.int64()), ("class_name", pa.string()), ("confidence", pa.float64()), ("ring", pa.list_(point))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, x, y in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                rows += [(i, x, y, name, sure, [{"x": float(u), "y": float(v)} for u, v in ring]) for name, sure, ring in predict(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows) if rows else [[]] * len(kind), kind)], schema=kind)
+
+    given = tiles.select(F.col(image).cast("long").alias(image), F.col("x0").cast("long").alias("x0"), F.col("y0").cast("long").alias("y0"))
+    return given.mapInArrow(run, f"{image} long, x0 long, y0 long, class_name string, confidence double, ring array<struct<x:double,y:double>>")
