@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.scratch import Scratch
 
+#: Rounds after which what they found is written as one table.
+FOLD = 8
+
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label: the smallest node that links (a, b) reach from it, for every node of a link.
@@ -45,12 +48,15 @@ def greedy_suppression(nodes: DataFrame, conflicts: DataFrame, scratch: Scratch)
     and each only looks at pairs that are still undecided. A dropped node suppresses nobody.
     """
     open_ = scratch.keep(conflicts.select("high", "low"))
-    dropped = None
+    dropped, rounds = None, 0
     while not open_.isEmpty():
+        rounds += 1
         below = open_.select(F.col("low").alias("high")).distinct()
         firm = open_.join(below, "high", "left_anti")
         fallen = scratch.keep(firm.select(F.col("low").alias("node")).distinct())
         dropped = fallen if dropped is None else dropped.union(fallen)
+        if rounds % FOLD == 0:
+            dropped = scratch.keep(dropped)  # one table again, however many rounds there are
         gone = fallen.withColumnRenamed("node", "low")
         rest = open_.join(gone, "low", "left_anti").join(gone.withColumnRenamed("low", "high"), "high", "left_anti")
         fresh = scratch.keep(rest.select("high", "low"))

@@ -34,7 +34,11 @@ def tile_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(keys.parent_of_tile(c("tile")).alias("parent")).agg(F.count("*").alias("tiles"))
 
 
-@register("f1_class_keys")
+@register(
+    "f1_class_keys",
+    r"""WITH w AS (SELECT CASE WHEN len(string_split(text, ' ')) > 2 THEN split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) ELSE text END AS name FROM documents)
+    SELECT trim(regexp_replace(lower(replace(strip_accents(name), '_', ' ')), '\s+', ' ', 'g')) AS name_key, count(*) AS n FROM w GROUP BY 1""",
+)
 def class_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accent- and case-folded names, over the first words of documents."""
     first = F.substring_index("text", " ", 2)

@@ -145,7 +145,12 @@ def pixel_to_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return photos(spark, sf_dir).select("photo_idx", F.round(x, 5).alias("x"), F.round(y, 5).alias("y"))
 
 
-@register("f18_undistorted")
+UNDISTORTED = f"WITH {BOXES}, s0 AS (SELECT det_id, x0 / 20000 AS x, y0 / 20000 AS y, x0 / 20000 AS u, y0 / 20000 AS v FROM boxes)" + "".join(
+    f", s{k + 1} AS (SELECT det_id, x, y, x / (1 + 0.05 * (u * u + v * v)) AS u, y / (1 + 0.05 * (u * u + v * v)) AS v FROM s{k})" for k in range(4)
+)
+
+
+@register("f18_undistorted", f"{UNDISTORTED} SELECT det_id, round(u, 8) AS u, round(v, 8) AS v, round(abs(u * (1 + 0.05 * (u * u + v * v)) - x), 6) AS off FROM s4")
 def undistorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Radial distortion taken off by four fixed-point steps; put on again it gives the point back."""
     u, v = geodesy.undistort(c("x0") / 20000, c("y0") / 20000, F.lit(0.05))

@@ -286,7 +286,12 @@ def tile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(s, "w", "h", 640, 384).groupBy("p_partkey", "x0", "y0", "x1", "y1").agg(F.count("*").alias("times"))
 
 
-@register("f40_most_square_grid")
+@register(
+    "f40_most_square_grid",
+    """WITH s AS (SELECT p_partkey, 4000 + p_size * 190 AS w, 3000 + p_size * 97 AS h, greatest(1, ceil((4000 + p_size * 190) * (3000 + p_size * 97) / 20000000))::INTEGER AS n FROM part),
+    d AS (SELECT p_partkey, n, i.unnest::INTEGER AS k, round(abs(ln((w / i.unnest) / (h / (n / i.unnest)))), 9) AS off FROM s, unnest(range(1, n + 1)) i WHERE n % i.unnest = 0)
+    SELECT p_partkey, arg_min(k, [off, k]) AS columns, (max(n) // arg_min(k, [off, k]))::INTEGER AS rows FROM d GROUP BY 1""",
+)
 def square_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of an image under a pixel cap, as near to squares as divisors allow."""
     s = table(spark, sf_dir, "part").select("p_partkey", (4000 + F.col("p_size") * 190).alias("w"), (3000 + F.col("p_size") * 97).alias("h"))
