@@ -98,3 +98,21 @@ def test_a_cluster_must_name_its_folder():
 
     with pytest.raises(ValueError):
         shared_folder(Session())
+
+
+def test_hulls_hold_every_corner(spark, small):
+    """The hull of each class is convex, of its own points, and no point lies outside."""
+    from tidemark.plans.surveys import boxes
+
+    points, hulls = {}, {}
+    for r in boxes(spark, small).select("class_name", "x0", "y0").collect():
+        points.setdefault(r.class_name, set()).add((r.x0, r.y0))
+    for r in catalog.QUERIES["a44_site_hulls"](spark, small).collect():
+        hulls.setdefault(r.class_name, []).append((r.x, r.y))
+    assert set(hulls) == set(points)
+    for name, hull in hulls.items():
+        ring = geometry.convex_hull(np.array(hull))
+        assert len(ring) == len(hull) and set(hull) <= points[name]
+        all_ = np.array(sorted(points[name]))
+        for a, b in zip(ring, np.roll(ring, -1, axis=0)):
+            assert ((b[0] - a[0]) * (all_[:, 1] - a[1]) - (b[1] - a[1]) * (all_[:, 0] - a[0]) >= -1e-6).all()
