@@ -12,11 +12,13 @@ from tidemark.llm.chat import DIGEST_SQL, digests, format_conversations
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.html_text import extract
 from tidemark.llm.language import identify
+from tidemark.llm.licences import scan
 from tidemark.llm.mixture import mixture
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality import classify
 from tidemark.llm.shards import shard_documents
 from tidemark.llm.topk import top_k
+from tidemark.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +128,13 @@ OP9_ORDER = 3
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = backoff_scores(table(spark, sf_dir, "documents"), order=OP9_ORDER)
     return scores.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
+
+
+@register("op11_rare_token_licences")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@register("op12_block_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
