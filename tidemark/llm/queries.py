@@ -15,6 +15,7 @@ from tidemark.llm.language import identify
 from tidemark.llm.licences import scan
 from tidemark.llm.mixture import mixture
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.prefix_trie import prefix_trie
 from tidemark.llm.quality import classify
 from tidemark.llm.shards import shard_documents
 from tidemark.llm.topk import top_k
@@ -138,3 +139,43 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_block_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH o AS (
+    SELECT conv_id, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))[1:32] AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i FROM o
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda s, c: xor(xor(s, c) >> 1, CASE WHEN xor(s, c) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 4 AS h -- CRC-32
+    FROM (SELECT DISTINCT conv_id FROM own)
+), heads AS (
+    SELECT c.conv_id, o.digest, o.words, o.i FROM convs c JOIN own o ON o.conv_id = c.base AND o.i <= c.h
+), rebuilt AS (
+    SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d
+    FROM (SELECT conv_id, digest, words, i, 0 AS part FROM heads UNION ALL SELECT o.conv_id, o.digest, o.words, o.i, 1 FROM own o JOIN convs c USING (conv_id) WHERE o.i > c.h)
+), paths AS (
+    SELECT conv_id, d, words, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM rebuilt
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), sizes AS (SELECT conv_id, max(d) AS n FROM paths GROUP BY conv_id),
+nodes AS (
+    SELECT key, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '') AS ends
+    FROM paths JOIN sizes USING (conv_id) GROUP BY key
+), linked AS (
+    SELECT *, CASE WHEN depth > 0 THEN key[1:-33] END AS parent FROM nodes
+), branches AS (SELECT parent AS key, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT DISTINCT a.key AS upper, b.key AS key FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND a.d <= b.d),
+subtrees AS (
+    SELECT upper AS key, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+    FROM below JOIN nodes USING (key) LEFT JOIN branches USING (key) GROUP BY upper
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(b.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM linked n LEFT JOIN nodes p ON p.key = n.parent LEFT JOIN branches b ON b.key = n.key JOIN subtrees s ON s.key = n.key
+"""
+
+
+@register("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
