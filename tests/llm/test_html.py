@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from tidemark.llm.html_text import best, describe, host_of, parse, text_at
+from tidemark.llm.html_text import LIKELY, MARKED, REMEMBERED, SUSPECT, _remembered, best, describe, host_of, parse, text_at
 
 PROSE = ["This is the article, with many words in it and a few more. " * 4 + "End.", "A second paragraph of the same. " * 6 + "Stop."]
 BODY = "".join(f"<p>{p}</p>" for p in PROSE)
@@ -98,6 +98,43 @@ def test_time_is_linear(source):
 
 
 def test_names():
-    assert describe("div", ' class="comments"')[1] == 2 and describe("div", ' class="post-comments"')[1] == 1 and describe("div", ' class="contentWrapper"')[1] == 0
+    assert describe("div", ' class="comments"')[1] == MARKED and describe("div", ' class="post-comments"')[1] == LIKELY and describe("div", ' class="share-price"')[1] == SUSPECT and describe("div", ' class="contentWrapper"')[1] == 0
     assert describe("body", ' class="menu"')[1] == 0 and describe("div", ' class="top-Header" id=x')[3]
     assert [host_of(u) for u in (None, "", "x", "http://A.b:80/c", "//u@h/p")] == ["", "", "", "a.b", "h"]
+
+
+@pytest.mark.parametrize(
+    "start", ['<article title="A hidden valley">', '<main aria-label="main text, class hidden">', '<div data-hidden="false"><article>', "<article data-class='ads' data-role='navigation'>", '<article title=\'role="banner" hidden\'>', "<div my-id=comments class=text>", '<article data-style="display:none">']
+)
+def test_values_and_other_names_hide_nothing(start):
+    assert alone(f"<body><nav>n</nav>{start}{BODY}</body>") == WANT
+
+
+@pytest.mark.parametrize(
+    "part",
+    ['<div class="legal-analysis">Kept.</div>', '<section class="share-price">Kept.</section>', '<h2 id="search-for-truth">Kept.</h2>', '<h2 id="forms">Kept.</h2>', '<p id="top-form">Kept.</p>', '<p data-role="navigation">Kept.</p>',
+     '<div id="search-for-truth">Kept.</div>', '<p><span class="share-price">Kept.</span></p>', '<p><a id="related">Kept.</a></p>', '<h3 id="comments">Kept.</h3>', '<blockquote title="hidden">Kept.</blockquote>'],
+)
+def test_a_word_of_a_name_loses_no_part(part):
+    assert alone(f"<body><article>{part}{BODY}</article><div class=ad>No.</div></body>") == f"Kept.\n{WANT}"
+
+
+def test_random_attributes_lose_nothing():
+    """Whatever stands in values of attributes that say nothing of an element's part, its text is kept."""
+    rng = random.Random(8)
+    words = "hidden class role id style ads nav display:none = navigation comments aria-hidden true banner".split()
+    names = "title data-hidden data-role aria-label alt lang data-id x-class data-style itemprop".split()
+    for _ in range(300):
+        some = []
+        for _ in range(rng.randrange(4)):
+            quote, value = rng.choice("\"'"), " ".join(rng.choice(words) for _ in range(rng.randrange(5)))
+            some.append(f"{rng.choice(names)}{rng.choice(['=', ' = '])}{quote}{value}{quote}")
+        source = f"<body><nav>n</nav><article><p {' '.join(some)}>One.</p><div {' '.join(some)}>Two.</div>{BODY}</article></body>"
+        assert alone(source) == f"One.\nTwo.\n{WANT}", source
+
+
+def test_long_attributes_are_not_remembered():
+    held = _remembered.cache_info().currsize
+    for k in range(50):
+        describe("div", f' data-x="{k}{"y" * REMEMBERED}"')
+    assert _remembered.cache_info().currsize == held and _remembered.cache_info().maxsize * REMEMBERED <= 1 << 22

@@ -59,6 +59,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("ul ol dl table html body div article section main td th select menu dir".split())
 #: Elements too small to be a container.
 SMALL = frozenset("p a b i em strong span li h1 h2 h3 h4 h5 h6 td th tr tbody blockquote pre dt dd font".split())
+#: Elements whose ids come from their text or their page.
+NAMED_BY_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p a b i em strong span dt html body".split())
 #: Roles that are never the article.
 NOT_ROLE = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 #: Words of classes and ids: of what isn't the article, of reader comments, of the article, and of neither.
@@ -69,10 +71,16 @@ NOT_ARTICLE = re.compile(
 COMMENTS = re.compile(r"comment\w*|respond|reply|replies|discussion|disqus|reactions")
 ARTICLE = frozenset("article content post entry story body text main prose".split())
 NEUTRAL = frozenset("site page global top left right wrap wrapper container list area section box block bar inner outer col column row the id thread links link nav items item s".split())
-#: How certain it is that an element isn't the article: not at all, by a word among others, by its tag or whole name, never shown.
-CLEAR, SUSPECT, MARKED, UNSEEN = range(4)
-
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: How certain it is that an element isn't the article: not at all, by a word among others, by words that all say so or name
+#: the article ("post-comments") or as a form, by its tag or whole name, never shown. Within a container, what is LIKELY goes.
+CLEAR, SUSPECT, LIKELY, MARKED, UNSEEN = range(5)
+#: Words beside which a word of the lists above keeps its meaning.
+OF_ARTICLE = ARTICLE | frozenset("posts articles entries stories contents blog".split())
+
+#: Name and value of each attribute, in turn, so that nothing within a value counts as a name.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: Attributes up to this length are remembered.
+REMEMBERED = 256
 TAG_NAME = re.compile(r"[^\s/>]*")
 COMMENT_END = re.compile(r"--!?>")
 SPACE = re.compile(r"\s+")
@@ -90,28 +98,31 @@ def _named(value: str) -> tuple[int, bool, bool]:
         if bad == ["header"]:
             header = True
         elif bad:
-            bare = all(p in bad or p in NEUTRAL or len(p) == 1 for p in parts)
-            level = max(level, MARKED if bare else SUSPECT)
+            others = [p for p in parts if not (p in bad or p in NEUTRAL or len(p) == 1)]
+            level = max(level, SUSPECT if any(p not in OF_ARTICLE for p in others) else LIKELY if others else MARKED)
     return level, article, header
 
 
-@lru_cache(maxsize=1 << 16)
 def describe(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
     """Of a start tag: the generalised step of a path, its level, whether it bears an article's name, whether it is a header."""
+    return (_remembered if len(tag) + len(attributes) <= REMEMBERED else _describe)(tag, attributes)
+
+
+def _describe(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
     classes, level, article, header = "", CLEAR, tag in ("article", "main"), tag == "header"
     if tag in HIDDEN:
         level = UNSEEN
     elif tag in NOT_CONTENT:
         level = MARKED
     elif tag == "form":
-        level = SUSPECT
+        level = LIKELY
     if attributes.strip():
         worst = CLEAR
-        for key, value in ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), value.strip("\"'")
+        for key, *values in ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), "".join(values)
             if key == "class":
                 classes = ".".join(sorted({re.sub(r"\d+", "0", c) for c in value.lower().replace("/", "|").split()}))
-            if key in ("class", "id") and tag not in ("html", "body"):
+            if key == "class" and tag not in ("html", "body") or key == "id" and tag not in NAMED_BY_TEXT:
                 found, own, head = _named(value)
                 worst, article, header = max(worst, found), article or own, header or head
             elif key == "role":
@@ -120,10 +131,13 @@ def describe(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
                 level = UNSEEN
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 level = UNSEEN
-        level = max(level, min(worst, SUSPECT) if article else worst)
+        level = max(level, min(worst, LIKELY) if article else worst)
     return f"{tag}.{classes}" if classes else tag, level, article, header
 
 
+_remembered = lru_cache(maxsize=1 << 14)(_describe)
+
+
 @dataclass
 class Page:
     """Elements in document order (0 is the root), and blocks of text in page order: element, text, linked characters.
@@ -304,7 +318,7 @@ def parse(source: str) -> Page:
         parent = stack[-1]
         if header and level < MARKED and not article and not page.article[parent]:
             level = MARKED
-        if tag not in BLOCKS and level in (SUSPECT, MARKED):
+        if tag not in BLOCKS and level in (LIKELY, MARKED):
             level = UNSEEN  # within a line there is no container
         page.tag.append(tag)
         page.parent.append(parent)
@@ -321,7 +335,7 @@ def parse(source: str) -> Page:
 
 
 #: What an element's own name and those around it leave of its score, by level.
-FACTOR = (1.0, 0.5, 0.0, 0.0)
+FACTOR = (1.0, 0.5, 0.5, 0.0, 0.0)
 
 
 def scores(page: Page) -> list[float]:
@@ -334,7 +348,7 @@ def scores(page: Page) -> list[float]:
         links[owner] += linked
         total += len(text) - linked
     for e in range(n - 1, 0, -1):
-        if not page.level[e]:
+        if not page.level[e] or page.level[e] == SUSPECT and page.article[page.parent[e]]:
             chars[page.parent[e]] += chars[e]
             links[page.parent[e]] += links[e]
     factor, out = [1.0] * n, [0.0] * n
@@ -359,10 +373,10 @@ def best(page: Page) -> str:
 
 
 def _inside(page: Page, path: int | None) -> str:
-    """Text of the blocks in elements at a path (None: in the page), without what is marked within them."""
+    """Text of the blocks in elements at a path (None: in the page), without what is likely not the article within them."""
     inside = [path is None] + [False] * (len(page.tag) - 1)
     for e in range(1, len(page.tag)):
-        inside[e] = path is not None and page.path[e] == path or inside[page.parent[e]] and not page.level[e]
+        inside[e] = path is not None and page.path[e] == path or inside[page.parent[e]] and page.level[e] < LIKELY
     return "\n".join(text for owner, text, _ in page.blocks if inside[owner])
 
 
