@@ -1,8 +1,7 @@
 """Rings: array<struct<x double, y double>>, open (the first point isn't repeated).
 
-Areas, centroids and boxes are higher-order functions. Intersections need loops over edges: numpy in Arrow UDFs.
-The area common to two simple polygons is a sum over pairs of their signed fan triangles of what each pair has in
-common, a convex clip; it holds for any simple polygon, convex or not.
+Areas, centroids and boxes are higher-order functions. Intersections are numpy over whole Arrow batches
+(``clipping``); what needs a loop for each ring (hulls, simplification, repair) goes ring by ring.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import clipping
+
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
@@ -53,64 +54,9 @@ def signed_area(p: np.ndarray) -> float:
     return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
 
 
-def clip(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
-    """subject cut by each edge of a counter-clockwise convex polygon in turn."""
-    for a, b in zip(convex, np.roll(convex, -1, axis=0)):
-        if len(subject) < 3:
-            return subject[:0]
-        side = (b[0] - a[0]) * (subject[:, 1] - a[1]) - (b[1] - a[1]) * (subject[:, 0] - a[0])
-        after, beyond = np.roll(subject, -1, axis=0), np.roll(side, -1)
-        out = []
-        for p, q, s, t in zip(subject, after, side, beyond):
-            if s >= 0:
-                out.append(p)
-            if (s > 0 > t) or (s < 0 < t):
-                out.append(p + (q - p) * (s / (s - t)))
-        subject = np.array(out) if out else subject[:0]
-    return subject
-
-
-def is_convex(p: np.ndarray) -> bool:
-    """All turns to one side, once around."""
-    edge = np.roll(p, -1, axis=0) - p
-    after = np.roll(edge, -1, axis=0)
-    turns = edge[:, 0] * after[:, 1] - edge[:, 1] * after[:, 0]
-    flips = np.diff(np.sign(np.append(edge[:, 0], edge[0, 0])))
-    return bool((turns > 0).all() or (turns < 0).all()) and np.count_nonzero(flips) <= 4
-
-
 def common_area(p: np.ndarray, q: np.ndarray) -> float:
     """Area of the intersection of two simple polygons."""
-    low, high = np.maximum(p.min(0), q.min(0)), np.minimum(p.max(0), q.max(0))
-    if len(p) < 3 or len(q) < 3 or (low >= high).any():
-        return 0.0
-    if is_convex(p) and is_convex(q):
-        inner = clip(p, q if signed_area(q) > 0 else q[::-1])
-        return abs(signed_area(inner)) if len(inner) > 2 else 0.0
-    total = 0.0
-    fans = [[(np.array([r[0], r[k], r[k + 1]]), signed_area(np.array([r[0], r[k], r[k + 1]]))) for k in range(1, len(r) - 1)] for r in (p, q)]
-    for t, a in fans[0]:
-        for u, b in fans[1]:
-            if a and b:
-                inner = clip(t if a > 0 else t[::-1], u if b > 0 else u[::-1])
-                if len(inner) > 2:
-                    total += np.sign(a) * np.sign(b) * abs(signed_area(inner))
-    return abs(total)
-
-
-def is_simple(p: np.ndarray) -> bool:
-    """At least three points, some area, and no two edges that cross."""
-    n = len(p)
-    if n < 3 or abs(signed_area(p)) <= 0:
-        return False
-    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-    for i in range(n):
-        a, b = p[i], p[(i + 1) % n]
-        for j in range(i + 2, n - (i == 0)):
-            c, d = p[j], p[(j + 1) % n]
-            if turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0:
-                return False
-    return True
+    return float(clipping.common_areas(p[None], np.array([len(p)]), q[None], np.array([len(q)]))[0])
 
 
 def longest_side(p: np.ndarray) -> float:
@@ -168,10 +114,13 @@ def _points(ring: list | None) -> np.ndarray:
     return np.array([(q["x"], q["y"]) for q in ring or []], float).reshape(-1, 2)
 
 
-def _of_two(f: Callable[[np.ndarray, np.ndarray], float]):
+def _of_two(f: Callable[..., np.ndarray]):
+    """A column of numbers from two columns of rings, computed for a whole batch; null where either is."""
+
     @F.arrow_udf(T.DoubleType())
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else f(_points(x), _points(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+        absent = ~(a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False))
+        return pa.array(f(*clipping.padded(a), *clipping.padded(b)), pa.float64(), mask=absent)
 
     return run
 
@@ -184,16 +133,29 @@ def _of_one(kind: T.DataType, f: Callable):
     return run
 
 
-def _share(p: np.ndarray, q: np.ndarray) -> float:
-    common = common_area(p, q)
-    union = abs(signed_area(p)) + abs(signed_area(q)) - common if len(p) and len(q) else 0.0
-    return common / union if union > 0 and is_simple(p) and is_simple(q) else 0.0
+def _shares(p: np.ndarray, np_: np.ndarray, q: np.ndarray, nq: np.ndarray) -> np.ndarray:
+    common = clipping.common_areas(p, np_, q, nq)
+    union = np.abs(clipping.signed_areas(p, np_)) + np.abs(clipping.signed_areas(q, nq)) - common
+    good = (union > 0) & (common > 0)
+    good[good] = clipping.are_simple(p[good], np_[good]) & clipping.are_simple(q[good], nq[good])
+    return np.where(good, common / np.where(union > 0, union, 1.0), 0.0)
+
+
+def _covered(p: np.ndarray, np_: np.ndarray, q: np.ndarray, nq: np.ndarray) -> np.ndarray:
+    own = np.abs(clipping.signed_areas(p, np_)) * (np_ > 2)
+    return np.where(own > 0, clipping.common_areas(p, np_, q, nq) / np.where(own > 0, own, 1.0), 0.0)
+
+
+polygon_common_area = _of_two(clipping.common_areas)
+polygon_iou = _of_two(_shares)
+covered_share = _of_two(_covered)
+
+
+@F.arrow_udf(T.BooleanType())
+def polygon_is_simple(a: pa.Array) -> pa.Array:
+    return pa.array(clipping.are_simple(*clipping.padded(a)), mask=~a.is_valid().to_numpy(zero_copy_only=False))
 
 
-polygon_common_area = _of_two(common_area)
-polygon_iou = _of_two(_share)
-covered_share = _of_two(lambda p, q: common_area(p, q) / abs(signed_area(p)) if len(p) > 2 and signed_area(p) else 0.0)
-polygon_is_simple = _of_one(T.BooleanType(), is_simple)
 polygon_length = _of_one(T.DoubleType(), longest_side)
 
 
@@ -244,10 +206,10 @@ def clip_to_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
 
     @F.arrow_udf(RING)
     def run(a: pa.Array, *sides: pa.Array) -> pa.Array:
-        out = []
-        for x, l, b, r, t in zip(a.to_pylist(), *(s.to_pylist() for s in sides)):
-            cut = clip(_points(x), np.array([(l, b), (r, b), (r, t), (l, t)], float)) if x and None not in (l, b, r, t) else np.zeros((0, 2))
-            out.append([{"x": u, "y": v} for u, v in cut])
-        return pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        l, b, r, t = (np.asarray(s.to_numpy(zero_copy_only=False), float) for s in sides)
+        points, sizes = clipping.padded(a)
+        corners = np.stack([np.stack(c, axis=1) for c in ((l, b), (r, b), (r, t), (l, t))], axis=1)
+        sizes = np.where(np.isfinite(corners).all(axis=(1, 2)), sizes, 0)
+        return clipping.rings_of(*clipping.clipped(points, sizes, np.nan_to_num(corners), np.full(len(sizes), 4)))
 
     return run(ring, x0, y0, x1, y1)
