@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ class Piece:
         n = self.n = len(pos) - before - behind
         self.conv = table["conv_id"].to_numpy()[before : before + n]
         keys, words = table["key"].combine_chunks(), table["words"].combine_chunks()
-        sizes = pa.compute.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64) // DIGEST
+        sizes = pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64) // DIGEST
         begins = np.cumsum(sizes) - sizes
         data = b"".join(keys.to_pylist())
         lcp = common_prefixes(np.frombuffer(data, np.uint64).reshape(-1, 2), begins, sizes)
