@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Triangles or pairs that are cut at once.
 AT_ONCE = 1 << 15
@@ -19,7 +20,7 @@ def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Points and sizes of a column of rings; null rings and null points count as absent."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten()
     out = np.zeros((len(sizes), int(sizes.max(initial=0)), 2))
     at = np.arange(out.shape[1]) < sizes[:, None]
