@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.geodesy import tile_of
+
 
 def windows(images: DataFrame, width: str, height: str, tile: int, stride: int) -> DataFrame:
     """images, a row for each window x0, y0, x1, y1.
@@ -51,3 +53,26 @@ def predicted(tiles: DataFrame, image: str, predict: Predictor) -> DataFrame:
 
     given = tiles.select(F.col(image).cast("long").alias(image), F.col("x0").cast("long").alias("x0"), F.col("y0").cast("long").alias("y0"))
     return given.mapInArrow(run, f"{image} long, x0 long, y0 long, class_name string, confidence double, ring array<struct<x:double,y:double>>")
+
+
+def quadkey(x: Column, y: Column, zoom: Column) -> Column:
+    """The digits of a tile from zoom 1 down, each a quarter of the tile before; empty at zoom 0."""
+    bit = lambda v, k: F.call_function("shiftright", v, (zoom - k).cast("int")).bitwiseAND(F.lit(1))
+    digit = lambda k: (bit(x, k) + 2 * bit(y, k)).cast("string")
+    return F.when(zoom == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(zoom, F.lit(1))), digit), ""))
+
+
+def pyramid(points: DataFrame, lon: str, lat: str, native: int, values: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+    """zoom, tx, ty, quadkey and values for each tile with points, from zoom native to 0.
+
+    values: for each name what is aggregated over a finest tile, and how coarser tiles aggregate that. Points are counted
+    once, into finest tiles; every coarser zoom is summed from these by the leading bits of their place. A point without
+    a place takes no part.
+    """
+    tx, ty = tile_of(F.col(lon), F.col(lat), F.lit(native))
+    at = points.filter(f"`{lon}` IS NOT NULL AND `{lat}` IS NOT NULL").withColumns({"tx": tx.cast("long"), "ty": ty.cast("long")})
+    finest = at.groupBy("tx", "ty").agg(*[first.alias(name) for name, (first, _) in values.items()])
+    zooms = finest.withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(native))))
+    up = F.lit(native) - F.col("zoom")
+    coarse = zooms.withColumns({k: F.call_function("shiftright", F.col(k), up) for k in ("tx", "ty")}).groupBy("zoom", "tx", "ty").agg(*[again(name).alias(name) for name, (_, again) in values.items()])
+    return coarse.select("zoom", "tx", "ty", quadkey(F.col("tx"), F.col("ty"), F.col("zoom")).alias("quadkey"), *values)
