@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.order_stats import quantiles
 from tidemark.scratch import Scratch
 
 #: Seconds by which modification times may differ without being a change.
@@ -41,7 +42,7 @@ def rejected_by_rounds(pairs: DataFrame, scratch: Scratch, factor: float = 3.0)
     """
     left, gone, number = scratch.keep(pairs.select("pair", "residual")), None, 0
     while True:
-        typical = left.agg(F.median("residual")).first()[0]
+        typical = quantiles(left, [], {"mid": ("residual", 0.5)}, scratch).first()["mid"]
         bad = scratch.keep(left.filter(F.col("residual") > factor * typical)) if typical is not None else None
         n = bad.count() if bad is not None else 0
         if not n:

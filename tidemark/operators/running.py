@@ -42,3 +42,8 @@ def best_from_here(parts: DataFrame, keys: list[str], reversed_order: list[Colum
     upto = Window.partitionBy(*keys, "part").orderBy(*reversed_order).rowsBetween(Window.unboundedPreceding, 0)
     out = parts.join(whole, same).drop("_part", *[f"_{k}" for k in keys])
     return out.withColumn(name, F.greatest(F.max(value).over(upto), F.col("__later"))).drop("__later")
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], scratch: Scratch) -> DataFrame:
+    """rows with ``rn``, their rank in their key from 1, however many rows a key has."""
+    return running(in_parts(rows, keys, order, scratch), keys, order, {}).drop("part")

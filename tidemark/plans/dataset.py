@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys
 from tidemark.operators import manifest
+from tidemark.operators.order_stats import with_quantiles
 from tidemark.operators.split import deficit_split, hash_split, homed
 from tidemark.plans.registry import register, table
 from tidemark.plans.surveys import PARENTS, parents
+from tidemark.scratch import Scratch
 
 
 @register(
@@ -206,7 +208,9 @@ def hash_rank_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dataset_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     cv = F.when((F.count("*") < 2) | (F.avg("n_chars") == 0), 0.0).otherwise(F.stddev_samp("n_chars") / F.avg("n_chars"))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("images"), F.countDistinct("lang").alias("batches"), F.round(F.median("n_chars"), 3).alias("median_size"), F.round(F.avg("n_chars"), 4).alias("mean_size"), F.round(cv, 6).alias("cv"))
+    rows = table(spark, sf_dir, "documents")
+    by = rows.groupBy("source").agg(F.count("*").alias("images"), F.countDistinct("lang").alias("batches"), F.round(F.avg("n_chars"), 4).alias("mean_size"), F.round(cv, 6).alias("cv"))
+    return with_quantiles(by, rows, ["source"], {"median_size": ("n_chars", 0.5)}, Scratch(spark, "medians")).withColumn("median_size", F.round("median_size", 3))
 
 
 @register(
@@ -226,7 +230,8 @@ def dataset_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def objects_by_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("c"))
     c = table(spark, sf_dir, "orders").select("o_orderkey").join(per, "o_orderkey", "left").fillna(0)
-    return c.agg(F.count("*").alias("tiles"), F.round(F.avg("c"), 6).alias("mean"), F.median("c").alias("median"), F.max("c").alias("most"), F.round(100.0 * F.count_if(F.col("c") == 0) / F.count("*"), 4).alias("percent_empty"))
+    one = c.agg(F.count("*").alias("tiles"), F.round(F.avg("c"), 6).alias("mean"), F.max("c").alias("most"), F.round(100.0 * F.count_if(F.col("c") == 0) / F.count("*"), 4).alias("percent_empty"))
+    return with_quantiles(one, c, [], {"median": ("c", 0.5)}, Scratch(spark, "medians"))
 
 
 @register(

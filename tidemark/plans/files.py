@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry, keys
+from tidemark.operators.running import ranked
 from tidemark.plans.registry import register, table
 from tidemark.plans.singles import PATHS, paths
 from tidemark.plans.spatial import BOXES, OWNED, footprints, owned_cells
@@ -117,11 +118,9 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("s1_photo_scan", f"WITH {HEADS} SELECT path, split_part(path, '/', 4) AS name, row_number() OVER (PARTITION BY split_part(path, '/', 3) ORDER BY path) AS turn FROM shown")
 def photo_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos below a folder: JPEG only, nothing hidden, in order within each folder."""
-    from pyspark.sql import Window
-
-    shown = photos.shown(heads(spark, sf_dir))
-    turn = F.row_number().over(Window.partitionBy(F.split_part("path", F.lit("/"), F.lit(3))).orderBy("path"))
-    return shown.select("path", photos.file_name(c("path")).alias("name"), turn.alias("turn"))
+    shown = photos.shown(heads(spark, sf_dir)).select("path", F.split_part("path", F.lit("/"), F.lit(3)).alias("folder"))
+    turned = ranked(shown, ["folder"], [F.asc("path")], Scratch(spark, "order"))
+    return turned.select("path", photos.file_name(c("path")).alias("name"), F.col("rn").alias("turn"))
 
 
 REASON = "CASE WHEN alt IS NULL THEN 'no altitude' WHEN yaw IS NULL THEN 'no heading' WHEN k % 5 = 3 THEN 'no position' WHEN abs(pitch + 90) > 15 THEN 'not vertical' END"

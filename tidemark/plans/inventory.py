@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.spatial_join import iou, overlap, self_pairs
 from tidemark.operators.freeze import freeze_bench
+from tidemark.operators.order_stats import quantiles, with_quantiles
 from tidemark.plans.evaluation import EVAL, predictions
 from tidemark.plans.registry import register, table
 from tidemark.plans.spatial import CELL, PAIRS
 from tidemark.plans.surveys import BOXES, DETECTIONS, PARENTS, PHOTOS, boxes, detections, parents, photos
+from tidemark.scratch import Scratch
 
 
 @register(
@@ -93,7 +95,9 @@ def false_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {DETECTIONS}, g AS (SELECT class_name, count(*) AS n, sum(coalesce(area_m2, 0)) AS area, median(area_m2) AS mid, avg(area_m2) AS mean FROM detections GROUP BY 1) SELECT class_name, n, round(area, 4) AS area, round(mid, 5) AS median, round(mean, 5) AS mean, round(100.0::DOUBLE * n / sum(n) OVER (), 4) AS percent_n, round(100 * area / sum(area) OVER (), 4) AS percent_area FROM g",
 )
 def archive_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = detections(spark, sf_dir).groupBy("class_name").agg(F.count("*").alias("n"), F.sum(F.coalesce("area_m2", F.lit(0.0))).alias("a"), F.median("area_m2").alias("mid"), F.avg("area_m2").alias("m"))
+    rows = detections(spark, sf_dir)
+    g = rows.groupBy("class_name").agg(F.count("*").alias("n"), F.sum(F.coalesce("area_m2", F.lit(0.0))).alias("a"), F.avg("area_m2").alias("m"))
+    g = with_quantiles(g, rows, ["class_name"], {"mid": ("area_m2", 0.5)}, Scratch(spark, "medians"))
     all_ = Window.partitionBy()
     return g.select("class_name", "n", F.round("a", 4).alias("area"), F.round("mid", 5).alias("median"), F.round("m", 5).alias("mean"), F.round(100.0 * F.col("n") / F.sum("n").over(all_), 4).alias("percent_n"), F.round(100 * F.col("a") / F.sum("a").over(all_), 4).alias("percent_area"))
 
@@ -127,7 +131,8 @@ def yaw_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of wrapped angle differences, where there are at least ten."""
     k = F.col("c_custkey")
     a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("site"), (F.pmod((k * 37 % 360) - (k * 31 % 360) + 180, F.lit(360)) - 180).alias("d"))
-    return a.groupBy("site").agg(F.count("*").alias("pairs"), F.median("d").alias("bias")).filter("pairs >= 10")
+    by = a.groupBy("site").agg(F.count("*").alias("pairs")).filter("pairs >= 10")
+    return with_quantiles(by, a, ["site"], {"bias": ("d", 0.5)}, Scratch(spark, "medians"))
 
 
 @register(
@@ -136,9 +141,11 @@ def yaw_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pair_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residuals by pair; a pair far beyond the typical one is rejected."""
-    r = F.col("l_extendedprice") / 1000
-    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pair")).agg(F.count("*").alias("n"), F.median(r).alias("mid"), F.percentile(r, 0.9).alias("p"), F.max(r).alias("t"))
-    typical = m.agg(F.median("mid").alias("typical"))  # one row; the medians meet as counts of distinct values
+    scratch = Scratch(spark, "medians")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pair"), (F.col("l_extendedprice") / 1000).alias("r"))
+    m = rows.groupBy("pair").agg(F.count("*").alias("n"), F.max("r").alias("t"))
+    m = scratch.keep(with_quantiles(m, rows, ["pair"], {"mid": ("r", 0.5), "p": ("r", 0.9)}, scratch))
+    typical = quantiles(m, [], {"typical": ("mid", 0.5)}, scratch)  # one row
     return m.join(F.broadcast(typical)).select("pair", "n", F.round("mid", 3).alias("median"), F.round("p", 3).alias("p90"), F.round("t", 3).alias("top"), (F.col("mid") > 3 * F.col("typical")).alias("rejected"))
 
 

@@ -10,6 +10,7 @@ from tidemark.functions import geodesy
 from tidemark.functions.geometry import convex_hull
 from tidemark.operators import matching
 from tidemark.operators.spatial_join import area, iou, meeting_pairs, overlap, self_pairs
+from tidemark.operators.running import ranked
 from tidemark.plans.registry import register, table
 from tidemark.plans.spatial import CELL, FOOTPRINTS, IOU, MEET, footprints
 from tidemark.plans.surveys import BOXES, DETECTIONS, PARENTS, PHOTOS, WEIGHED, boxes, detections, parents, photos, sightings, weighed
@@ -44,7 +45,7 @@ def scope_and_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = c("parent_id") % 10
     split = F.when(last < 7, "train").when(last < 9, "val").otherwise("test")
     rows = parents(spark, sf_dir).withColumn("split", split).filter(c("split").isin("val", "test") & F.contains(F.lower("batch"), F.lit("en")))
-    return rows.select("parent_id", "batch", F.row_number().over(Window.partitionBy("batch").orderBy("parent_id")).alias("turn"))
+    return ranked(rows.select("parent_id", "batch"), ["batch"], [F.asc("parent_id")], Scratch(spark, "order")).select("parent_id", "batch", F.col("rn").alias("turn"))
 
 
 @register(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy
 from tidemark.operators import manifest, tiling
+from tidemark.operators.order_stats import with_quantiles
 from tidemark.operators.running import in_parts, running
 from tidemark.plans.registry import register, table
 from tidemark.plans.surveys import BOXES, DETECTIONS, PARENTS, PHOTOS, boxes, detections, parents, photos
@@ -144,9 +145,10 @@ def tile_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("m32_alignment_diagnostic", "SELECT l_suppkey % 10 AS block, round(median(l_extendedprice / 1000), 4) AS mid, round(quantile_cont(l_extendedprice / 1000, 0.9), 4) AS p90, round(max(l_extendedprice / 1000), 4) AS top FROM lineitem GROUP BY 1")
 def alignment_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = c("l_extendedprice") / 1000
-    by = table(spark, sf_dir, "lineitem").groupBy((c("l_suppkey") % 10).alias("block"))
-    return by.agg(F.round(F.median(r), 4).alias("mid"), F.round(F.percentile(r, 0.9), 4).alias("p90"), F.round(F.max(r), 4).alias("top"))
+    rows = table(spark, sf_dir, "lineitem").select((c("l_suppkey") % 10).alias("block"), (c("l_extendedprice") / 1000).alias("r"))
+    by = rows.groupBy("block").agg(F.round(F.max("r"), 4).alias("top"))
+    by = with_quantiles(by, rows, ["block"], {"mid": ("r", 0.5), "p90": ("r", 0.9)}, Scratch(spark, "medians"))
+    return by.withColumns({k: F.round(k, 4) for k in ("mid", "p90")})
 
 
 @register(

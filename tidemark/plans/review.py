@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geodesy import from_dms, to_local
 from tidemark.operators.cluster import connected_components
 from tidemark.operators.spatial_join import iou, meeting_pairs, overlap, self_pairs
-from tidemark.operators.running import in_parts, running
+from tidemark.operators.running import in_parts, ranked, running
 from tidemark.plans.registry import register, table
 from tidemark.plans.spatial import CELL, INTER, IOU, MEET, OWNED, FOOTPRINTS, footprints, owned_cells
 from tidemark.plans.surveys import BOXES, DETECTIONS, PARENTS, boxes, detections, parents
@@ -216,8 +216,9 @@ def unlabelled_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within each kind: most models first, then confidence, then size."""
-    turn = F.row_number().over(Window.partitionBy("class_name").orderBy((F.col("k") % 4).desc(), F.desc("confidence"), F.coalesce("area_m2", F.lit(0.0)).desc(), "det_id"))
-    return detections(spark, sf_dir).filter("confidence >= 0.5").select("det_id", "class_name", turn.alias("turn"))
+    order = [(F.col("k") % 4).desc(), F.desc("confidence"), F.coalesce("area_m2", F.lit(0.0)).desc(), F.asc("det_id")]
+    rows = detections(spark, sf_dir).filter("confidence >= 0.5").select("det_id", "class_name", "k", "confidence", "area_m2")
+    return ranked(rows, ["class_name"], order, Scratch(spark, "order")).select("det_id", "class_name", F.col("rn").alias("turn"))
 
 
 @register(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy
 from tidemark.operators.running import in_parts, running
+from tidemark.operators.order_stats import quantiles, with_quantiles
 from tidemark.plans.registry import register, table
 from tidemark.plans.surveys import BOXES, DETECTIONS, PHOTOS, WEIGHED, boxes, detections, photos, weighed
 from tidemark.scratch import Scratch
@@ -57,10 +58,10 @@ def confidence_range(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(avg(area_m2), 5) AS mean_area, count(weight_mid) AS n_weighed, round(sum(weight_mid), 3) AS weight_kg FROM weighed GROUP BY class_name""",
 )
 def class_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians are exact, as everywhere here."""
-    by = weighed(spark, sf_dir).groupBy("class_name").agg(
-        n(), F.round(F.avg("confidence"), 5).alias("mean_confidence"), F.round(F.median("confidence"), 5).alias("median_confidence"), F.round(F.avg("area_m2"), 5).alias("mean_area"), F.count("weight_mid").alias("n_weighed"), F.round(F.sum("weight_mid"), 3).alias("weight_kg")
-    )
+    """Medians are exact, as everywhere here, and no buffer holds the values of a class."""
+    rows = weighed(spark, sf_dir)
+    by = rows.groupBy("class_name").agg(n(), F.round(F.avg("confidence"), 5).alias("mean_confidence"), F.round(F.avg("area_m2"), 5).alias("mean_area"), F.count("weight_mid").alias("n_weighed"), F.round(F.sum("weight_mid"), 3).alias("weight_kg"))
+    by = with_quantiles(by, rows, ["class_name"], {"median_confidence": ("confidence", 0.5)}, Scratch(spark, "medians")).withColumn("median_confidence", F.round("median_confidence", 5))
     return by.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
@@ -98,7 +99,9 @@ def photo_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {WEIGHED} SELECT count(*) AS n, count(DISTINCT photo_idx) AS photos, count(DISTINCT class_name) AS classes, round(avg(confidence), 5) AS mean, round(median(confidence), 5) AS median, count(weight_mid) AS weighed, round(sum(weight_mid), 3) AS weight_kg FROM weighed",
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighed(spark, sf_dir).agg(n(), F.countDistinct("photo_idx").alias("photos"), F.countDistinct("class_name").alias("classes"), F.round(F.avg("confidence"), 5).alias("mean"), F.round(F.median("confidence"), 5).alias("median"), F.count("weight_mid").alias("weighed"), F.round(F.sum("weight_mid"), 3).alias("weight_kg"))
+    rows = weighed(spark, sf_dir)
+    one = rows.agg(n(), F.countDistinct("photo_idx").alias("photos"), F.countDistinct("class_name").alias("classes"), F.round(F.avg("confidence"), 5).alias("mean"), F.count("weight_mid").alias("weighed"), F.round(F.sum("weight_mid"), 3).alias("weight_kg"))
+    return with_quantiles(one, rows, [], {"median": ("confidence", 0.5)}, Scratch(spark, "medians")).withColumn("median", F.round("median", 5))
 
 
 @register(
@@ -124,7 +127,10 @@ def heat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {DETECTIONS} SELECT class_name, count(*) AS n, min(confidence) AS low, round(median(confidence), 5) AS median, round(avg(confidence), 5) AS mean, max(confidence) AS high, round(quantile_cont(confidence, 0.9), 5) AS p90 FROM detections GROUP BY class_name",
 )
 def prediction_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(spark, sf_dir).groupBy("class_name").agg(n(), F.min("confidence").alias("low"), F.round(F.median("confidence"), 5).alias("median"), F.round(F.avg("confidence"), 5).alias("mean"), F.max("confidence").alias("high"), F.round(F.percentile("confidence", 0.9), 5).alias("p90"))
+    rows = detections(spark, sf_dir)
+    by = rows.groupBy("class_name").agg(n(), F.min("confidence").alias("low"), F.round(F.avg("confidence"), 5).alias("mean"), F.max("confidence").alias("high"))
+    by = with_quantiles(by, rows, ["class_name"], {"median": ("confidence", 0.5), "p90": ("confidence", 0.9)}, Scratch(spark, "medians"))
+    return by.withColumns({k: F.round(k, 5) for k in ("median", "p90")})
 
 
 @register(
@@ -177,7 +183,9 @@ def usable_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {PHOTOS} SELECT site, count(*) AS photos, count(lon) AS located, round(median(alt), 4) AS median_alt, round(min(alt), 4) AS low_alt, round(max(alt), 4) AS high_alt, round(avg(lat) FILTER (WHERE lat IS NOT NULL), 4) AS mean_lat FROM photos GROUP BY site",
 )
 def inventory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return photos(spark, sf_dir).groupBy("site").agg(F.count("*").alias("photos"), F.count("lon").alias("located"), F.round(F.median("alt"), 4).alias("median_alt"), F.round(F.min("alt"), 4).alias("low_alt"), F.round(F.max("alt"), 4).alias("high_alt"), F.round(F.avg("lat"), 4).alias("mean_lat"))
+    rows = photos(spark, sf_dir)
+    by = rows.groupBy("site").agg(F.count("*").alias("photos"), F.count("lon").alias("located"), F.round(F.min("alt"), 4).alias("low_alt"), F.round(F.max("alt"), 4).alias("high_alt"), F.round(F.avg("lat"), 4).alias("mean_lat"))
+    return with_quantiles(by, rows, ["site"], {"median_alt": ("alt", 0.5)}, Scratch(spark, "medians")).withColumn("median_alt", F.round("median_alt", 4))
 
 
 @register(
@@ -186,7 +194,8 @@ def inventory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def altitude_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos that deviate by more than 30 % from the median altitude of their site."""
-    m = photos(spark, sf_dir).withColumn("mid", F.median("alt").over(Window.partitionBy("site")))
+    rows = photos(spark, sf_dir)
+    m = rows.join(quantiles(rows, ["site"], {"mid": ("alt", 0.5)}, Scratch(spark, "medians")), "site")
     return m.filter("abs(alt - mid) > 0.3 * abs(mid)").select("photo_idx", "site", F.round(F.col("alt") / F.col("mid") - 1, 5).alias("deviation"))
 
 
