@@ -38,13 +38,11 @@ def tile_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "f1_class_keys",
-    r"""WITH w AS (SELECT CASE WHEN len(string_split(text, ' ')) > 2 THEN split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) ELSE text END AS name FROM documents)
-    SELECT trim(regexp_replace(lower(replace(strip_accents(name), '_', ' ')), '\s+', ' ', 'g')) AS name_key, count(*) AS n FROM w GROUP BY 1""",
+    r"""SELECT trim(regexp_replace(lower(replace(strip_accents(text), '_', ' ')), '\s+', ' ', 'g')) AS name_key, count(*) AS n FROM documents GROUP BY 1""",
 )
 def class_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accent- and case-folded names, over the first words of documents."""
-    first = F.substring_index("text", " ", 2)
-    named = table(spark, sf_dir, "documents").select(keys.normal_name(first).alias("name_key"))
+    """Accent- and case-folded names, over whole texts of documents."""
+    named = table(spark, sf_dir, "documents").select(keys.normal_name("text").alias("name_key"))
     return named.groupBy("name_key").agg(F.count("*").alias("n"))
 
 
@@ -194,12 +192,12 @@ def set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "w6_hash_rank_sample",
-    f"WITH {PARENTS}, r AS (SELECT parent_id, site, row_number() OVER (PARTITION BY site ORDER BY sha256('7:' || parent_id), parent_id) AS rn FROM parents WHERE weight < 2000) SELECT parent_id, site FROM r WHERE rn <= 20",
+    f"WITH {PARENTS}, r AS (SELECT parent_id, site, row_number() OVER (PARTITION BY site ORDER BY sha256('7:' || parent_id), parent_id) AS rn FROM parents) SELECT parent_id, site FROM r WHERE rn <= 20",
 )
 def hash_rank_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampling operator: per site the 20 that hash lowest, whatever else there is."""
     rank = F.row_number().over(Window.partitionBy("site").orderBy(F.sha2(F.concat(F.lit("7:"), F.col("parent_id").cast("string")).cast("binary"), 256), "parent_id"))
-    return parents(spark, sf_dir).filter("weight < 2000").withColumn("rn", rank).filter("rn <= 20").select("parent_id", "site")
+    return parents(spark, sf_dir).withColumn("rn", rank).filter("rn <= 20").select("parent_id", "site")
 
 
 @register(

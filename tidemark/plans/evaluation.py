@@ -210,10 +210,11 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "m10_threshold_alerts",
-    f"WITH {EVAL}, {METRICS} SELECT class_name, unnest(list_filter([CASE WHEN r < 0.5 THEN 'low recall' END, CASE WHEN p < 0.5 THEN 'low precision' END, CASE WHEN ap50 < 0.5 THEN 'low ap' END], lambda x: x IS NOT NULL)) AS alert FROM m",
+    f"WITH {EVAL}, {METRICS.replace('0.25', '0.6')} SELECT class_name, unnest(list_filter([CASE WHEN r < 0.5 THEN 'low recall' END, CASE WHEN p < 0.5 THEN 'low precision' END, CASE WHEN ap50 < 0.5 THEN 'low ap' END], lambda x: x IS NOT NULL)) AS alert FROM m",
 )
 def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = class_metrics(predictions(spark, sf_dir), truths(spark, sf_dir), ["class_name"], 0.25)
+    """What falls short of one half at a confidence of 0.6."""
+    m = class_metrics(predictions(spark, sf_dir), truths(spark, sf_dir), ["class_name"], 0.6)
     found = F.array(*[F.when(F.col(c) < 0.5, F.lit(what)) for c, what in (("r", "low recall"), ("p", "low precision"), ("ap50", "low ap"))])
     return m.select("class_name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("alert"))
 

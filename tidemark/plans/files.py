@@ -183,12 +183,12 @@ def label_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # detections
 
-SOME = f"{DETECTIONS}, sized AS (SELECT *, photo_idx % 4 AS lot FROM detections WHERE area_m2 IS NOT NULL)"
+SOME = f"{DETECTIONS}, sized AS (SELECT *, photo_idx % 4 AS lot FROM detections)"
 
 
 def detection_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """GeoJSON features of detections, a folder for each of four lots; those of even lots name their photo."""
-    d = detections(spark, sf_dir).filter("area_m2 is not null").withColumn("lot", c("photo_idx") % 4)
+    d = detections(spark, sf_dir).withColumn("lot", c("photo_idx") % 4)
     at = lambda x, y: F.struct((c("k") + x).cast("double").alias("x"), F.lit(float(y)).alias("y"))
     d = d.select("lot", "det_id", "class_name", "confidence", "area_m2", F.when(c("lot") % 2 == 0, c("photo_idx")).alias("source_photo"), F.array(at(0, 0), at(1, 0), at(1, 1)).alias("ring"))
     path = Scratch(spark, name).path("found")

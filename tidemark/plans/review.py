@@ -17,12 +17,14 @@ from tidemark.scratch import Scratch
 
 @register(
     "j12_owned_windows",
-    f"WITH {OWNED}, w AS (SELECT DISTINCT (x.unnest * 384)::BIGINT AS x0, (y.unnest * 384)::BIGINT AS y0 FROM unnest(range(0, 53)) x, unnest(range(0, 7)) y) SELECT x0, y0 FROM w WHERE EXISTS (SELECT 1 FROM owned WHERE gx * 100 + 50 BETWEEN x0 - 20 AND x0 + 660 AND gy * 100 + 50 BETWEEN y0 - 20 AND y0 + 660)",
+    f"WITH {OWNED}, w AS (SELECT DISTINCT (x.unnest * 384)::BIGINT AS x0, (y.unnest * 384)::BIGINT AS y0 FROM f, unnest(range(floor((f.x0 - 660) / 384)::BIGINT, floor((f.x1 + 20) / 384)::BIGINT + 1)) x, unnest(range(floor((f.y0 - 660) / 384)::BIGINT, floor((f.y1 + 20) / 384)::BIGINT + 1)) y) SELECT x0, y0 FROM w WHERE EXISTS (SELECT 1 FROM owned WHERE gx * 100 + 50 BETWEEN x0 - 20 AND x0 + 660 AND gy * 100 + 50 BETWEEN y0 - 20 AND y0 + 660)",
 )
 def owned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semi join: windows with an owned cell inside, 20 m of margin counted."""
     cells = owned_cells(spark, sf_dir).select((F.col("gx") * 100.0 + 50).alias("x0"), (F.col("gy") * 100.0 + 50).alias("y0")).selectExpr("x0", "y0", "x0 AS x1", "y0 AS y1")
-    grid = spark.range(53 * 7).select(((F.col("id") % 53) * 384.0).alias("x0"), (F.floor(F.col("id") / 53) * 384.0).alias("y0"))
+    near = lambda low, high: F.explode(F.sequence(F.floor((F.col(low) - 660) / 384), F.floor((F.col(high) + 20) / 384)))
+    around = footprints(spark, sf_dir).withColumn("tx", near("x0", "x1")).withColumn("ty", near("y0", "y1"))
+    grid = around.select((F.col("tx") * 384.0).alias("x0"), (F.col("ty") * 384.0).alias("y0")).distinct()
     tiles = grid.select("x0", "y0", (F.col("x0") + 640).alias("x1"), (F.col("y0") + 640).alias("y1"))
     return meeting_pairs(tiles, cells, 512.0, distance=20.0).select(F.col("a_x0").cast("long").alias("x0"), F.col("a_y0").cast("long").alias("y0")).distinct()
 
@@ -45,13 +47,13 @@ def cell_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "j15_touching_groups",
-    f"""WITH RECURSIVE {BOXES}, {FOOTPRINTS}, near AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.id <> b.id AND a.id % 10 = b.id % 10 AND a.x0 - 5 <= b.x0 + 40 AND b.x0 <= a.x0 + 45 AND a.y0 - 5 <= b.y0 + 30 AND b.y0 <= a.y0 + 35),
+    f"""WITH RECURSIVE {BOXES}, {FOOTPRINTS}, near AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.id <> b.id AND a.id // 100 = b.id // 100 AND a.x0 - 5 <= b.x0 + 150 AND b.x0 <= a.x0 + 155 AND a.y0 - 5 <= b.y0 + 130 AND b.y0 <= a.y0 + 135),
     reach(node, other) AS (SELECT a, a FROM near UNION SELECT r.node, n.b FROM reach r JOIN near n ON n.a = r.other) SELECT node AS id, min(other) AS label FROM reach GROUP BY node""",
 )
 def touching_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range self-join within a site, 5 m apart at most, and the groups that result."""
     scratch = Scratch(spark, "touching")
-    small = footprints(spark, sf_dir).select("id", (F.col("id") % 10).alias("site"), "x0", "y0", (F.col("x0") + 40).alias("x1"), (F.col("y0") + 30).alias("y1"))
+    small = footprints(spark, sf_dir).select("id", F.floor(F.col("id") / 100).alias("site"), "x0", "y0", (F.col("x0") + 150).alias("x1"), (F.col("y0") + 130).alias("y1"))
     near = self_pairs(small, CELL, ("site",), "id", distance=5.0).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return connected_components(scratch.keep(near), scratch).select(F.col("node").alias("id"), "label")
 

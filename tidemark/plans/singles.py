@@ -190,10 +190,10 @@ def common_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").intersect(table(spark, sf_dir, "labels").select("doc_id"))
 
 
-@register("u6_orphan_differences", "SELECT o_custkey AS id, 'no customer' AS what FROM orders EXCEPT SELECT c_custkey, 'no customer' FROM customer UNION ALL (SELECT c_custkey, 'no order' FROM customer EXCEPT SELECT o_custkey, 'no order' FROM orders)")
+@register("u6_orphan_differences", "(SELECT doc_id AS id, 'no image' AS what FROM labels EXCEPT SELECT doc_id, 'no image' FROM documents) UNION ALL (SELECT doc_id, 'no label' FROM documents EXCEPT SELECT doc_id, 'no label' FROM labels)")
 def orphan_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = table(spark, sf_dir, "orders").select(c("o_custkey").alias("id")), table(spark, sf_dir, "customer").select(c("c_custkey").alias("id"))
-    return a.subtract(b).withColumn("what", F.lit("no customer")).union(b.subtract(a).withColumn("what", F.lit("no order")))
+    a, b = (table(spark, sf_dir, t).select(c("doc_id").alias("id")) for t in ("labels", "documents"))
+    return a.subtract(b).withColumn("what", F.lit("no image")).union(b.subtract(a).withColumn("what", F.lit("no label")))
 
 
 @register("u8_pending", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 48")

@@ -251,14 +251,15 @@ def top_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "w9_prefix_sums",
-    f"""WITH {DETECTIONS}, g AS (SELECT photo_idx AS gx, k AS gy, count(*) AS c FROM detections GROUP BY ALL), dense AS (SELECT x.gx, y.unnest AS gy, coalesce(c, 0) AS c, c IS NOT NULL AS there FROM (SELECT DISTINCT gx FROM g) x CROSS JOIN unnest(range(0, 100)) y LEFT JOIN g ON g.gx = x.gx AND g.gy = y.unnest),
+    f"""WITH {DETECTIONS}, g AS (SELECT photo_idx AS gx, k AS gy, count(*) AS c FROM detections GROUP BY ALL), dense AS (SELECT x.gx, y.unnest AS gy, coalesce(c, 0) AS c, c IS NOT NULL AS there FROM (SELECT DISTINCT gx FROM g) x CROSS JOIN unnest(range(0, (SELECT max(gy) + 1 FROM g))) y LEFT JOIN g ON g.gx = x.gx AND g.gy = y.unnest),
     a AS (SELECT *, sum(c) OVER (PARTITION BY gx ORDER BY gy) AS along FROM dense), b AS (SELECT *, sum(along) OVER (PARTITION BY gy ORDER BY gx) AS upto FROM a)
     SELECT gx, gy::INTEGER AS gy, along::BIGINT AS along, upto::BIGINT AS upto FROM b WHERE there""",
 )
 def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summed-area table at every cell that holds something: running sums along one axis, then along the other over the dense grid."""
     g = detections(spark, sf_dir).groupBy(F.col("photo_idx").alias("gx"), F.col("k").alias("gy")).agg(F.count("*").alias("c"))
-    dense = g.select("gx").distinct().withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(99)))).join(g, ["gx", "gy"], "left")
+    most = g.agg(F.coalesce(F.max("gy"), F.lit(0)).alias("most"))  # one row
+    dense = g.select("gx").distinct().crossJoin(F.broadcast(most)).select("gx", F.explode(F.sequence(F.lit(0), "most")).alias("gy")).join(g, ["gx", "gy"], "left")
     along = dense.withColumn("along", F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("gx").orderBy("gy")))
     order = [F.asc("gx")]
     parts = in_parts(along, ["gy"], order, Scratch(spark, "prefix-sums"))
