@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import stable_unit
+from tidemark.operators.bootstrap import resampled_sums
 from tidemark.operators.running import best_from_here, in_parts, running
 from tidemark.plans.registry import register, table
 from tidemark.plans.surveys import DETECTIONS, detections
@@ -164,6 +165,29 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.round(F.avg("d"), 6).alias("mean_gain"), F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"), F.round(F.avg((F.col("d") > 0).cast("int")), 4).alias("p_gain"))
 
 
+def _resampled(spark: SparkSession, sf_dir: str, n: int = 400) -> DataFrame:
+    """rep, draws, a, b: F1 at two thresholds over as many images as there are, drawn anew."""
+    c = F.col
+    at = lambda t, v: F.sum(F.when(c("confidence") >= t, v).otherwise(0))
+    per = predictions(spark, sf_dir).groupBy("parent_id").agg(at(0.25, c("tp")).alias("tp"), at(0.25, F.lit(1)).alias("c"), at(0.1, c("tp")).alias("tp2"), at(0.1, F.lit(1)).alias("c2"))
+    images = truths(spark, sf_dir).groupBy("parent_id").agg(F.count("*").alias("n")).join(per, "parent_id", "left")
+    sums = resampled_sums(images, "parent_id", ["n", "tp", "c", "tp2", "c2"], n, Scratch(spark, "bootstrap"))
+    return sums.select("rep", "draws", (2 * c("tp") / (c("c") + c("n"))).alias("a"), (2 * c("tp2") / (c("c2") + c("n"))).alias("b"))
+
+
+@register("a30_resampled_interval")
+def resampled_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of F1 by true resampling of images; draws: of each replicate, as many as images."""
+    return _resampled(spark, sf_dir).agg(F.min("draws").alias("draws"), F.round(F.percentile("a", 0.025), 6).alias("low"), F.round(F.percentile("a", 0.975), 6).alias("high"))  # of as many rows as replicates
+
+
+@register("a31_resampled_gain")
+def resampled_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same resampled images for both thresholds."""
+    d = _resampled(spark, sf_dir).withColumn("d", F.col("b") - F.col("a"))
+    return d.agg(F.round(F.avg("d"), 6).alias("mean_gain"), F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"), F.round(F.avg((F.col("d") > 0).cast("int")), 4).alias("p_gain"))
+
+
 @register(
     "a33_evaluation_matrix",
     f"""WITH {EVAL}, m AS (SELECT class_name, parent_id % 3 AS site, 2.0::DOUBLE * sum(tp) / (count(*) + 100) AS f1, bool_or(seq % 97 = 0) AS leak FROM preds GROUP BY 1, 2), t AS (SELECT class_name, site, printf('%.3f', f1) || CASE WHEN leak THEN '!' ELSE '' END AS cell FROM m)
