@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy
 from tidemark.operators import manifest, tiling
+from tidemark.operators.counter_scan import counted
 from tidemark.operators.order_stats import with_quantiles
 from tidemark.operators.running import in_parts, running
 from tidemark.plans.registry import register, table
@@ -228,3 +229,18 @@ def rejected_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with the round in which each was rejected (null: kept): each round drops the worse half of those far beyond the median."""
     pairs = table(spark, sf_dir, "lineitem").groupBy(c("l_partkey").alias("pair")).agg(F.max(c("l_extendedprice") * c("l_discount")).alias("residual"))
     return manifest.rejected_by_rounds(pairs, Scratch(spark, "rounds"))
+
+
+@register(
+    "g6_counted_tiles",
+    """WITH t AS (SELECT l_suppkey AS parent, l_orderkey, l_linenumber, l_partkey, (max(l_quantity) > 46)::INTEGER AS object FROM lineitem GROUP BY ALL),
+    p AS (SELECT parent, list(object ORDER BY l_orderkey, l_linenumber, l_partkey) AS objects FROM t GROUP BY 1)
+    SELECT parent, len(objects) AS tiles, list_sum(objects)::BIGINT AS objects, CASE WHEN list_sum(objects) = 0 THEN len(objects) ELSE list_reduce(list_concat([0::BIGINT], objects), lambda n, x: n + CASE WHEN x = 1 OR n % 10 = 0 THEN 1 ELSE 0 END) END AS kept FROM p""",
+)
+def counted_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles kept of parents of any number of tiles: an empty one where the number kept is a multiple of ten; all of a parent without objects."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey"]
+    t = table(spark, sf_dir, "lineitem").groupBy(c("l_suppkey").alias("parent"), *order).agg((F.max("l_quantity") > 46).alias("object"))
+    decided = counted(t, "parent", order, c("object"), Scratch(spark, "counted")).withColumnRenamed("kept", "counts")
+    by = decided.join(t, ["parent", *order]).groupBy("parent").agg(F.count("*").alias("tiles"), F.count_if("object").alias("objects"), F.count_if("counts").alias("kept"))
+    return by.withColumn("kept", F.when(c("objects") == 0, c("tiles")).otherwise(c("kept")))
