@@ -13,6 +13,7 @@ from tidemark.plans.spatial import BOXES, OWNED, footprints, owned_cells
 from tidemark.plans.surveys import DETECTIONS, WEIGHED, boxes, detections, weighed
 from tidemark.scratch import Scratch
 from tidemark.sources import labels, photos
+from tidemark.sources.exif import written_heads
 
 c = F.col
 
@@ -337,3 +338,42 @@ def appended_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     o.filter("o_orderstatus = 'F'").select("o_orderkey", F.lit("first").alias("written")).write.parquet(path)
     labels.append_missing(o.filter("o_orderstatus = 'F' or o_orderpriority = '5-LOW'").select("o_orderkey", F.lit("second").alias("written")), path, ["o_orderkey"])
     return spark.read.parquet(path)
+
+
+#: Photos of customers, as their cameras write them: two makes and an unknown one, both byte orders, some heads damaged.
+CAMERAS = """cameras AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'DJI' WHEN 1 THEN 'senseFly' ELSE CASE WHEN c_custkey % 4 = 2 THEN NULL ELSE 'Other' END END AS make, CASE WHEN c_custkey % 5 <> 4 THEN round(c_nationkey - 12.5 + c_custkey % 3600 / 3600, 6) END AS lat,
+        round(c_custkey % 300 - 150.25, 6) AS lon, CASE WHEN c_custkey % 13 <> 6 THEN (8 + c_custkey % 7 / 10) END AS focal, 4000 + c_custkey % 9 AS width, 3000 + c_custkey % 8 AS height, CASE WHEN c_custkey % 17 = 8 THEN 6 ELSE 1 END AS turned,
+        CASE WHEN c_custkey % 11 <> 3 THEN 40 + c_custkey % 50 END AS alt, c_custkey * 7 % 360 AS yaw, CASE c_custkey % 23 WHEN 3 THEN 'no JPEG' WHEN 7 THEN 'cut short' WHEN 9 THEN 'no Exif' WHEN 5 THEN 'damaged directory' END AS damage FROM customer)"""
+
+
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content."""
+    k = c("c_custkey")
+    t = table(spark, sf_dir, "customer").select(
+        k.alias("k"), F.when(k % 3 == 0, "DJI").when(k % 3 == 1, "senseFly").otherwise(F.when(k % 4 != 2, "Other")).alias("make"), F.when(k % 5 != 4, F.round(c("c_nationkey") - 12.5 + k % 3600 / 3600, 6)).alias("lat"), F.round(k % 300 - 150.25, 6).alias("lon"),
+        F.when(k % 13 != 6, 8 + k % 7 / 10).alias("focal"), (4000 + k % 9).alias("width"), (3000 + k % 8).alias("height"), F.when(k % 17 == 8, 6).otherwise(1).alias("turned"), F.when(k % 11 != 3, 40 + k % 50).alias("alt"), (k * 7 % 360).alias("yaw"),
+    )
+    tag = lambda name, value: F.coalesce(F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"')), F.lit(""))
+    dji = F.concat(tag("drone-dji:RelativeAltitude", c("alt")), tag("drone-dji:GimbalYawDegree", c("yaw")), tag("drone-dji:GimbalPitchDegree", F.lit(-90)))
+    camera = F.concat(tag("Camera:AboveGroundAltitude", c("alt")), tag("Camera:Yaw", c("yaw")), tag("Camera:Pitch", F.lit(5)))
+    also = F.when(c("k") % 4 == 1, F.concat(tag("drone-dji:GpsLatitude", c("k") % 80), tag("drone-dji:GpsLongitude", c("k") % 90))).otherwise("")
+    xmp = F.concat(F.lit("<x:xmpmeta"), F.when(c("make") == "senseFly", camera).otherwise(dji), also, F.lit("/>"))
+    whole = written_heads(c("make"), F.lit("M1"), c("focal"), c("lat"), c("lon"), c("width"), c("height"), xmp, c("k") % 2 == 0, c("turned"))
+    rest = F.expr("substring(whole, 1, 60)"), F.expr("concat(substring(whole, 1, 2), X'FFE00004', X'0000', X'FFD9')"), F.expr("concat(substring(whole, 1, 16), X'FFFFFFFF', substring(whole, 21, length(whole)))"), F.expr("substring(whole, 2, length(whole))")
+    kind = c("k") % 23
+    content = F.when(kind == 3, rest[3]).when(kind == 7, rest[0]).when(kind == 9, rest[1]).when(kind == 5, rest[2]).otherwise(c("whole"))
+    return t.withColumn("whole", whole).select(F.concat(F.lit("/in/P"), c("k").cast("string"), F.lit(".jpg")).alias("path"), content.alias("content"))
+
+
+@register(
+    "s4_photo_heads",
+    f"""WITH {CAMERAS}, placed AS (SELECT *, CASE WHEN lat IS NOT NULL THEN lat WHEN k % 4 = 1 THEN k % 80 END AS la, CASE WHEN lat IS NOT NULL THEN lon WHEN k % 4 = 1 THEN k % 90 END AS lo, make IN ('DJI', 'senseFly') AS known FROM cameras)
+    SELECT '/in/P' || k || '.jpg' AS path, CASE WHEN damage IS NULL THEN make END AS make, CASE WHEN damage IS NULL THEN width END AS width, CASE WHEN damage IS NULL THEN height END AS height, CASE WHEN damage IS NULL THEN round(focal, 3) END AS focal_mm, CASE WHEN damage IS NULL THEN round(la, 6) END AS lat,
+        CASE WHEN damage IS NULL THEN round(lo, 6) END AS lon, CASE WHEN damage IS NULL AND known THEN alt::DOUBLE END AS alt, CASE WHEN damage IS NULL AND known THEN yaw::DOUBLE END AS yaw, CASE WHEN damage IS NULL AND known THEN CASE make WHEN 'DJI' THEN -90.0::DOUBLE ELSE -85.0::DOUBLE END END AS pitch,
+        damage IS NULL AND lat IS NOT NULL AND k % 4 = 1 AND (abs(lat - k % 80) > 0.001 OR abs(lon - k % 90) > 0.001) AS differ,
+        CASE WHEN damage IS NOT NULL THEN damage WHEN turned <> 1 THEN 'turned' WHEN make IS NULL THEN 'no make or model' WHEN focal IS NULL THEN 'no focal length' WHEN la IS NULL THEN 'no position' WHEN NOT known THEN 'unknown make' WHEN alt IS NULL THEN 'no altitude' END AS reason FROM placed""",
+)
+def photo_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is needed to place a photo, from the bytes of its head, or why it can't be placed."""
+    found = photos.from_heads(cameras(spark, sf_dir))
+    return found.select("path", "make", c("width").cast("long").alias("width"), c("height").cast("long").alias("height"), *[F.round(n, k).alias(n) for n, k in (("focal_mm", 3), ("lat", 6), ("lon", 6))], "alt", "yaw", "pitch", "differ", "reason")

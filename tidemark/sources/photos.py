@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geodesy import from_dms
+from tidemark.sources.exif import BY_MAKE, exif
 from tidemark.sources.labels import HEAD_BYTES, flight_tags, xmp_attributes
 
 #: Degrees by which a camera may lean from straight down, and by which two positions may differ.
@@ -60,3 +61,29 @@ def dms(degrees: Column, minutes: Column, seconds: Column, hemisphere: Column) -
 def preferred(exif: Column, xmp: Column) -> tuple[Column, Column]:
     """The camera's own coordinate, else that of the attributes, and whether both are there and differ too much."""
     return F.coalesce(exif, xmp), F.coalesce(F.abs(exif - xmp) > POSITIONS_AGREE, F.lit(False))
+
+
+def from_heads(files: DataFrame) -> DataFrame:
+    """path, make, model, width, height, focal_mm, lat, lon, alt, yaw, pitch, differ, reason: from the bytes of files (path, content).
+
+    The position of the Exif directory comes before that of the attributes; differ tells where both are there and apart.
+    Attributes are read by the adapter of the make. reason is why a photo can't be placed, null for a good one; a head that
+    can't be read has nothing but its reason.
+    """
+    c = F.col
+    read = files.select("path", exif(F.substring(c("content"), 1, HEAD_BYTES)).alias("e"), xmp_attributes(head(c("content"))).alias("xmp"))
+    adapted = F.coalesce(*[F.when(c("e.make") == make, tags(c("xmp"))) for make, tags in BY_MAKE.items()])
+    both = read.select("path", "e.*", flight_tags(c("xmp")).alias("x"), adapted.alias("t"))
+    apart = F.coalesce((F.abs(c("lat") - c("x.lat")) > POSITIONS_AGREE) | (F.abs(c("lon") - c("x.lon")) > POSITIONS_AGREE), F.lit(False))
+    placed = c("lat").isNotNull()
+    known = both.select(
+        "path", "make", "model", "width", "height", "focal_mm", F.when(placed, c("lat")).otherwise(c("x.lat")).alias("lat"), F.when(placed, c("lon")).otherwise(c("x.lon")).alias("lon"),
+        c("t.alt").alias("alt"), c("t.yaw").alias("yaw"), c("t.pitch").alias("pitch"), apart.alias("differ"), "problem", "orientation",
+    )
+    empty = lambda name: F.coalesce(c(name), F.lit("")) == ""
+    faults = [
+        (c("problem").isNotNull(), c("problem")), (F.coalesce("orientation", F.lit(1)) != 1, F.lit("turned")), (empty("make") | empty("model"), F.lit("no make or model")), (c("focal_mm").isNull(), F.lit("no focal length")),
+        (c("lat").isNull() | c("lon").isNull(), F.lit("no position")), (~c("make").isin(*BY_MAKE), F.lit("unknown make")), (c("alt").isNull(), F.lit("no altitude")), (c("yaw").isNull(), F.lit("no heading")), (c("pitch").isNull(), F.lit("no pitch")),
+    ]
+    value = {n: F.when(c("problem").isNull(), c(n)) for n in ("lat", "lon", "alt", "yaw", "pitch")}
+    return known.withColumn("reason", F.coalesce(*[F.when(fault, why) for fault, why in faults])).withColumns(value).drop("problem", "orientation")
