@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.spatial_join import iou, overlap, self_pairs
-from tidemark.operators.freeze import freeze_bench
+from tidemark.operators.freeze import freeze_bench, freeze_stratified
 from tidemark.operators.order_stats import quantiles, with_quantiles
+from tidemark.operators.validation import validate_labels
 from tidemark.plans.evaluation import EVAL, predictions
 from tidemark.plans.registry import register, table
 from tidemark.plans.spatial import CELL, PAIRS
@@ -239,3 +240,52 @@ def frozen_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("batch"))
     counts = per.join(images, "l_orderkey").select("batch", F.col("l_orderkey").cast("string").alias("unit"), "class_name", "n")
     return freeze_bench(counts, share=0.2)
+
+
+@register("g4_stratified_bench")
+def stratified_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of photos that make up a test bench of 15 % of objects, images and classes of each batch."""
+    d, k = detections(spark, sf_dir), F.col("parent_id")
+    images = d.select(F.col("photo_idx").alias("parent_id")).distinct()
+    split = F.when(k % 10 == 0, "test").when(k % 10 == 1, "val").otherwise("train")
+    images = images.select(F.concat(F.lit("B"), (k % 6).cast("string")).alias("batch"), "parent_id", F.concat(F.lit("G"), F.floor(k / 12).cast("string")).alias("unit"), split.alias("split"))
+    objects = d.groupBy(F.col("photo_idx").alias("parent_id"), "class_name").agg(F.count("*").alias("n"))
+    return freeze_stratified(images, objects, 0.15, Scratch(spark, "bench")).select("batch", "unit", "turn", F.round("gap", 6).alias("gap"))
+
+
+#: Label lines of an image as annotators left them, with faults of every kind; what each batch calls its classes.
+LINES = """lines AS (SELECT event_id AS line_no, 'B' || user_id % 7 AS batch, user_id AS image, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k, event_id % 6 AS local_id, (event_id % 50) / 100 AS x FROM events),
+    names(batch, local_id, name) AS (SELECT 'B' || b.unnest, i.unnest, CASE WHEN i.unnest = 3 AND b.unnest % 2 = 0 THEN 'Unheard Of' ELSE ['Rope', 'bottle', 'Net_piece', 'buoy', 'filet'][i.unnest + 1] END FROM unnest(range(6)) b, unnest(range(5)) i),
+    known(key) AS (VALUES ('rope'), ('bottle'), ('net piece'), ('buoy'), ('filet'))"""
+
+
+def label_lines_of_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(batch, image, line_no, line) and (batch, local_id, name); the last batch names no classes."""
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("B"), (F.col("user_id") % 7).cast("string")).alias("batch"), F.col("user_id").alias("image"), F.col("event_id").alias("line_no"), k.alias("k"), (F.col("event_id") % 6).alias("id"), (F.col("event_id") % 50 / 100).alias("x"))
+    ring = F.format_string("%.2f %.2f %.2f %.2f %.2f %.2f", F.col("x"), F.lit(0.1), F.col("x") + 0.2, F.lit(0.1), F.col("x"), F.lit(0.4))
+    body = F.when(F.col("k") % 31 == 3, "0.1 zero 0.2 0.2 0.3 0.3").when(F.col("k") % 31 == 5, "0.1 0.1 0.2 0.2").when(F.col("k") % 31 == 7, F.concat(ring, F.lit(" 0.5"))).when(F.col("k") % 31 == 9, F.concat(ring, F.lit(" 1.02 0.5"))).when(F.col("k") % 31 == 11, "").otherwise(ring)
+    lines = e.select("batch", "image", "line_no", F.concat_ws(" ", F.when(F.col("k") % 31 != 11, F.col("id").cast("string")), body).alias("line"))
+    batches = table(spark, sf_dir, "events").select(F.concat(F.lit("B"), (F.col("user_id") % 7).cast("string")).alias("batch")).distinct().filter("batch <> 'B6'")
+    label = F.array(*map(F.lit, ("Rope", "bottle", "Net_piece", "buoy", "filet")))
+    names = batches.withColumn("local_id", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("name", F.when((F.col("local_id") == 3) & (F.substring("batch", 2, 1).cast("int") % 2 == 0), "Unheard Of").otherwise(F.get(label, F.col("local_id"))))
+    return lines, names
+
+
+@register(
+    "g15_raw_validation",
+    f"""WITH {LINES}, read AS (SELECT *, CASE k % 31 WHEN 3 THEN 'no number' WHEN 5 THEN 'too few points' WHEN 7 THEN 'odd number' WHEN 9 THEN 'out of bounds' END AS fault FROM lines WHERE k % 31 <> 11),
+    good AS (SELECT r.*, n.name FROM read r LEFT JOIN names n USING (batch, local_id) WHERE fault IS NULL OR fault = 'out of bounds'),
+    found AS (SELECT DISTINCT batch, 'no class names' AS problem, batch AS what FROM read WHERE batch NOT IN (SELECT batch FROM names)
+        UNION ALL SELECT batch, fault, image || ':' || line_no FROM read WHERE fault IS NOT NULL AND batch IN (SELECT batch FROM names)
+        UNION ALL SELECT DISTINCT batch, 'unknown id', local_id::VARCHAR FROM good WHERE name IS NULL AND batch IN (SELECT batch FROM names)
+        UNION ALL SELECT DISTINCT batch, 'unresolved name', name FROM good WHERE lower(replace(name, '_', ' ')) NOT IN (SELECT key FROM known)
+        UNION ALL SELECT batch, 'repeated object', a || '~' || b FROM (SELECT a.batch, a.line_no AS a, b.line_no AS b FROM good a JOIN good b ON a.batch = b.batch AND a.image = b.image AND a.local_id = b.local_id AND a.line_no < b.line_no AND a.fault IS NULL AND b.fault IS NULL
+            AND a.name IS NOT NULL AND lower(replace(a.name, '_', ' ')) IN (SELECT key FROM known) AND abs(a.x - b.x) < 0.001))
+    SELECT batch, problem, count(*) AS n, min(what) AS first FROM found GROUP BY 1, 2""",
+)
+def raw_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the label lines of each batch: format, bounds, ids and names; objects of an image that are drawn twice."""
+    lines, names = label_lines_of_batches(spark, sf_dir)
+    known = spark.sql("SELECT * FROM VALUES ('rope'), ('bottle'), ('net piece'), ('buoy'), ('filet') AS k(key)")
+    return validate_labels(lines, names, known, 16.0).groupBy("batch", "problem").agg(F.count("*").alias("n"), F.min("what").alias("first"))
