@@ -10,7 +10,7 @@ from tidemark.functions.keys import normal_name
 from tidemark.operators.spatial_join import self_pairs
 
 #: How far a coordinate may lie beyond the image, and the overlap from which two objects of a class are one.
-BEYOND, TWICE = 0.01, 0.9
+BEYOND, TWICE = 0.01, 0.5
 
 
 def validate_labels(lines: DataFrame, names: DataFrame, known: DataFrame, cells: float, beyond: float = BEYOND, twice: float = TWICE) -> DataFrame:

@@ -281,7 +281,7 @@ def label_lines_of_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
         UNION ALL SELECT DISTINCT batch, 'unknown id', local_id::VARCHAR FROM good WHERE name IS NULL AND batch IN (SELECT batch FROM names)
         UNION ALL SELECT DISTINCT batch, 'unresolved name', name FROM good WHERE lower(replace(name, '_', ' ')) NOT IN (SELECT key FROM known)
         UNION ALL SELECT batch, 'repeated object', a || '~' || b FROM (SELECT a.batch, a.line_no AS a, b.line_no AS b FROM good a JOIN good b ON a.batch = b.batch AND a.image = b.image AND a.local_id = b.local_id AND a.line_no < b.line_no AND a.fault IS NULL AND b.fault IS NULL
-            AND a.name IS NOT NULL AND lower(replace(a.name, '_', ' ')) IN (SELECT key FROM known) AND abs(a.x - b.x) < 0.001))
+            AND a.name IS NOT NULL AND lower(replace(a.name, '_', ' ')) IN (SELECT key FROM known) AND abs(a.x - b.x) < 0.035))
     SELECT batch, problem, count(*) AS n, min(what) AS first FROM found GROUP BY 1, 2""",
 )
 def raw_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
