@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
@@ -321,25 +321,31 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").filter(close).select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Stands for a row's id and text."""
+    return F.xxhash64(doc_id, text)
+
+
 def keep_one_of_each(docs: DataFrame, percent: int = STAGE_PERCENT, bands: int = STAGE_BANDS, broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
 
     Groups are of texts, whatever their ids: different texts under one doc_id, or under none, are grouped each for
     itself. A null doc_id comes after all others; ties go by a hash of doc_id and text. Rows equal in doc_id and
     text are one document: the first by a hash of all columns stays. Null and wordless texts are in no group and
-    stay; those without a doc_id aren't taken for one document either. An empty table gives an empty result.
+    stay; those without a doc_id aren't taken for one document either. Different rows whose 64-bit keys clash are told
+    apart by a second hash and all stay. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "one-of-each")
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    key = F.xxhash64(doc_id, text)
+    key = row_key(doc_id, text)
     # near_duplicates takes the key of a row for its id, so that it sees texts under one id apart
     groups = near_duplicates(docs.select(key.alias("doc_id"), text.alias("text")), percent=percent, bands=bands, broadcast_ids=broadcast_ids, **options)
     groups = groups.select(F.col("doc_id").alias("key"), "component_id").distinct()
-    ids = docs.groupBy(key.alias("key"), doc_id.alias("id")).agg(F.count("*").alias("rows"))
-    first = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "rows")).alias("first"))
+    ids = docs.groupBy(key.alias("key")).agg(F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"))).alias("least"), F.count("*").alias("rows"))
+    first = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("least", "key", "rows")).alias("first"))
     first = scratch.keep(first.select("first.key", "first.rows"))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    whole = docs.select(F.struct(*own).alias("row"), key.alias("key"), F.xxhash64(*own).alias("order"), (doc_id.isNull() & (text.isNull() | ~text.rlike(r"[^\x20\x09-\x0d]"))).alias("loose"))
+    whole = docs.select(F.struct(*own).alias("row"), key.alias("key"), F.xxhash64(*own).alias("order"), F.xxhash64(F.lit("again"), doc_id, text).alias("check"), (doc_id.isNull() & (text.isNull() | ~text.rlike(r"[^\x20\x09-\x0d]"))).alias("loose"))
 
     def of(keys: DataFrame, how: str) -> DataFrame:
         keys = keys.withColumn("found", F.lit(True))
@@ -348,6 +354,6 @@ def keep_one_of_each(docs: DataFrame, percent: int = STAGE_PERCENT, bands: int =
     kept = of(first.filter("rows = 1").select("key"), "left").filter("loose or found").select("row")
     several = first.filter("rows > 1").select("key")
     if not several.isEmpty():
-        repeated = of(several, "inner").filter("not loose").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("order")))
-        kept = kept.union(repeated.filter("rank = 1").select("row"))
+        repeated = of(several, "inner").filter("not loose").groupBy("key", "check").agg(F.min_by("row", "order").alias("row"))  # each task passes on one copy of a row
+        kept = kept.union(repeated.select("row"))
     return kept.select("row.*")
