@@ -230,6 +230,10 @@ def test_every_query_runs(spark, small):
         assert catalog.QUERIES[name](spark, small).count() > 0
 
 
+#: Queries whose cases only larger tables hold.
+NO_CASE_IN_SMALL_TABLES = {"f44_parameter_changes", "w12_altitude_outliers"}
+
+
 def test_oracle_sql(spark, small):
     import duckdb
 
@@ -241,4 +245,5 @@ def test_oracle_sql(spark, small):
         columns = [d[0] for d in theirs.description]
         one = lambda r: tuple(round(v, 4) if isinstance(v, float) else v for v in r)
         got = sorted((one(r[c] for c in columns) for r in ours), key=repr)
-        assert got == sorted(map(one, theirs.fetchall()), key=repr), name
+        want = sorted(map(one, theirs.fetchall()), key=repr)
+        assert got == want and (want or name in NO_CASE_IN_SMALL_TABLES), name
