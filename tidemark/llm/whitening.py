@@ -1,9 +1,9 @@
 """Whitening of embeddings with block matrices.
 
-Rows are indexed and centred, and stand in distributed blocks; the blocks' transposed product is their scatter, whose
-eigenvectors (a matrix of dimensions by dimensions, on the driver) over the roots of the eigenvalues are the whitening
-matrix; a second block product projects the rows. A slab of a bounded number of blocks is one block matrix, as Spark
-deals the result of a product to about the root of its partitions; a job works on many slabs at once.
+Rows are packed into blocks where they lie, which indexes them, and centred block by block; the blocks' transposed product
+is their scatter, whose eigenvectors (a matrix of dimensions by dimensions, on the driver) over the roots of the eigenvalues
+are the whitening matrix; a second block product projects the rows. A slab of a bounded number of blocks is one block
+matrix, as Spark deals the result of a product to about the root of its partitions; a job works on many slabs at once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
@@ -24,7 +25,9 @@ from tidemark.llm.scratch import Scratch
 #: Components that are returned.
 COMPONENTS = 16
 #: Rows of a block, blocks of a slab, slabs of a job.
-BLOCK_ROWS, SLAB_BLOCKS, JOB_SLABS = 4096, 64, 64
+BLOCK_ROWS, SLAB_BLOCKS, JOB_SLABS = 1024, 256, 64
+#: Rows of a task that packs blocks, at least, so that few blocks are filled up with zeros.
+PACKED_ROWS = 8192
 #: Columns of a block.
 BLOCK_COLUMNS = 1024
 #: Scaled entries are kept within this size, so that they are longs.
@@ -42,54 +45,110 @@ def quantised(vectors: DataFrame, scale: float, offset: int) -> DataFrame:
     return usable.select("vec_id", F.transform("v", lambda c: bounded(c).cast("long") + F.lit(offset)).alias("x"))
 
 
-def _centre(n: int, sums: list[int], offsets: dict[int, int], slab_rows: int):
-    """From x and the place of a row in its partition: index, slab, x, x - sums / n, and the squared length of n * x - sums."""
-    exact = np.array(sums, object)
+def _pack(width: int, block_rows: int):
+    """Rows of a task to blocks: part (the task), seq, n, x (n rows of longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held = TaskContext.get().partitionId(), 0, np.zeros((0, width), np.int64)
+
+        def block(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(rows)], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["part", "seq", "n", "x"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(sums))
-            most = max(int(x.max()), -int(x.min())) * n + max(map(abs, sums))
-            apart = x * np.int64(n) - np.array(sums, np.int64) if most < 2**62 else x.astype(object) * n - exact
-            centred = (apart / n).astype(np.float64)
-            if int(max(apart.max(), -apart.min())) ** 2 * len(sums) < 2**63:
-                deviations = (apart * apart).sum(axis=1).tolist()
-            else:
-                deviations = [sum(int(c) ** 2 for c in row) for row in apart]
-            place = batch.column("place").to_numpy()
-            index = np.array([offsets[p] for p in (place >> 33).tolist()], np.int64) + (place & ((1 << 33) - 1))
-            lists = pa.ListArray.from_arrays(np.arange(0, centred.size + 1, len(sums), dtype=np.int32), pa.array(centred.ravel()))
-            longs = pa.array([d if d < 2**63 else None for d in deviations], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(index // slab_rows), batch.column("x"), lists, longs], ["index", "slab", "x", "centred", "deviation"])
-
-    return run, "index long, slab long, x array<long>, centred array<double>, deviation long"
-
-
-def block_matrix(rows: DataFrame, column: str, n_rows: int, n_columns: int, block_rows: int) -> BlockMatrix:
-    """rows (index from 0, an array column) in blocks."""
-    indexed = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector(F.col(column)).alias("vector")), "vector")
-    return IndexedRowMatrix(indexed, n_rows, n_columns).toBlockMatrix(block_rows, min(n_columns, BLOCK_COLUMNS))
+            held = np.concatenate([held, batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)])
+            while len(held) >= block_rows:
+                yield block(held[:block_rows])
+                seq, held = seq + 1, held[block_rows:]
+        if len(held):
+            yield block(held)
+
+    return run, "part int, seq long, n int, x binary"
+
+
+def _sums(width: int):
+    """Sums of each dimension over the blocks of a batch, as decimal text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = [0] * width
+            for x in batch.column("x").to_pylist():
+                rows = np.frombuffer(x, np.int64).reshape(-1, width)
+                safe = np.abs(rows).max() < 2**62 // len(rows)
+                total = [a + int(b) for a, b in zip(total, (rows if safe else rows.astype(object)).sum(axis=0))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(list(map(str, total)), pa.string())], ["k", "s"])
+
+    return run, "k int, s string"
+
+
+class Centring:
+    """n * x - sums for the rows of a block, exactly; firsts: the number of each part's first block."""
+
+    def __init__(self, n: int, sums: list[int], firsts: dict[int, int]):
+        self.n, self.sums, self.firsts = n, sums, firsts
+
+    def apart(self, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.frombuffer(x, np.int64).reshape(-1, len(self.sums))
+        most = max(int(rows.max()), -int(rows.min())) * self.n + max(map(abs, self.sums))
+        return rows, rows * np.int64(self.n) - np.array(self.sums, np.int64) if most < 2**62 else rows.astype(object) * self.n - np.array(self.sums, object)
+
+    def blocks(self, block_rows: int, slab_blocks: int):
+        """block, slab, values: centred rows as doubles, filled up with zeros, which add nothing to a scatter."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                numbers = np.array([self.firsts[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("seq").to_numpy()
+                values = []
+                for x in batch.column("x").to_pylist():
+                    whole = np.zeros((block_rows, len(self.sums)))
+                    centred = (self.apart(x)[1] / self.n).astype(np.float64)
+                    whole[: len(centred)] = centred
+                    values.append(whole.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(numbers // slab_blocks), pa.array(values, pa.binary())], ["block", "slab", "values"])
+
+        return run, "block long, slab long, values binary"
+
+    def rows(self, block_rows: int):
+        """index, x, deviation: the squared length of n * x - sums, null beyond a long."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, seq, x in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "x"))):
+                    rows, apart = self.apart(x)
+                    if int(max(apart.max(), -apart.min())) ** 2 * len(self.sums) < 2**63:
+                        deviations = (apart * apart).sum(axis=1).tolist()
+                    else:
+                        deviations = [d if d < 2**63 else None for d in (sum(int(c) ** 2 for c in row) for row in apart)]
+                    index = (self.firsts[part] + seq) * block_rows + np.arange(len(rows))
+                    lists = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, len(self.sums), dtype=np.int32), pa.array(rows.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(index), lists, pa.array(deviations, pa.int64())], ["index", "x", "deviation"])
+
+        return run, "index long, x array<long>, deviation long"
 
 
 class Slabs:
-    """The centred rows, a folder for each slab."""
+    """The centred blocks, a folder for each slab of them."""
 
-    def __init__(self, spark: SparkSession, path: str, n: int, width: int, block_rows: int, slab_blocks: int):
-        self.spark, self.path, self.n, self.width, self.block_rows = spark, path, n, width, block_rows
-        self.rows = block_rows * slab_blocks
-        self.schema = "index long, x array<long>, centred array<double>, deviation long"
+    def __init__(self, spark: SparkSession, path: str, blocks: int, width: int, block_rows: int, slab_blocks: int):
+        self.spark, self.path, self.blocks, self.width, self.block_rows, self.slab_blocks = spark, path, blocks, width, block_rows, slab_blocks
 
     def jobs(self, slabs_at_once: int) -> Iterator[list[tuple[int, BlockMatrix]]]:
         """(first row, matrix) of the slabs that one job works on."""
-        count = -(-self.n // self.rows)
+        count = -(-self.blocks // self.slab_blocks)
         for first in range(0, count, slabs_at_once):
-            yield [(k * self.rows, self._matrix(k)) for k in range(first, min(count, first + slabs_at_once))]
+            yield [(k * self.slab_blocks * self.block_rows, self._matrix(k)) for k in range(first, min(count, first + slabs_at_once))]
 
     def _matrix(self, k: int) -> BlockMatrix:
-        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/slab={k}").withColumn("index", F.col("index") - k * self.rows)
-        return block_matrix(rows, "centred", min(self.rows, self.n - k * self.rows), self.width, self.block_rows)
+        first, rows, width = k * self.slab_blocks, self.block_rows, self.width
+        side = min(width, BLOCK_COLUMNS)
+
+        def pieces(row):
+            whole = np.frombuffer(row.values, np.float64).reshape(rows, width)
+            for j in range(0, width, side):
+                part = whole[:, j : j + side]
+                yield (row.block - first, j // side), DenseMatrix(rows, part.shape[1], part.ravel(), True)
+
+        read = self.spark.read.schema("block long, values binary").parquet(f"{self.path}/slab={k}")
+        return BlockMatrix(read.rdd.flatMap(pieces), rows, side, min(self.slab_blocks, self.blocks - first) * rows, width)
 
 
 def _scatter(slabs: Slabs, slabs_at_once: int) -> np.ndarray:
@@ -134,19 +193,22 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, scale: float = 64.0
     spark = vectors.sparkSession
     scratch = Scratch(spark, "whitening")
     rows = quantised(vectors, scale, offset)
-    width = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    size = rows.agg(F.max(F.size("x")).alias("width"), F.count(F.lit(1)).alias("rows")).first()
+    width, usable = size.width or 0, size.rows
     if not width:
         return spark.createDataFrame([], RESULT)
     rows = rows.filter(F.size("x") == width).withColumn("h", F.xxhash64("x"))
-    fit = scratch.keep(rows.select("h", "x").distinct().select("x", F.monotonically_increasing_id().alias("place")))
-    offsets, n = {}, 0
-    for r in fit.groupBy(F.shiftright("place", 33).alias("part")).count().orderBy("part").collect():  # a row for each partition
-        offsets[r["part"]], n = n, n + r["count"]
-    sums = fit.select(F.posexplode("x").alias("k", "c")).groupBy("k").agg(F.sum(F.col("c").cast("decimal(38,0)")).alias("s"))
+    distinct = rows.select("h", "x").distinct().select("x")
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, usable // PACKED_ROWS))
+    fit = scratch.keep(distinct.coalesce(tasks).mapInArrow(*_pack(width, block_rows)))
+    firsts, blocks, n = {}, 0, 0
+    for r in fit.groupBy("part").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n")).orderBy("part").collect():  # a row for each task
+        firsts[r.part], blocks, n = blocks, blocks + r.blocks, n + r.n
+    sums = fit.select("x").mapInArrow(*_sums(width)).groupBy("k").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
     sums = [int(r.s) for r in sums.orderBy("k").collect()]  # a row for each dimension
-    centred = fit.mapInArrow(*_centre(n, sums, offsets, block_rows * slab_blocks))
-    centred.write.partitionBy("slab").parquet(scratch.path("centred"))
-    slabs = Slabs(spark, scratch.path("centred"), n, width, block_rows, slab_blocks)
+    centring = Centring(n, sums, firsts)
+    fit.mapInArrow(*centring.blocks(block_rows, slab_blocks)).write.partitionBy("slab").parquet(scratch.path("centred"))
+    slabs = Slabs(spark, scratch.path("centred"), blocks, width, block_rows, slab_blocks)
 
     values, basis = np.linalg.eigh(_scatter(slabs, slabs_at_once) / n)
     k = min(components, width)
@@ -158,10 +220,10 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, scale: float = 64.0
     error = None
     if varies.any():
         z = MLUtils.convertVectorColumnsFromML(projected.select("index", array_to_vector("z").alias("z")), "z")
-        covariance = IndexedRowMatrix(z, n, k).computeGramianMatrix().toArray() / n  # the mean of centred rows is 0
+        covariance = IndexedRowMatrix(z, blocks * block_rows, k).computeGramianMatrix().toArray() / n  # the mean of centred rows is 0
         error = float(np.abs(covariance - np.eye(k))[np.ix_(varies, varies)].max())
 
-    known = spark.read.schema("index long, x array<long>, deviation long").parquet(scratch.path("centred"))
+    known = fit.mapInArrow(*centring.rows(block_rows))
     ids = rows.select("vec_id", "h", "x").join(known.withColumn("h", F.xxhash64("x")), ["h", "x"]).select("vec_id", "index", "deviation")
     per_component = F.array(*[F.struct(F.lit(c + 1).alias("component"), F.lit(bool(varies[c])).alias("varies"), F.lit(float(own[c]) / trace if trace else None).cast("double").alias("explained")) for c in range(k)])
     exploded = ids.join(projected, "index").select("vec_id", "deviation", F.explode(F.arrays_zip(F.col("z"), per_component.alias("c"))).alias("e"))
