@@ -79,6 +79,8 @@ OF_ARTICLE = ARTICLE | frozenset("posts articles entries stories contents blog".
 
 #: Name and value of each attribute, in turn, so that nothing within a value counts as a name.
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: Without one of these there is nothing to read.
+TOLD = re.compile("class|id|role|hidden|style", re.I)
 #: Attributes up to this length are remembered.
 REMEMBERED = 256
 TAG_NAME = re.compile(r"[^\s/>]*")
@@ -105,6 +107,8 @@ def _named(value: str) -> tuple[int, bool, bool]:
 
 def describe(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
     """Of a start tag: the generalised step of a path, its level, whether it bears an article's name, whether it is a header."""
+    if not TOLD.search(attributes):
+        attributes = ""
     return (_remembered if len(tag) + len(attributes) <= REMEMBERED else _describe)(tag, attributes)
 
 
