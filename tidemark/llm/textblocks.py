@@ -53,7 +53,7 @@ class Powers:
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, BLOCK_BYTES + 1)
+            size = max(n, min(2 * len(cls.up), BLOCK_BYTES + 1))
             for name, base in (("up", _STEP), ("down", _STEP_INVERSE)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
