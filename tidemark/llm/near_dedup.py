@@ -40,7 +40,7 @@ BANDS, ROWS = 25, 5
 SIMILARITY_PERCENT = 85
 #: For the stage that filters a corpus: a pair at 0.8 shares no band with probability (1 - 0.8^5)^40 < 2e-7.
 STAGE_PERCENT, STAGE_BANDS = 80, 40
-#: Ids up to this many (8 bytes each) are sent to every executor to pick texts; beyond, texts are shuffled to them.
+#: Ids up to this many (8 bytes each, 16 with a label) are sent to every executor to pick texts or sets; beyond, these are shuffled to them.
 BROADCAST_IDS = 2_000_000
 #: Counters of shingle frequencies, one byte each; a shingle's rarity only sets the order in which prefixes are cut.
 COUNTERS = 1 << 22
@@ -255,6 +255,7 @@ def near_duplicates(
     members = scratch.keep(spread.join(shared, "bucket").select("bucket", "node", anywhere))
 
     sets = _needed_sets(texts, classes, members, scratch, shingle, broadcast_ids) if not members.isEmpty() else None
+    n_sets = sets.count() if sets else 0
     labels = None
     pivots = 1
     while n := members.count():
@@ -268,7 +269,10 @@ def near_duplicates(
         apart = F.col("label") != F.col("pivot_label")
         pairs = labelled.join(chosen, "bucket").filter(apart & enough & ((own["side"] == 2) | (own["side"] != other["side"])))
         pairs = scratch.keep(pairs.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).distinct(), n)
-        found = _verify(pairs, sets, percent)
+        asked = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n)
+        # the first round asks for nearly all sets, the others for some of them
+        some = sets.join(F.broadcast(asked), "node", "left_semi") if asked.count() <= min(n_sets // 2, broadcast_ids) else sets
+        found = _verify(pairs, some, percent)
         if labels is None:
             labels = connected_components(found, scratch)
         else:
@@ -280,13 +284,16 @@ def near_duplicates(
         left = members.join(chosen, (members.bucket == chosen.bucket) & (members.node == chosen.pivot_node), "left_anti")
         if pivots == 1:
             labelled_left = scratch.keep(_label(left, labels), n)
-            open_ = labelled_left.join(scratch.keep(_several(labelled_left), n), "bucket", "left_semi").select("node").distinct()
-            left = scratch.keep(_prefix_buckets(_label(sets.join(open_, "node", "left_semi"), labels), percent))
+            open_ = scratch.keep(labelled_left.join(scratch.keep(_several(labelled_left), n), "bucket", "left_semi").select("node", "label").distinct(), n)
+            # read three times: sets stay where they lie, or are written once
+            open_sets = sets.join(F.broadcast(open_), "node") if open_.count() <= broadcast_ids else scratch.keep(sets.join(open_, "node"))
+            left = scratch.keep(_prefix_buckets(open_sets, percent))
+            scratch.drop(open_sets)
         else:
             left = scratch.keep(_label(left, labels), n)
         several = scratch.keep(_several(left), n)
         fresh = scratch.keep(left.join(several, "bucket", "left_semi").select(*MEMBER), n)
-        scratch.drop(members, labelled, chosen, pairs, left, several)
+        scratch.drop(members, labelled, chosen, pairs, asked, left, several)
         members, pivots = fresh, pivots * 8
 
     groups = classes.select("node", "rep")
