@@ -59,3 +59,7 @@ def test_other_rings_have_no_common_direction(spark):
 
 def test_polygon_pairs(spark, small, monkeypatch):
     same_either_way(polygons.polygon_pairs, spark, small, monkeypatch)
+
+
+def test_polygon_same_object(spark, small, monkeypatch):
+    same_either_way(polygons.polygon_same_object, spark, small, monkeypatch)
