@@ -63,3 +63,7 @@ def test_polygon_pairs(spark, small, monkeypatch):
 
 def test_polygon_same_object(spark, small, monkeypatch):
     same_either_way(polygons.polygon_same_object, spark, small, monkeypatch)
+
+
+def test_polygon_iou(spark, small, monkeypatch):
+    same_either_way(polygons.polygon_iou, spark, small, monkeypatch)
