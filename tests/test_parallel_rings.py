@@ -67,3 +67,7 @@ def test_polygon_same_object(spark, small, monkeypatch):
 
 def test_polygon_iou(spark, small, monkeypatch):
     same_either_way(polygons.polygon_iou, spark, small, monkeypatch)
+
+
+def test_covered_share(spark, small, monkeypatch):
+    same_either_way(polygons.covered_share, spark, small, monkeypatch)
