@@ -71,3 +71,7 @@ def test_polygon_iou(spark, small, monkeypatch):
 
 def test_covered_share(spark, small, monkeypatch):
     same_either_way(polygons.covered_share, spark, small, monkeypatch)
+
+
+def test_polygon_groups(spark, small, monkeypatch):
+    same_either_way(polygons.polygon_groups, spark, small, monkeypatch)
