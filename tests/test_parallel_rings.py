@@ -75,3 +75,7 @@ def test_covered_share(spark, small, monkeypatch):
 
 def test_polygon_groups(spark, small, monkeypatch):
     same_either_way(polygons.polygon_groups, spark, small, monkeypatch)
+
+
+def test_polygon_suppression(spark, small, monkeypatch):
+    same_either_way(polygons.polygon_suppression, spark, small, monkeypatch)
