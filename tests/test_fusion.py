@@ -127,3 +127,18 @@ def test_clusters_over_models(spark):
     got = matching.model_clusters(df, links, Scratch(spark, "test")).collect()
     assert {r.det_id: r.cluster for r in got} == want and len(got) == len(rows)
     assert len(set(want.values())) < len(rows)
+
+
+def test_clusters_take_no_task_for_each_component(spark):
+    """Small components are many: they are gone through in order, batch by batch, not one call for each."""
+    rows = [(k, 0, k % 3, 0.5, 10.0 * (k // 4), 0.0, 10.0 * (k // 4) + 2, 2.0) for k in range(400)]
+    df = spark.createDataFrame(rows, "det_id long, photo_idx long, model int, confidence double, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    links = spark.createDataFrame([(4 * g, 4 * g + i) for g in range(100) for i in (1, 2, 3)], "a long, b long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # components go on from batch to batch
+    try:
+        got = matching.model_clusters(df, links, Scratch(spark, "test"))
+        assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+        opener = {g: min(range(4 * g, 4 * g + 4), key=lambda k: (k % 3, k)) for g in range(100)}
+        assert {r.det_id: r.cluster for r in got.collect()} == {k: opener[k // 4] for k in range(400)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
